@@ -75,3 +75,20 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
+
+#: Characters of a very long text that a Python worker splits into words at once.
+BLOCK = 1 << 20
+
+
+def word_blocks(text: str, size: int = BLOCK):
+    """The white-space separated words of a text, a bounded list at a time."""
+    if len(text) <= size:
+        yield text.split()
+        return
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        while end < len(text) and not text[end].isspace() and end < at + 2 * size:
+            end += 1
+        yield text[at:end].split()
+        at = end

@@ -29,3 +29,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fitted, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
