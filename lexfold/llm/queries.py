@@ -37,3 +37,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fitted, identified
+
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, fitted(docs))
