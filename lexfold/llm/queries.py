@@ -45,3 +45,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return identified(docs, fitted(docs))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, found
+
+    return digest(found(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
