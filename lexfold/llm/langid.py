@@ -13,10 +13,8 @@ from two languages so that a switch is neither free nor impossible.
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, word_blocks
+from .common import BLOCK, crc_mod, ship, word_blocks
+from .grams import hashed, plain
 
 CHAIN = 64
 BUCKETS = 1 << 16
@@ -33,27 +32,22 @@ SAMPLE = 400
 SAMPLE_CHARS = 6_000
 MAX_LANGUAGES = 300
 #: Words a worker remembers the emissions of.
-CACHE = 300_000
+CACHE = 600_000
 FOLD, HELD = 4, 2
 UNKNOWN = "und"
-STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-
-
-def features(word: str, lexicon: dict[str, int] | None = None) -> list[int]:
-    """Hashed features of a word; none for a word without a letter."""
-    w = word.lower().strip(STRIP)[:48]
-    if not any(c.isalpha() for c in w):
-        return []
-    found = {"w" + w, "s" + ("d" if any(c.isdigit() for c in w) else "a" if w.isascii() else "u")}
-    for n in (1, 2, 3):
-        found.add(f"p{w[:n]}")
-        found.add(f"e{w[-n:]}")
-    marked = f"<{w}>"
-    for n in (1, 2, 3):
-        found.update("n" + marked[i : i + n] for i in range(len(marked) - n + 1))
-    if lexicon and w in lexicon:
-        found.add(f"l{lexicon[w]}")
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in found]
+GRAMS = (1, 2, 3, 4)
+
+
+def features(words: Sequence[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, valid), [words, features]: n-grams and affixes, the word, its lexicon entry, its shape; none without a letter."""
+    own = [plain(w) for w in words]
+    lettered = np.array([any(map(str.isalpha, w)) for w in own], bool)
+    at, valid = hashed(own, GRAMS, BUCKETS)
+    entry = np.array([lexicon.get(w, -1) for w in own], np.int32)
+    shape = np.array([0 if w.isascii() else 1 for w in own], np.int32)
+    at = np.concatenate([at, BUCKETS + 2 + np.maximum(entry, 0)[:, None], BUCKETS + shape[:, None]], 1)
+    valid = np.concatenate([valid, (entry >= 0)[:, None], np.ones((len(own), 1), bool)], 1)
+    return at, valid & lettered[:, None]
 
 
 def forward_backward(emit: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +82,7 @@ def forward_backward(emit: np.ndarray, valid: np.ndarray, trans: np.ndarray, sta
 @dataclass
 class Model:
     labels: list[str]
-    weight: np.ndarray  # [BUCKETS, L]
+    weight: np.ndarray  # [buckets, 2 shapes and lexicon entries, L]
     trans: np.ndarray  # [L, L] log potentials
     start: np.ndarray  # [L]
     lexicon: dict[str, int]
@@ -106,17 +100,29 @@ class Tagger(dict):
         self.table, self.used = np.ones((1024, L), np.float32), 1
         self.trans, self.start = np.exp(model.trans).astype(np.float32), np.exp(model.start).astype(np.float32)
 
-    def __missing__(self, word: str) -> int:
-        f, at = features(word, self.model.lexicon), 0
-        if f:
-            at = self.used
-            if at == len(self.table):
+    def learn(self, words: Iterable[str]) -> None:
+        new = list(words)
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            at, valid = features(part, self.model.lexicon)
+            logs = np.stack([(self.model.weight[:, k][at] * valid).sum(1) for k in range(len(self.model.labels))], 1)
+            known = valid.any(1)
+            n = int(known.sum())
+            while self.used + n > len(self.table):
                 self.table = np.concatenate([self.table, np.ones_like(self.table)])
-            logs = self.model.weight[f].sum(0)
-            self.table[at] = np.exp(np.maximum(logs - logs.max(), -60))
-            self.used += 1
-        self[word] = at
-        return at
+            self.table[self.used : self.used + n] = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60))[known]
+            place = np.zeros(len(part), np.int64)
+            place[known] = np.arange(self.used, self.used + n)
+            self.used += n
+            self.update(zip(part, place.tolist(), strict=True))
+
+    def places(self, words: Sequence[str], ahead: Sequence[str | None] = ()) -> np.ndarray:
+        """Places of words in the table; where one is new, those of the texts ahead are learned with it."""
+        try:
+            return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        except KeyError:
+            self.learn({w for t in ahead if t and len(t) <= BLOCK for w in t.split() if w not in self} | {w for w in words if w not in self})
+            return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def marginals(self, words: np.ndarray) -> np.ndarray:
         """Marginals of a text's words, given as places in the table."""
@@ -133,7 +139,7 @@ class Tagger(dict):
         words = text.split()
         if not words:
             return []
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = self.places(words)
         best = self.marginals(at).argmax(1)
         return [(w, self.model.labels[k] if a else None) for w, a, k in zip(words, at, best, strict=True)]
 
@@ -169,7 +175,7 @@ class Tagger(dict):
         for i, text in enumerate(texts):
             for words in word_blocks(text or ""):
                 if words:
-                    chunk.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+                    chunk.append(self.places(words, texts[i : i + 256]))
                     owner.append(i)
                     size += len(words)
                     if size >= 1 << 17:
@@ -194,10 +200,10 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
     labels = sorted({g for _, g in pairs})
     code, L = {g: i for i, g in enumerate(labels)}, len(labels)
     if L < 2:
-        return Model(labels, np.zeros((BUCKETS, L), np.float32), np.zeros((L, L)), np.zeros(L), {})
+        return Model(labels, np.zeros((BUCKETS + 2 + MAX_LANGUAGES, L), np.float32), np.zeros((L, L)), np.zeros(L), {})
     count: dict[str, Counter] = defaultdict(Counter)
     for words, g in pairs:
-        for w in {w.lower().strip(STRIP) for w in words}:
+        for w in set(map(plain, words)):
             count[w][code[g]] += 1
     lexicon = {w: c.most_common(1)[0][0] for w, c in count.items() if w and sum(c.values()) >= 5 and c.most_common(1)[0][1] >= 0.9 * sum(c.values())}
     rng, T = np.random.default_rng(seed), 32
@@ -215,18 +221,18 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
         n = len(joined)
         at[s, :n] = [vocabulary.setdefault(w, len(vocabulary)) for w in joined]
         y[s, :n], valid[s, :n] = marks, True
-    packed, size = array("i"), np.zeros(len(vocabulary), np.int64)
-    for i, w in enumerate(vocabulary):
-        f = features(w, lexicon)
-        packed.extend(f)
-        size[i] = len(f)
-    flat, owner = np.frombuffer(packed, np.int32), np.repeat(np.arange(len(vocabulary)), size)
+    known, flat, size = list(vocabulary), [np.zeros(0, np.int32)], []
+    for i in range(0, len(known), 10_000):
+        p, v = features(known[i : i + 10_000], lexicon)
+        flat.append(p[v])
+        size.append(v.sum(1))
+    flat, owner = np.concatenate(flat), np.repeat(np.arange(len(known)), np.concatenate(size))
     hot = np.eye(L, dtype=np.float64)[y] * valid[:, :, None]
     pair = np.zeros((L, L))
     both = valid[:, 1:]
     np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), 1)
     first = np.bincount(y[:, 0][valid[:, 0]], minlength=L).astype(float)
-    params = [np.zeros((BUCKETS, L)), np.zeros((L, L)), np.zeros(L)]
+    params = [np.zeros((BUCKETS + 2 + MAX_LANGUAGES, L)), np.zeros((L, L)), np.zeros(L)]
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for step in range(1, epochs + 1):
         theta, trans, start = params
@@ -238,7 +244,7 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
         wrong = (node * valid[:, :, None] - hot).reshape(-1, L)
         of_word = np.stack([np.bincount(at.reshape(-1), wrong[:, k], len(vocabulary)) for k in range(L)], 1)
         n = max(1, int(valid.sum()))
-        grads = [np.stack([np.bincount(flat, of_word[owner, k], BUCKETS) for k in range(L)], 1) / n + l2 * theta / n, (edge - pair) / n + l2 * trans / n, ((node[:, 0] * valid[:, 0, None]).sum(0) - first) / n]
+        grads = [np.stack([np.bincount(flat, of_word[owner, k], len(theta)) for k in range(L)], 1) / n + l2 * theta / n, (edge - pair) / n + l2 * trans / n, ((node[:, 0] * valid[:, 0, None]).sum(0) - first) / n]
         for (m, v), p, g in zip(slots, params, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -266,8 +272,8 @@ def sample(docs: DataFrame, fold: bool = True) -> DataFrame:
 
 
 def fitted(docs: DataFrame, fold: bool = True) -> Model:
-    rows = sample(docs, fold).toPandas().sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
-    return fit(rows["text"], rows["lang"])
+    known = sample(docs, fold).toPandas().sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
+    return fit(known["text"], known["lang"])
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

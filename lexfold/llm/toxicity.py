@@ -13,9 +13,7 @@ The model is linear in its n-grams: for scoring, each bucket is one number.
 
 from __future__ import annotations
 
-import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, word_blocks
+from .common import BLOCK, crc_mod, ship, word_blocks
+from .grams import hashed, plain, rows
 
 WINDOW = 12
 STRIDE = 6
@@ -31,26 +30,11 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 #: Labelled rows that a fit reads at most, by class, and the longest text among them.
-SAMPLE = {1: 2500, 0: 4500}
+SAMPLE = {1: 3000, 0: 8000}
 SAMPLE_CHARS = 10_000
 #: Words a worker remembers the scores of.
-CACHE = 500_000
+CACHE = 800_000
 FOLD = 5
-STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-
-
-def grams(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's character n-grams and of the word itself; none for what has no letter or digit."""
-    w = word.lower().strip(STRIP)
-    if not w:
-        return []
-    w = w[:64]
-    marked = f"<{w}>"
-    found = {marked}
-    for n in GRAMS:
-        found.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in found]
-
 
 @dataclass
 class Model:
@@ -66,31 +50,41 @@ class Model:
 
 
 class Scorer(dict):
-    """Remembers each word's score."""
+    """Remembers each word's score; new words are scored many at a time."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        g = grams(word, len(self.model.weight))
-        got = float(self.model.weight[g].sum() / len(g)) if g else 0.0
-        if len(self) >= CACHE:
+    def learn(self, words: Iterable[str]) -> None:
+        new = list(words)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            at, valid = hashed([plain(w) for w in part], GRAMS, len(self.model.weight))
+            got = (self.model.weight[at] * valid).sum(1) / np.maximum(1, valid.sum(1))
+            self.update(zip(part, got.tolist(), strict=True))
+
+    def scores(self, texts: Sequence[str | None]) -> list[float]:
+        """Each text's probability by its worst window; of the empty bag for a text without words."""
+        m, out = self.model, np.zeros(len(texts))
+        if len(self) > CACHE:
             self.clear()
-        self[word] = got
-        return got
-
-    def score(self, text: str | None) -> float:
-        """Probability of the worst window; of the empty bag for a text without words."""
-        m, best, tail = self.model, None, np.zeros(0, np.float32)
-        for words in word_blocks(text or ""):
-            if not words:
-                continue
-            s = np.concatenate([tail, np.fromiter(map(self.__getitem__, words), np.float32, len(words))])
-            got = windows(s, m.window, m.stride).max()
-            best = got if best is None else max(best, got)
-            tail = s[-m.window + 1 :]
-        return float(1 / (1 + np.exp(-(m.bias + (0.0 if best is None else best)))))
+        for i, text in enumerate(texts):
+            best, tail = None, np.zeros(0, np.float32)
+            for words in word_blocks(text or ""):
+                if not words:
+                    continue
+                try:
+                    own = np.fromiter(map(self.__getitem__, words), np.float32, len(words))
+                except KeyError:
+                    self.learn({w for t in texts[i : i + 256] if t and len(t) <= BLOCK for w in t.split() if w not in self} | {w for w in words if w not in self})
+                    own = np.fromiter(map(self.__getitem__, words), np.float32, len(words))
+                s = np.concatenate([tail, own])
+                got = windows(s, m.window, m.stride).max()
+                best = got if best is None else max(best, got)
+                tail = s[-m.window + 1 :]
+            out[i] = 0.0 if best is None else best
+        return (1 / (1 + np.exp(-(m.bias + out)))).tolist()
 
 
 def starts(n: int, window: int, stride: int) -> np.ndarray:
@@ -107,7 +101,7 @@ def windows(scores: np.ndarray, window: int, stride: int) -> np.ndarray:
     return (total[at + k] - total[at]) / k
 
 
-def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 8, epochs: int = 48, seed: int = 7) -> Model:
+def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: int = 50, seed: int = 7) -> Model:
     """Train on texts with labels 0 or 1. Without both classes the model says the only class's rate."""
     y = np.asarray(list(labels), np.int64)
     vocabulary: dict[str, int] = {}
@@ -119,13 +113,8 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 8, epochs: in
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
     # n-grams in compressed rows; those of a single text say nothing about others and stay at zero
-    packed, n_grams = array("i"), np.zeros(len(vocabulary), np.int64)
-    for i, w in enumerate(vocabulary):
-        g = grams(w)
-        packed.extend(g)
-        n_grams[i] = len(g)
-    ptr = np.concatenate([[0], np.cumsum(n_grams)])
-    flat = np.frombuffer(packed, np.int32) if packed else np.zeros(0, np.int32)
+    flat, ptr = rows([plain(w) for w in vocabulary], GRAMS, BUCKETS)
+    n_grams = np.diff(ptr)
     del vocabulary
     seen = np.zeros(BUCKETS, np.int32)
     for d in docs:
@@ -211,8 +200,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: i
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int | None = FOLD) -> Model:
-    rows = sample(docs, labels, label_col, fold).toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return fit(rows["text"], rows["label"])
+    known = sample(docs, labels, label_col, fold).toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    return fit(known["text"], known["label"])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +218,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value.scorer()
         for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+            yield pd.Series(own.scores(list(texts)), dtype="float64")
 
     got = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col)).alias("score"))
     return got.select("doc_id", (crc_mod(F.col("doc_id"), FOLD) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -244,6 +233,6 @@ def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value.scorer()
         for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+            yield pd.Series(own.scores(list(texts)), dtype="float64")
 
     return docs.where(score(F.col("text")) < threshold)
