@@ -92,3 +92,12 @@ def word_blocks(text: str, size: int = BLOCK):
             end += 1
         yield text[at:end].split()
         at = end
+
+
+#: Rows of a lookup table up to which it is broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it is counted small enough."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -66,3 +67,30 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
+@query
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import stripped
+
+    got = stripped(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return got.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is its document's label, the number in its path being that document's id; bad: toxic or of quality 0."""
+    from .urlrep import judged
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    of = pages.select("page_id", F.regexp_extract("url", r"^[^?#]*?://[^/?#]*/[a-z]+/([0-9]{1,18})", 1).alias("doc_id")).where("doc_id <> ''")
+    bad = labels.where("quality is not null or toxic is not null").select(F.col("doc_id").cast("string").alias("doc_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int").alias("bad"))
+    return judged(pages, of.join(bad, "doc_id").select("page_id", "bad"))
+
+
+@query
+def op9_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toolchat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
