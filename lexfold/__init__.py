@@ -1,0 +1 @@
+"""Clause analytics on PySpark: segmentation, curation, evaluation and retrieval as DataFrame functions."""
