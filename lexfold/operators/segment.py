@@ -124,7 +124,7 @@ def flagged(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def with_blocks(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Flagged lines with block_no: a block breaks at a page, a wide gap, a header, after one, and at a sealed line."""
     every, order = Window.partitionBy("source_file"), Window.partitionBy("source_file").orderBy("line_no")
-    median = F.coalesce(F.expr("percentile(height, 0.5) filter (where height > 2)").over(every), F.lit(rules.height))
+    median = F.coalesce(F.percentile(F.when(F.col("height") > 2, F.col("height")), 0.5).over(every), F.lit(rules.height))
     before = lambda c: F.lag(c).over(order)
     wide = F.coalesce(F.col("top") - before("bottom") > rules.gap * F.col("__median"), F.lit(False))
     turned = F.coalesce(F.col("page") != before("page"), F.lit(False))
