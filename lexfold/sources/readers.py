@@ -25,7 +25,7 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
 
     A file's lines are numbered within the file, read whole: for files that one task can hold.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("__n", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("__n", "line"))
     text = text.where(strip(F.col("line")) != "").select("_file", (F.col("__n") + 1).alias("_lineno"), "line")
     kind = schemas.struct(schema).add("_corrupt_record", "string")
     df = text.withColumn("__r", F.from_json("line", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
@@ -61,7 +61,7 @@ def blank_line_clauses(texts: DataFrame, text_col: str = "text", min_length: int
 
 
 def blank_line_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
     return blank_line_clauses(files)
 
 
@@ -81,7 +81,7 @@ def pdf_lines(spark: SparkSession, path: str, reader: PdfReader | None = None) -
                     rows = [{"source_file": file, "line_no": i, **x} for i, x in enumerate(read(bytes(content)))]
                 except Exception as e:
                     rows = [{"source_file": file, "error": str(e)}]
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=columns).astype({"line_no": "Int32", "page": "Int32", "bold": "boolean", **dict.fromkeys(("top", "bottom", "height", "size"), "Float64")})
 
     columns = [c.split()[0] for c in schemas.RAW_LINE.split(", ")] + ["error"]
     got = files.select("path", "content").mapInPandas(run, schemas.RAW_LINE + ", error string")
