@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLOCK, crc_mod, ship, word_blocks
@@ -183,11 +183,11 @@ class Tagger(dict):
         settle()
         return out
 
-    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
+        if not self.model.labels:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         got = self.shares(texts)
         n = got[:, -1]
-        if not self.model.labels:
-            return [UNKNOWN] * len(got), [0.0] * len(got)
         share = got[:, :-1] / np.maximum(1, n)[:, None]
         best = share.argmax(1)
         lang = [self.model.labels[k] if c else UNKNOWN for k, c in zip(best, n, strict=True)]
@@ -261,14 +261,14 @@ def sample(docs: DataFrame, fold: bool = True) -> DataFrame:
     if fold:
         known = known.where(crc_mod(F.col("doc_id"), FOLD) != HELD)
     known = known.where(F.length("text") <= SAMPLE_CHARS)
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ids = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        ids = part if ids is None else ids.union(part)
-    if ids is None:
-        return known.select("doc_id", "text", "lang").limit(0)
-    return known.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text", "lang")
+    counts = known.where("doc_id is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    # a language's lowest hashes: twice the wanted number is expected below the cut, so a window sorts few rows
+    cut = F.lit(2.0 * SAMPLE) / F.col("n")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    low = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where((place < cut) | (F.col("n") <= 4 * SAMPLE))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("doc_id").distinct()
+    return known.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
 
 
 def fitted(docs: DataFrame, fold: bool = True) -> Model:
@@ -290,7 +290,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value.tagger()
         for texts in batches:
-            lang, score = own.predict(texts)
+            lang, score = own.predict(list(texts))
             yield pd.DataFrame({"lang": lang, "score": score})
 
     got = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("p"))

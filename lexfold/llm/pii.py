@@ -72,7 +72,7 @@ def mod97(iban: Column) -> Column:
         code = F.ascii(c)
         return F.when(code < 65, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), add) == 1
 
 
 def _confirmed(kind: str, m: Column) -> Column:

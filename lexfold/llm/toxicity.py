@@ -102,12 +102,14 @@ def windows(scores: np.ndarray, window: int, stride: int) -> np.ndarray:
 
 
 def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: int = 50, seed: int = 7) -> Model:
-    """Train on texts with labels 0 or 1. Without both classes the model says the only class's rate."""
+    """Train on texts with labels 0 or 1. Without both classes the model says the only class's rate; without any row, never."""
     y = np.asarray(list(labels), np.int64)
     vocabulary: dict[str, int] = {}
     docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int64) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in keep], y[keep]
+    if not len(y):
+        return Model(np.zeros(BUCKETS, np.float32), -20.0)
     rate = (y.sum() + 0.5) / (len(y) + 1)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))

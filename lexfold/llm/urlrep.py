@@ -81,7 +81,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFram
     """(host, n, bad, mean, bound) of every host of pages (__host); outcomes: (host, bad 0 or 1).
 
     bound is mean - z standard deviations of the host's posterior. Hosts without
-    outcomes have their domain's rate as prior, hence a low bound.
+    outcomes are judged by their domain's evidence, as far as that goes.
     """
     counted = outcomes.where("bad in (0, 1) and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = pages.select(F.col("__host").alias("host")).distinct().join(counted, "host", "left")
@@ -94,12 +94,14 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFram
     base = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
 
     def shrunk(level: DataFrame) -> DataFrame:
-        k = _strength(level)
+        """Posteriors a, b of a level: no prior is stronger than the evidence above it, weight."""
+        k = F.least(F.lit(_strength(level)), F.col("weight"))
         return level.withColumn("a", F.col("bad") + k * F.col("mean")).withColumn("b", F.col("n") - F.col("bad") + k * (1 - F.col("mean")))
 
-    rate = (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")
-    suffixes = shrunk(suffixes.withColumn("mean", F.lit(base))).select("suffix", rate)
-    domains = shrunk(domains.join(suffixes, "suffix")).select("domain", rate)
+    rate, weight = (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), (F.col("a") + F.col("b")).alias("weight")
+    every = float(total["n"] or 0) + 1.0
+    suffixes = shrunk(suffixes.withColumn("mean", F.lit(base)).withColumn("weight", F.lit(every))).select("suffix", rate, weight)
+    domains = shrunk(domains.join(suffixes, "suffix")).select("domain", rate, weight)
     got = shrunk(hosts.join(domains, "domain"))
     a, b = F.col("a"), F.col("b")
     spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
