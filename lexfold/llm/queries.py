@@ -94,3 +94,68 @@ def op9_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toolchat import formatted
 
     return formatted(table(spark, sf_dir, "conversations"))
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]"
+
+ORACLE_SQL["op3_decontamination"] = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(13, len(w)) AS l, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS g
+ FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS s FROM iw WHERE len(w) > 0)),
+gr AS (SELECT doc_id, p, l, array_to_string(w[p:p + l - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM dw), (SELECT DISTINCT l FROM win) WHERE p + l - 1 <= len(w)),
+hit AS (SELECT doc_id, p, gr.l, item FROM gr JOIN win ON gr.l = win.l AND gr.g = win.g),
+cov AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + l - 1)) AS x FROM hit) GROUP BY 1),
+ids AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+ORACLE_SQL["op4_quality"] = rf"""
+WITH b AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}+') AS w FROM documents),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS l FROM b),
+tri AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM b WHERE len(w) > 2)),
+rep AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + 2)) AS x FROM rep) GROUP BY 1),
+st AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM b JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+fl AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM st),
+fa AS (SELECT *, base_failed OR word_chars < 2.0 * n_words OR word_chars > 14.0 * n_words OR n_symbols > 0.5 * n_words OR 100 * n_dup_lines > 50 * n_lines AS failed FROM fl),
+ho AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM fa WHERE source IS NOT NULL GROUP BY 1),
+mo AS (SELECT least(greatest((sum(f) + 0.5) / (sum(n) + 1.0), 1e-6), 1 - 1e-6) AS mean, avg(f / n) AS m, avg((f / n) * (f / n)) AS s, avg(1.0 / n) AS i FROM ho),
+pr AS (SELECT mean, CASE WHEN s - m * m - mean * (1 - mean) * i > 0 THEN least(greatest(mean * (1 - mean) / (s - m * m - mean * (1 - mean) * i) - 1, 1.0), 1e4) ELSE 1e4 END AS k FROM mo),
+bad AS (SELECT source FROM ho, pr WHERE (f + mean * k) / (n + k) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept FROM fa"""
+
+ORACLE_SQL["op6_linededup"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents),
+pg AS (SELECT DISTINCT host, text FROM d), tot AS (SELECT host, count(*) AS pages FROM pg GROUP BY 1),
+li AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT host, text, unnest(string_split(text, chr(10))) AS line FROM pg) WHERE regexp_matches(line, '{_SPACED}') GROUP BY 1, 2),
+dr AS (SELECT host, list(line) AS l FROM li JOIN tot USING (host) WHERE n >= 3 AND n > 0.01 * pages GROUP BY 1),
+k AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS a, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '{_SPACED}') OR NOT list_contains(coalesce(l, []), x)) AS b FROM d LEFT JOIN dr USING (host)),
+r AS (SELECT doc_id, a, CASE WHEN len(list_filter(b, lambda x: regexp_matches(x, '{_SPACED}'))) > 0 THEN b ELSE a END AS b FROM k)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(len(a) - len(b) AS BIGINT) AS n_dropped, sha256(array_to_string(b, chr(10))) AS text_sha256 FROM r"""
+
+_STRENGTH = "(SELECT CASE WHEN v IS NULL OR v <= noise THEN 1000.0 ELSE least(greatest(own / (v - noise) - 1, 2.0), 1000.0) END FROM (SELECT avg((bad / n - mean) * (bad / n - mean)) AS v, avg(mean * (1 - mean)) AS own, avg(mean * (1 - mean) / n) AS noise FROM {0} WHERE n > 0))"
+_SHRUNK = "SELECT *, bad + least({0}, weight) * mean AS a, n - bad + least({0}, weight) * (1 - mean) AS b FROM {1}"
+
+ORACLE_SQL["op7_urlfilter"] = rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
+p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*?://[^/?#]*/[a-z]+/([0-9]{{1,18}})', 1) AS doc FROM u),
+o AS (SELECT host, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END AS bad FROM p JOIN labels l ON doc <> '' AND CAST(l.doc_id AS VARCHAR) = doc WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+h0 AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad FROM (SELECT DISTINCT host FROM p) LEFT JOIN o USING (host) GROUP BY 1),
+h AS (SELECT *, string_split(host, '.') AS s FROM h0),
+hd AS (SELECT host, n, bad, CASE WHEN len(s) <= 1 THEN host ELSE s[-2] || '.' || s[-1] END AS domain, CASE WHEN len(s) <= 1 THEN '' ELSE s[-1] END AS suffix FROM h),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hd GROUP BY 1, 2), s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY 1),
+s1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM s0) AS mean, (SELECT sum(n) + 1.0 FROM s0) AS weight FROM s0), s2 AS ({_SHRUNK.format(_STRENGTH.format("s1"), "s1")}),
+d1 AS (SELECT d0.*, a / (a + b) AS mean, a + b AS weight FROM d0 JOIN (SELECT suffix, a, b FROM s2) USING (suffix)), d2 AS ({_SHRUNK.format(_STRENGTH.format("d1"), "d1")}),
+h1 AS (SELECT hd.*, a / (a + b) AS mean, a + b AS weight FROM hd JOIN (SELECT domain, a, b FROM d2) USING (domain)), h2 AS ({_SHRUNK.format(_STRENGTH.format("h1"), "h1")}),
+bad AS (SELECT host FROM h2 WHERE a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5),
+r AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+ WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+#: The driver's conversations hold no tool block, so every event is a message.
+ORACLE_SQL["op9_toolchat"] = """
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS part, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(0 AS BIGINT) AS depth, CAST(NULL AS BOOLEAN) AS linked, true AS valid,
+ CAST(to_json(struct_pack(content := coalesce(text, ''), role := role)) AS VARCHAR) AS json FROM conversations"""
