@@ -33,3 +33,16 @@ def summary_line(clause_index: Column, output: Column, text: Column) -> Column:
 def first_k(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """The first k rows of each group."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("__n") <= k).drop("__n")
+
+
+def question_with_context(question: Column, contexts: Column) -> Column:
+    """A question after the clauses that were retrieved for it; contexts is an array of texts."""
+    some = F.when(F.size(contexts) > 0, F.array_join(contexts, "\n\n")).otherwise("No closely matching reference clauses found.")
+    return F.concat(F.lit("RELEVANT REFERENCE CLAUSES (retrieved for this question):\n"), some, F.lit("\n\nQUESTION:\n"), question)
+
+
+def messages(system: Column, history: Column, question: Column) -> Column:
+    """What a chat model is given: the system message, the history's (role, content), the question."""
+    one = lambda role, content: F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
+    past = F.transform(history, lambda h: F.struct(h["role"].alias("role"), h["content"].alias("content")))
+    return F.concat(one("system", system), past, one("user", question))

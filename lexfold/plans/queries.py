@@ -661,3 +661,120 @@ def set_operations(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
     both = labels.intersect(docs.select("doc_id"))
     return docs.join(labels, "doc_id", "left_semi").select("doc_id").unionByName(docs.where("lang = 'en'").join(both, "doc_id", "left_semi").select("doc_id"))
+
+
+# further operators
+
+
+@query(ANN + "SELECT clause_index, party, risk FROM party WHERE clause_index = (SELECT min(clause_index) FROM ann) AND party = 'Licensee'")
+def point_lookup(spark, sf_dir):
+    rows = reshape.party_rows(annotations(spark, sf_dir))
+    return curate.lookup(rows, rows.agg(F.min("clause_index")).first()[0], "Licensee").select("clause_index", "party", "risk")
+
+
+@query(PRED.rstrip(", ") + " SELECT row_no FROM pr WHERE party <> 'es'")
+def known_predictions(spark, sf_dir):
+    """Unparsed predictions, here those of one language, are left out."""
+    rows = _predictions(spark, sf_dir).withColumn("predicted", F.when(F.col("party") == "es", "Unknown").otherwise(F.col("y_pred")))
+    return curate.known_predictions(rows).select("row_no")
+
+
+@query(PRED.rstrip(", ") + " SELECT row_no, CASE WHEN party = 'es' THEN 'Low' ELSE y_pred END AS y_pred, party = 'es' AS failed FROM pr")
+def parse_fallback(spark, sf_dir):
+    rows = _predictions(spark, sf_dir).withColumn("y_pred", F.when(F.col("party") != "es", F.col("y_pred")))
+    filled, failed = evaluate.with_fallback(rows, "Low")
+    return filled.join(failed.select("row_no", F.lit(True).alias("failed")), "row_no", "left").select("row_no", "y_pred", F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
+@query(CLASSES + "SELECT risk, count(*) + CASE WHEN risk = 'High' THEN 100 ELSE 0 END AS n FROM cls GROUP BY 1")
+def append_sample(spark, sf_dir):
+    """One hundred High rows drawn again and appended."""
+    rows = _labelled(spark, sf_dir).select("row_no", "risk")
+    return rows.unionByName(curate.drawn(rows.where("risk = 'High'"), 100).drop("draw")).groupBy("risk").agg(F.count("*").alias("n"))
+
+
+@query(CLASSES + "SELECT risk, copy_no, count(*) AS n FROM (SELECT risk, 1 AS copy_no FROM cls WHERE risk <> 'Low' UNION ALL SELECT risk, 2 FROM cls WHERE risk = 'High') GROUP BY 1, 2")
+def rephrased_composition(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    n = {r["risk"]: r["n"] for r in curate.class_sizes(rows).collect()}
+    return curate.rephrased_composition(rows, 2 * n.get("High", 0) + n.get("Medium", 0), lambda df: df).groupBy("risk", "copy_no").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS clause_index, party, 'High' AS risk, 'This ' || lang || ' clause exposes the ' || party || ' to risk.' AS explanation FROM documents, (SELECT unnest(['Licensor', 'Licensee']) AS party)")
+def constant_risk(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clause_index"), F.col("lang").alias("clause_type"))
+    return reshape.constant_risk(rows).select("clause_index", "party", "risk", "explanation")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE lang IN ('en', 'fr') AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 30 GROUP BY text")
+def contract_rows(spark, sf_dir):
+    """Rows of kept clause types and a risk, a text once; languages stand for types."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_no"), F.col("text").alias("clause_text"), F.col("lang").alias("clause_type"), F.lit("HIGH").alias("risk_level"))
+    return curate.contract_rows(rows, ("en", "fr")).select(F.col("row_no").alias("doc_id"))
+
+
+@query(ENRICHED + " SELECT CAST(count(DISTINCT source_file) AS INT) AS total_pdfs, CAST(count(*) AS INT) AS total_clauses, count(DISTINCT source_file) AS files FROM en")
+def extraction_summary(spark, sf_dir):
+    return writers.summary(_clauses(spark, sf_dir)).select("total_pdfs", "total_clauses", F.size("per_file").cast("long").alias("files"))
+
+
+@query(ENRICHED + " SELECT source_file, CAST(count(*) AS INT) AS clause_count, CAST(1 AS INT) AS total_pages, string_agg(CAST(clause_id AS VARCHAR), ',' ORDER BY clause_id) AS ids FROM en GROUP BY 1")
+def document_assembly(spark, sf_dir):
+    return segment.documents(_clauses(spark, sf_dir)).select("source_file", "clause_count", "total_pages", F.array_join(F.transform("clauses", lambda c: c["clause_id"].cast("string")), ",").alias("ids"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'rate_limit|rate limit|ratelimit|429|too many requests') AS rate, regexp_matches(lower(text), 'context_length_exceeded|tokens_limit_reached|maximum context|too long') OR (contains(lower(text), 'context') AND contains(lower(text), 'length')) OR (contains(lower(text), 'reduce') AND contains(lower(text), 'token')) AS context FROM documents")
+def error_classes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_rate_limit(F.col("text")).alias("rate"), X.is_context_length(F.col("text")).alias("context"))
+
+
+@query(ANN + """SELECT clause_index, '  Clause ' || clause_index || ': Risk Level: ' || a || ' | "' || replace(substr(clause_text, 1, 80), chr(10), ' ') || '..."' AS line FROM ann""")
+def summary_lines(spark, sf_dir):
+    rows = reshape.party_rows(annotations(spark, sf_dir)).where("party = 'Licensor'")
+    output = F.concat(F.lit("Risk Level: "), F.col("risk"), F.lit("\nExplanation: "), F.col("explanation"))
+    return rows.select("clause_index", chat.summary_line(F.col("clause_index"), output, F.col("clause_text")).alias("line"))
+
+
+@query(ANN + "SELECT clause_index, '[Reference 1]' || chr(10) || '  Risk for Licensee: ' || b || chr(10) || '  Why: Exposure of ' || substr(clause_text, 1, 30) || chr(10) || '  Clause text: ' || CASE WHEN length(clause_text) > 300 THEN substr(clause_text, 1, 300) || '...' ELSE clause_text END AS context FROM ann WHERE status = 'success'")
+def retrieved_context(spark, sf_dir):
+    rows = reshape.for_role(reshape.chunks(annotations(spark, sf_dir)), F.lit("Licensee"))
+    return rows.select("clause_index", retrieve.context_text(F.col("risk"), F.col("explanation"), F.col("raw_clause"), F.lit(1), F.lit("Licensee")).alias("context"))
+
+
+@query(ANN + "SELECT 'Licensee' AS role, clause_index, 'Party role: Licensee' || chr(10) || chr(10) || 'Contract clause:' || chr(10) || clause_text || chr(10) || chr(10) || 'What is the risk level of this clause for the above party?' AS prompt FROM ann")
+def classification_prompts(spark, sf_dir):
+    rows = annotations(spark, sf_dir)
+    return rows.select(F.lit("Licensee").alias("role"), "clause_index", P.classification_request(F.col("clause_text"), F.lit("Licensee")).alias("prompt"))
+
+
+@query("SELECT session_id, turn, n FROM (SELECT conv_id AS session_id, turn, role, CAST(1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS n FROM conversations) WHERE role = 'user'")
+def chat_requests(spark, sf_dir):
+    """The messages a model would be given at each user turn: a system message, the turns before, the question."""
+    df = chat.histories(_turns(spark, sf_dir)).where("role = 'user'")
+    asked = chat.question_with_context(F.col("content"), F.array().cast("array<string>"))
+    return df.select("session_id", "turn", F.size(chat.messages(F.lit("Be brief."), F.col("history"), asked)).alias("n"))
+
+
+@query(PRED.rstrip(", ") + " SELECT row_no, y_true, y_pred FROM pr WHERE (y_true, y_pred) IN (('Low', 'High'), ('High', 'Low'))")
+def flip_rows(spark, sf_dir):
+    return evaluate.flip_rows(_predictions(spark, sf_dir)).select("row_no", "y_true", "y_pred")
+
+
+@query(ANN + "SELECT count(*) FILTER (WHERE lang <> 'en') AS rephrased, count(*) FILTER (WHERE lang = 'en') AS fallback FROM ann")
+def rephrase_counts(spark, sf_dir):
+    """Copies that a model rephrased, here all but the English ones."""
+    rows = annotations(spark, sf_dir).select("lang", F.col("parties")["Licensor"]["explanation"].alias("explanation"))
+    return compare.rephrase_counts(rows.withColumn("rephrased", F.when(F.col("lang") == "en", F.col("explanation")).otherwise(F.concat(F.col("explanation"), F.lit("!")))))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT label) AS labels FROM embeddings")
+def index_health(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").agg(F.count("*").alias("chunks"), F.countDistinct("label").alias("labels"))
+
+
+@query("SELECT window_start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type FROM events) GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Tumbling windows, as the stream counts them."""
+    from ..streaming import running_counts
+
+    return running_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("window_start"), "event_type", "n")
