@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions.text import strip
@@ -73,18 +74,20 @@ def pdf_lines(spark: SparkSession, path: str, reader: PdfReader | None = None) -
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
     read = reader or plumbed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = schemas.struct(schemas.RAW_LINE + ", error string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(kind)
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                file = name.rsplit("/", 1)[-1]
+            for row in b.to_pylist():
+                file = row["path"].rsplit("/", 1)[-1]
                 try:
-                    rows = [{"source_file": file, "line_no": i, **x} for i, x in enumerate(read(bytes(content)))]
+                    rows = [{"source_file": file, "line_no": i, **x} for i, x in enumerate(read(row["content"]))]
                 except Exception as e:
                     rows = [{"source_file": file, "error": str(e)}]
-                yield pd.DataFrame(rows, columns=columns).astype({"line_no": "Int32", "page": "Int32", "bold": "boolean", **dict.fromkeys(("top", "bottom", "height", "size"), "Float64")})
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    columns = [c.split()[0] for c in schemas.RAW_LINE.split(", ")] + ["error"]
-    got = files.select("path", "content").mapInPandas(run, schemas.RAW_LINE + ", error string")
+    got = files.select("path", "content").mapInArrow(run, kind)
     return got.where("error is null").drop("error"), got.where("error is not null").select("source_file", "error")
 
 
