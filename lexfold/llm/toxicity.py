@@ -105,7 +105,7 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
     """Train on texts with labels 0 or 1. Without both classes the model says the only class's rate; without any row, never."""
     y = np.asarray(list(labels), np.int64)
     vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int64) for t in texts]
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in keep], y[keep]
     if not len(y):
@@ -202,8 +202,18 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: i
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int | None = FOLD) -> Model:
-    known = sample(docs, labels, label_col, fold).toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return fit(known["text"], known["label"])
+    """The model, fitted by one task on the sample, which SAMPLE and SAMPLE_CHARS bound; only the model comes to the driver."""
+    ship(docs.sparkSession)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(batches)
+        if found:
+            known = pd.concat(found).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+            m = fit(known["text"], known["label"])
+            yield pd.DataFrame({"weight": [m.weight.tobytes()], "bias": [m.bias]})
+
+    got = sample(docs, labels, label_col, fold).repartition(1).mapInPandas(train, "weight binary, bias double").first()
+    return fit([], []) if got is None else Model(np.frombuffer(got["weight"], np.float32), got["bias"])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
