@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, ship, small
 
 SEQUENCE = 1024
 #: Sequences of a mixing window.
@@ -211,7 +211,7 @@ def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, w
     sums = stored.groupBy("part", "source").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy(queue).orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1))
     carry = sums.select("part", "source", F.coalesce(before, F.lit(0)).alias("before"), queue.alias("queue"))
-    placed = stored.join(carry, ["part", "source"]).select("doc_id", "queue", (F.col("before") + F.col("at")).alias("at"), "n", "ids")
+    placed = stored.join(small(carry), ["part", "source"]).select("doc_id", "queue", (F.col("before") + F.col("at")).alias("at"), "n", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
     width = 2 if _small(path) else 4
 
