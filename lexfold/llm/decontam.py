@@ -64,10 +64,12 @@ def _probes(tests: DataFrame, postings: DataFrame, window: int, rarest: int) ->
 def alignments(postings: DataFrame, tests: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """(doc_id, h, item, delta, starts): windows, by first place, whose rarest terms meet at an offset."""
     probes = materialise(_probes(tests, postings, window, rarest), "decontam-probes")
-    places = probes.select("item", "w", F.explode(F.array_distinct(F.flatten("wins.need"))).alias("ipos")).select("item", "ipos", F.xxhash64(F.element_at("w", F.col("ipos") + 1)).alias("t"))
-    met = postings.join(small(places), "t").select("doc_id", "h", "item", (F.col("pos") - F.col("ipos")).alias("delta"), "ipos")
-    seeds = met.where("delta > -1").groupBy("doc_id", "h", "item", "delta").agg(F.collect_set("ipos").alias("got"))
-    wins = F.filter("wins", lambda y: F.size(F.array_except(y["need"], F.col("got"))) == 0)
+    last = F.greatest(F.lit(0), F.size("w") - window).alias("last")
+    places = probes.select("item", "w", last, F.explode(F.array_distinct(F.flatten("wins.need"))).alias("ipos")).select("item", "last", "ipos", F.xxhash64(F.element_at("w", F.col("ipos") + 1)).alias("t"))
+    # a document may begin inside an item (delta < 0); it then holds the windows from place -delta on
+    met = postings.join(small(places), "t").where(F.col("pos") - F.col("ipos") + F.col("last") >= 0).select("doc_id", "h", "item", (F.col("pos") - F.col("ipos")).alias("delta"), "ipos")
+    seeds = met.groupBy("doc_id", "h", "item", "delta").agg(F.collect_set("ipos").alias("got"))
+    wins = F.filter("wins", lambda y: (F.col("delta") + y["s"] >= 0) & (F.size(F.array_except(y["need"], F.col("got"))) == 0))
     kept = seeds.join(small(probes.select("item", "wins")), "item")
     return kept.select("doc_id", "h", "item", "delta", F.transform(wins, lambda y: y["s"]).alias("starts")).where(F.size("starts") > 0)
 
