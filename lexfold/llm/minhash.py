@@ -1,0 +1,118 @@
+"""Near duplicates by the Jaccard similarity of word shingles: MinHash proposes pairs, the shingles decide.
+
+A text is the set of its five-word shingles. ``BANDS`` keys of ``ROWS`` least
+values each find a pair of similarity 0.8 but for once in 10 ** 7; every pair
+found is verified on the shingles themselves.
+
+Texts that meet on a key are compared all with all, up to ``LONG_LIST`` of them.
+In a longer list the text with the least doc_id is compared with all others,
+those similar to it leave the list, and so on with the rest. No text is then
+kept that is similar to another kept one, and no pairs of a whole group are made.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialise, ship
+from .simhash import SEED, components
+
+WORDS = 5
+PERCENT = 80
+BANDS, ROWS = 32, 4
+LONG_LIST = 16
+_rng = np.random.default_rng(SEED)
+_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_ODD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of a text's distinct word shingles, sorted; words as in simhash.fingerprint."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64))
+
+
+def node(own: np.ndarray) -> int:
+    """What stands for a set of shingles; 0 for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)) if len(own) else 0
+
+
+def keys(own: np.ndarray) -> list[int]:
+    """The set's key in each band."""
+    if not len(own):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 4096):
+        least = np.minimum(least, ((own[i : i + 4096, None] ^ _XOR) * _ODD).min(0))
+    raw = least.reshape(BANDS, ROWS)
+    return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), b)).view(np.int64)) for b, r in enumerate(raw)]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose shingle sets have a Jaccard similarity of percent at least."""
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("b")), "y")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("x", "y")
+
+
+def links(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x, y): similar nodes. met: (key, node, first), the nodes that share a key with another; first orders them."""
+    found, left = None, met
+    while True:
+        sized = left.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "node")).alias("c"))
+        lists = materialise(left.join(sized.where("n > 1").select("key", "n", F.col("c.node").alias("c")), "key"), "minhash-lists")
+        short = lists.where(F.col("n") <= LONG_LIST).groupBy("key").agg(F.collect_list("node").alias("all"))
+        pairs = short.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y > F.col("x"))).alias("y"))
+        long = lists.where((F.col("n") > LONG_LIST) & (F.col("node") != F.col("c")))
+        pairs = pairs.union(long.select(F.col("c").alias("x"), F.col("node").alias("y"))).distinct()
+        got = materialise(_similar(pairs, sets, percent), "minhash-links")
+        found = got if found is None else found.union(got)
+        linked = got.select(F.col("x").alias("c"), F.col("y").alias("node"))
+        left = long.join(linked, ["c", "node"], "left_anti").select("key", "node", "first")
+        if left.isEmpty():
+            return found
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stand for their group: the smallest doc_id of each component of similar texts, once.
+
+    Null and empty texts are one group. Rows with a null doc_id are kept, having no
+    identity to compare. Of rows that repeat a doc_id the one with the smallest
+    text hash stays. An empty table returns no row.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("node long, bands array<long>")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        own = [shingles(t, words) for t in texts]
+        return pd.DataFrame({"node": [node(s) for s in own], "bands": [keys(s) for s in own]})
+
+    @F.pandas_udf("node long, s array<long>")
+    def listed(texts: pd.Series) -> pd.DataFrame:
+        own = [shingles(t, words) for t in texts]
+        return pd.DataFrame({"node": [node(s) for s in own], "s": [s.view(np.int64) for s in own]})
+
+    named = docs.where("doc_id is not null")
+    by_doc = materialise(named.select("doc_id", signed("text").alias("m")).select("doc_id", "m.node", "m.bands"), "minhash-docs")
+    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first")), "minhash-nodes")
+    own = by_doc.join(nodes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
+    posted = own.select("node", F.col("doc_id").alias("first"), F.explode("bands").alias("key"))
+    several = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = materialise(posted.join(several, "key"), "minhash-met")
+    some = met.select("node", F.col("first").alias("doc_id")).distinct()
+    texts = named.join(some.select("doc_id").distinct(), "doc_id", "left_semi").select(listed("text").alias("m")).select("m.node", "m.s")
+    sets = materialise(texts.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+    found = components(links(met, sets, percent))
+    grouped = found.union(found.select("root", "root")).distinct().join(nodes, "node")
+    least = grouped.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")
+    alone = nodes.join(grouped.select("node"), "node", "left_anti").select(F.col("first").alias("doc_id"))
+    kept = docs.join(least.union(alone).distinct(), "doc_id", "left_semi")
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("__n", at).where("__n = 1").drop("__n").select(*docs.columns).unionByName(docs.where("doc_id is null"))

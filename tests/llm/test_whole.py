@@ -1,8 +1,10 @@
 """Inputs on which operators once did less than the whole job."""
 
+import random
+
 import brute
 
-from lexfold.llm import decontam
+from lexfold.llm import decontam, minhash
 
 
 # 3 decontamination
@@ -16,3 +18,36 @@ def test_documents_that_begin_inside_an_item(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == dict(enumerate(brute.contamination(texts, items)))
     assert got[0][1] == 20 and got[0][4] and got[1][4] and not got[2][4]
+
+
+# near duplicates in the pipeline
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_one_document(spark):
+    """Copies with words changed, a few far beyond two bits; and more of them than a list may hold."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g, size in enumerate([1, 2, 3, 60]):
+        base = text(200)
+        for k in range(size):
+            w = list(base)
+            for at in rng.sample(range(200), 3 if k else 0):
+                w[at] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(w)))
+    far = text(60)
+    rows += [(900, " ".join(far)), (901, " ".join(far[:45] + text(15))), (902, None), (903, ""), (None, rows[0][1]), (904, "two words"), (905, "Two  WORDS")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"]: r["text"] or "" for r in corpus_pipeline.near_duplicates(spark, df, "").collect() if r["doc_id"] is not None}
+    assert {0, 100, 200, 300, 900, 901, 902, 904} <= set(kept) and not {101, 201, 202, 903, 905} & set(kept)
+    assert all(_jaccard(kept[i], kept[j]) < 0.8 for i in kept for j in kept if i < j)
+    assert len(kept) <= 12
+    again = minhash.keep_first(df.union(df))
+    assert sorted(r["doc_id"] for r in again.where("doc_id is not null").collect()) == sorted(kept) and minhash.keep_first(df.limit(0)).count() == 0
