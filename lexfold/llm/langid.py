@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLOCK, crc_mod, ship, word_blocks
-from .grams import hashed, plain
+from .grams import batches, hashed, plain
 
 CHAIN = 64
 BUCKETS = 1 << 16
@@ -102,8 +102,8 @@ class Tagger(dict):
 
     def learn(self, words: Iterable[str]) -> None:
         new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+        for some in batches(new):
+            part = [new[i] for i in some]
             at, valid = features(part, self.model.lexicon)
             logs = np.stack([(self.model.weight[:, k][at] * valid).sum(1) for k in range(len(self.model.labels))], 1)
             known = valid.any(1)
@@ -221,12 +221,12 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
         n = len(joined)
         at[s, :n] = [vocabulary.setdefault(w, len(vocabulary)) for w in joined]
         y[s, :n], valid[s, :n] = marks, True
-    known, flat, size = list(vocabulary), [np.zeros(0, np.int32)], []
-    for i in range(0, len(known), 10_000):
-        p, v = features(known[i : i + 10_000], lexicon)
+    known, flat, owner = list(vocabulary), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for some in batches(known):
+        p, v = features([known[i] for i in some], lexicon)
         flat.append(p[v])
-        size.append(v.sum(1))
-    flat, owner = np.concatenate(flat), np.repeat(np.arange(len(known)), np.concatenate(size))
+        owner.append(np.repeat(some, v.sum(1)))
+    flat, owner = np.concatenate(flat), np.concatenate(owner)
     hot = np.eye(L, dtype=np.float64)[y] * valid[:, :, None]
     pair = np.zeros((L, L))
     both = valid[:, 1:]

@@ -6,7 +6,8 @@ softmax are trained together by gradient descent, so misspellings share the
 n-grams of what they misspell. A document's bags are overlapping windows of
 ``WINDOW`` words and its score is that of its worst window, so that one insult
 weighs alike in a short and in a long text. Training starts from the bags of
-whole short texts and goes on with the worst window of every text.
+whole short texts and goes on with the worst window of every text. Very long
+words, as of scripts without spaces, are read as pieces, each a word.
 
 The model is linear in its n-grams: for scoring, each bucket is one number.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK, crc_mod, ship, word_blocks
-from .grams import hashed, plain, rows
+from .grams import hashed, pieces, plain, rows
 
 WINDOW = 12
 STRIDE = 6
@@ -74,10 +75,11 @@ class Scorer(dict):
             for words in word_blocks(text or ""):
                 if not words:
                     continue
+                words = pieces(words)
                 try:
                     own = np.fromiter(map(self.__getitem__, words), np.float32, len(words))
                 except KeyError:
-                    self.learn({w for t in texts[i : i + 256] if t and len(t) <= BLOCK for w in t.split() if w not in self} | {w for w in words if w not in self})
+                    self.learn({w for t in texts[i : i + 256] if t and len(t) <= BLOCK for w in pieces(t.split()) if w not in self} | {w for w in words if w not in self})
                     own = np.fromiter(map(self.__getitem__, words), np.float32, len(words))
                 s = np.concatenate([tail, own])
                 got = windows(s, m.window, m.stride).max()
@@ -105,7 +107,7 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
     """Train on texts with labels 0 or 1. Without both classes the model says the only class's rate; without any row, never."""
     y = np.asarray(list(labels), np.int64)
     vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.split()), np.int32) for t in texts]
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in pieces(t.split())), np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, y = [docs[i] for i in keep], y[keep]
     if not len(y):

@@ -3,8 +3,10 @@
 import random
 
 import brute
+import numpy as np
+from pyspark.sql import functions as F
 
-from lexfold.llm import decontam, minhash
+from lexfold.llm import decontam, grams, langid, minhash, packing, pii, toolchat, toxicity
 
 
 # 3 decontamination
@@ -51,3 +53,28 @@ def test_near_copies_are_one_document(spark):
     assert len(kept) <= 12
     again = minhash.keep_first(df.union(df))
     assert sorted(r["doc_id"] for r in again.where("doc_id is not null").collect()) == sorted(kept) and minhash.keep_first(df.limit(0)).count() == 0
+
+
+# 1 toxicity, 5 language
+
+
+def test_all_of_an_unspaced_text_is_read():
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), 6))
+    text = lambda bad, sep=" ": sep.join([word() for _ in range(30)] + ([bad] if bad else []) + [word() for _ in range(30)])
+    m = toxicity.fit([text("worthless" if i % 3 == 0 else None) for i in range(300)], [int(i % 3 == 0) for i in range(300)])
+    bad, good = m.scorer().scores([text("worthless" * 3, ""), text(None, "")])
+    assert bad > 3 * good
+    assert all(any(w[i : i + 5] in p for p in grams.pieces([w])) for w in ["".join(rng.choice(list("abc"), 500))] for i in range(496))
+    assert grams.pieces(["short", "." * 60 + "ab"]) == ["short", "." * 60 + "ab"]
+
+
+def test_letters_and_ngrams_beyond_forty_characters_count():
+    rng = np.random.default_rng(3)
+    vocab = {"aa": ["katha", "prosa", "melin", "torva"], "bb": ["xylo", "zefir", "quark", "wyrd"]}
+    text = lambda g, n, sep=" ": sep.join(rng.choice(vocab[g], n))
+    own = langid.fit([text(g, 30) for g in vocab for _ in range(40)], [g for g in vocab for _ in range(40)]).tagger()
+    long = "1" * 40 + text("bb", 200, "")
+    lang, score = own.predict([long, "1" * 40 + text("aa", 200, ""), "1" * 90, "katha " + text("aa", 3)])
+    assert lang == ["bb", "aa", "und", "aa"] and score[0] > 0.5
+    assert [g for _, g in own.tag("katha " + "1" * 90 + " " + long)][1:] == [None, "bb"]
