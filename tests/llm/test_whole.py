@@ -78,3 +78,17 @@ def test_letters_and_ngrams_beyond_forty_characters_count():
     lang, score = own.predict([long, "1" * 40 + text("aa", 200, ""), "1" * 90, "katha " + text("aa", 3)])
     assert lang == ["bb", "aa", "und", "aa"] and score[0] > 0.5
     assert [g for _, g in own.tag("katha " + "1" * 90 + " " + long)][1:] == [None, "bb"]
+
+
+# 8 packing
+
+
+def test_each_of_many_sources_has_its_own_queue(spark):
+    n = packing.MAX_QUEUES + 300
+    many = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(12)), f"source{i}") for i in range(n)], "doc_id long, text string, source string")
+    places = lambda **more: many.sparkSession.createDataFrame(packing.packed(many, sequence=64, window=4096, **more).select("doc_id", "length", (F.col("sequence_id") * 64 + F.col("offset")).alias("at")).toPandas()).groupBy("doc_id").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("length")).alias("b"), F.sum("length").alias("n")).collect()
+    got = places()
+    total = sum(r["n"] for r in got)
+    assert len(got) == n and min(r["b"] - r["a"] for r in got) > total / 2
+    aimed = {r["doc_id"]: r for r in places(targets={"source7": 1.0})}
+    assert aimed[7]["b"] <= 4096 and sum(r["n"] for r in aimed.values()) == total
