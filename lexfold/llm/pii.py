@@ -31,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|api_key|apikey|access_token|token)[=:] ?[^\x00-\x20]{8,128}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|api_key|apikey|access_token|token)[=:] ?[^\x00-\x20]{8,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
 }
 #: What a text must contain for the pattern to be worth a search.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}

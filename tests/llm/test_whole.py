@@ -92,3 +92,14 @@ def test_each_of_many_sources_has_its_own_queue(spark):
     assert len(got) == n and min(r["b"] - r["a"] for r in got) > total / 2
     aimed = {r["doc_id"]: r for r in places(targets={"source7": 1.0})}
     assert aimed[7]["b"] <= 4096 and sum(r["n"] for r in aimed.values()) == total
+
+
+# 10 personal data
+
+
+def test_long_secrets_are_found_whole(spark):
+    t = ["access_token=" + "eyJhbGci." * 40 + " after", "token: " + "x" * 20000]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id int, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.found(df).collect()}
+    assert got == {0: [("secret", 0, 13 + 360)], 1: [("secret", 0, 7 + 20000)]}
+    assert {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()} == {0: "<SECRET> after", 1: "<SECRET>"}
