@@ -25,7 +25,6 @@ RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 #: Tool name -> argument -> (type, whether it is required). A tool without schema takes any object.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
-MAX_DEPTH = 1000
 
 
 def canonical(json: Column) -> Column:
@@ -60,26 +59,33 @@ def events(messages: DataFrame) -> DataFrame:
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth): 1 for a call without dependencies; null in or after a cycle or past MAX_DEPTH.
+    """(conv_id, call_id, depth): 1 for a call without dependencies; null in or after a cycle.
 
     calls: (conv_id, call_id, needs). Dependencies on unknown calls do not bind.
-    A round settles the calls whose dependencies are settled; each is written.
+    A round settles the calls whose dependencies are settled, and an open call that
+    hangs on a single one is passed over: whoever needs it needs that one, deeper by
+    w. A chain of n calls thus takes log n rounds. Each round settles a call, or no
+    call outside cycles is left.
     """
-    known = calls.select("conv_id", "call_id").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    edges = materialise(edges.join(known.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]), "toolchat-edges")
-    bound = edges.select("conv_id", "call_id").distinct()
-    done = materialise(known.join(bound, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(1).cast("long")), "toolchat-depths")
-    left = bound
-    for _ in range(MAX_DEPTH):
-        waiting = edges.join(left, ["conv_id", "call_id"]).join(done.select("conv_id", F.col("call_id").alias("need"), "depth"), ["conv_id", "need"], "left")
-        ready = waiting.groupBy("conv_id", "call_id").agg(F.max("depth").alias("m"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0")
-        new = materialise(ready.select("conv_id", "call_id", (F.col("m") + 2).alias("depth")), "toolchat-ready")
+    key = ["conv_id", "call_id"]
+    known = calls.select(*key).distinct()
+    edges = calls.select(*key, F.explode("needs").alias("need")).distinct()
+    edges = materialise(edges.join(known.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).select(*key, "need", F.lit(2).cast("long").alias("w")), "toolchat-edges")
+    done = materialise(known.join(edges.select(*key).distinct(), key, "left_anti").withColumn("depth", F.lit(1).cast("long")), "toolchat-depths")
+    while True:
+        waiting = edges.join(done.select("conv_id", F.col("call_id").alias("need"), "depth"), ["conv_id", "need"], "left")
+        state = waiting.groupBy(*key).agg(F.max(F.col("depth") + F.col("w")).alias("m"), F.count_if(F.col("depth").isNull()).alias("open"), F.count("*").alias("n"), F.max("need").alias("via"), F.max("w").alias("more"))
+        state = materialise(state, "toolchat-state")
+        new = state.where("open = 0").select(*key, F.col("m").alias("depth"))
         if new.isEmpty():
-            break
+            return done
         done = materialise(done.union(new), "toolchat-depths")
-        left = materialise(left.join(new, ["conv_id", "call_id"], "left_anti"), "toolchat-left")
-    return done
+        left = state.where("open > 0")
+        passed = left.where("n = 1").select("conv_id", F.col("call_id").alias("need"), "via", "more")
+        on = edges.join(left.select(*key), key, "left_semi").join(passed, ["conv_id", "need"], "left")
+        # the bound stops weights around a cycle, which never settle
+        w = F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(1 << 60))
+        edges = materialise(on.select(*key, F.coalesce("via", "need").alias("need"), w.alias("w")).groupBy(*key, "need").agg(F.max("w").alias("w")), "toolchat-edges")
 
 
 def formatted(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:

@@ -94,6 +94,22 @@ def test_each_of_many_sources_has_its_own_queue(spark):
     assert aimed[7]["b"] <= 4096 and sum(r["n"] for r in aimed.values()) == total
 
 
+# 9 chat
+
+
+def test_long_chains_of_calls_are_ordered(spark):
+    call = lambda c, *needs: '<tool_call>{"id": "%s", "name": "f", "arguments": {"x": [%s]}}</tool_call>' % (c, ", ".join(f'"${n}"' for n in needs))
+    n = 1100
+    rows = [(1, i, "assistant", call(f"c{i}", *([f"c{i - 1}"] if i else []))) for i in range(n)]
+    # two calls needed by one, over ways of different lengths; a cycle and what hangs on it
+    rows += [(2, 0, "a", call("a") + call("b", "a") + call("c", "b") + call("d", "a", "c") + call("e", "d", "gone")), (2, 1, "a", call("x", "y") + call("y", "z") + call("z", "x") + call("v", "z") + call("u", "v", "a") + call("t", "t"))]
+    rows += [(1, n, "tool", '<tool_result>{"id": "c%d", "content": "ok"}</tool_result>' % (n - 1))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["kind"], r["call_id"]): r["depth"] for r in toolchat.formatted(df).where("kind <> 'message'").collect()}
+    assert [got[1, "call", f"c{i}"] for i in range(n)] == list(range(1, 2 * n, 2)) and got[1, "result", f"c{n - 1}"] == 2 * n
+    assert [got[2, "call", c] for c in "abcdexyzvut"] == [1, 3, 5, 7, 9] + [None] * 6
+
+
 # 10 personal data
 
 
