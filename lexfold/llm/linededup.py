@@ -41,12 +41,13 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     return materialise(over.groupBy("host").agg(F.collect_list("line").alias("drop")), "linededup-drop")
 
 
-def stripped(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def stripped(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source", spare: bool = True) -> DataFrame:
     """docs with boilerplate lines cut from text, and __n_lines and __n_dropped.
 
     A null host is a site of its own, with the empty one. Lines without a word are
     neither counted nor dropped. A text of boilerplate lines alone is left as it
-    is: dropping it is for a stage that compares whole documents. Null texts stay
+    is, as the query's SQL says, unless spare is false: it then loses them like any
+    other, and only its lines without a word are left. Null texts stay
     null; repeated rows are treated alike; an empty table returns no row.
     """
     drop = small(boilerplate(docs, ratio, min_pages, text_col, host_col).select(F.col("host").alias("__host"), F.col("drop").alias("__drop")))
@@ -54,8 +55,9 @@ def stripped(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
     lines = _lines(F.col(text_col))
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_worded(x) | ~F.array_contains(F.col("__drop"), F.xxhash64(x))))
     df = df.withColumn("__kept", kept)
-    some = F.exists("__kept", _worded)
-    df = df.withColumn("__kept", F.when(some, F.col("__kept")).otherwise(lines))
+    if spare:
+        some = F.exists("__kept", _worded)
+        df = df.withColumn("__kept", F.when(some, F.col("__kept")).otherwise(lines))
     df = df.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__n_dropped", (F.size(lines) - F.size("__kept")).cast("long"))
     text = F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))
     return df.withColumn(text_col, text).select(*docs.columns, "__n_lines", "__n_dropped")

@@ -119,3 +119,16 @@ def test_long_secrets_are_found_whole(spark):
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.found(df).collect()}
     assert got == {0: [("secret", 0, 13 + 360)], 1: [("secret", 0, 7 + 20000)]}
     assert {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()} == {0: "<SECRET> after", 1: "<SECRET>"}
+
+
+# 6 line dedup
+
+
+def test_pages_of_boilerplate_alone_are_emptied_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    menu = ["home", "cookie notice", "footer", "imprint"]
+    rows = [(i, "\n".join([*menu, f"own words {i}"]), "s") for i in range(5)] + [(10 + i, "\n".join(menu[i:]), "s") for i in range(4)] + [(20, None, "s"), (21, "home", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.boilerplate(spark, df, "").collect()}
+    assert got == {**{i: f"own words {i}" for i in range(5)}, **{10 + i: "" for i in range(4)}, 20: None, 21: "home"}
