@@ -94,10 +94,28 @@ def word_blocks(text: str, size: int = BLOCK):
         at = end
 
 
-#: Rows of a lookup table up to which it is broadcast; beyond, Spark joins by shuffle.
+#: Rows, and bytes as Spark reckons them from the stored files, up to which a lookup table is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it is counted small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it is small by size and by count. df is a stored table, or a projection or filter of one."""
+    reckoned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if reckoned <= size and df.limit(rows + 1).count() <= rows else df
+
+
+#: A key that holds more than one in so many rows is hot: there are fewer than HOT hot keys, whatever the table.
+HOT = 1000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str = "n") -> DataFrame:
+    """left joined to right by key, right's count telling the rows of left that a key has: hot keys' rows stay where they are.
+
+    right is a stored table with a row a key. Fewer than HOT of its keys can be hot, so these are broadcast; the
+    others are joined by shuffle, where no key brings more than one in HOT rows.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(count) * HOT > total))
+    rest = left.join(F.broadcast(right.where(F.col(count) * HOT > total).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.where(F.col(count) * HOT <= total), key, how))

@@ -43,6 +43,29 @@ def components(docs):
     return {d: (f"{fp[d]:016x}", find(d)) for d in ids}
 
 
+def jaccard(a, b, words=5):
+    """Similarity of two texts' sets of word shingles; a text of fewer words is one shingle."""
+    a, b = ({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if (w := SPACED.findall(low(t))) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def similar(docs, least=0.8):
+    """doc_id -> smallest doc_id reachable over links of similarity least, of [(doc_id, text)] with distinct ids."""
+    root = {d: d for d, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, t) in enumerate(docs):
+        for b, u in docs[i + 1 :]:
+            if jaccard(t, u) >= least:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in root}
+
+
 def contamination(docs, items, window=13):
     """[(n_words, n_hit, n_items, sha, contaminated)] for texts, by every window of every item."""
     wins = {}

@@ -59,10 +59,41 @@ def test_long_lists_lose_no_component(spark):
     assert {v: got.get(v, v) for v in ids} == {v: find(v) for v in ids}
 
 
+def test_long_and_short_lists_go_one_way(spark):
+    """Thousands of fingerprints that differ in two free bytes alone, and pairs: every component is found."""
+    near = [a << 40 | b << 8 for a in range(0, 256, 3) for b in range(0, 256, 7)]
+    pairs = [x ^ y for i in range(40) for x in [int(np.random.default_rng(i).integers(1 << 62))] for y in (0, 1 << (i % 62) | 1 << (i * 7 + 1) % 62)]
+    ids = sorted(set(near + pairs))
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in ids], "fp long"))).collect()}
+    root = {v: v for v in ids}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    flips = [0, *(1 << b for b in range(64)), *(1 << b | 1 << c for b in range(64) for c in range(b))]
+    for v in ids:
+        for f in flips:
+            if v ^ f in root:
+                p, q = sorted((find(v), find(v ^ f)))
+                root[q] = p
+    assert {v: got.get(v, v) for v in ids} == {v: find(v) for v in ids}
+
+
 def test_keep_first_keeps_one_of_each_group(docs, corpus):
-    want = {c for _, c in brute.components([(d, t) for d, t, *_ in corpus]).values()}
+    want = set(brute.similar([(d, t) for d, t, *_ in corpus]).values())
     kept = simhash.keep_first(twice(docs))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) and kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) and kept.columns == docs.columns and len(want) < len(corpus) - 5
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_id_of_two_texts_stands_for_its_group(spark):
+    """A doc_id with two texts: as long as one of them stands for a group, a row of the id stays."""
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text("a"), "x"), (2, text("a"), "x"), (2, text("b"), "x"), (3, text("b"), "x"), (None, text("a"), "x")], "doc_id long, text string, __id string")
+    got = simhash.keep_first(df)
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 2] and got.columns == df.columns
 
 
 # 3 decontamination

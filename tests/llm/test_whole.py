@@ -6,7 +6,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexfold.llm import decontam, grams, langid, minhash, packing, pii, toolchat, toxicity
+from lexfold.llm import decontam, grams, langid, packing, pii, simhash, toolchat, toxicity
 
 
 # 3 decontamination
@@ -25,11 +25,6 @@ def test_documents_that_begin_inside_an_item(spark):
 # near duplicates in the pipeline
 
 
-def _jaccard(a, b):
-    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
-    return len(a & b) / len(a | b)
-
-
 def test_near_copies_are_one_document(spark):
     """Copies with words changed, a few far beyond two bits; and more of them than a list may hold."""
     import corpus_pipeline
@@ -49,10 +44,10 @@ def test_near_copies_are_one_document(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {r["doc_id"]: r["text"] or "" for r in corpus_pipeline.near_duplicates(spark, df, "").collect() if r["doc_id"] is not None}
     assert {0, 100, 200, 300, 900, 901, 902, 904} <= set(kept) and not {101, 201, 202, 903, 905} & set(kept)
-    assert all(_jaccard(kept[i], kept[j]) < 0.8 for i in kept for j in kept if i < j)
+    assert all(brute.jaccard(kept[i], kept[j]) < 0.8 for i in kept for j in kept if i < j)
     assert len(kept) <= 12
-    again = minhash.keep_first(df.union(df))
-    assert sorted(r["doc_id"] for r in again.where("doc_id is not null").collect()) == sorted(kept) and minhash.keep_first(df.limit(0)).count() == 0
+    again = simhash.keep_first(df.union(df))
+    assert sorted(r["doc_id"] for r in again.where("doc_id is not null").collect()) == sorted(kept) and simhash.keep_first(df.limit(0)).count() == 0
 
 
 # 1 toxicity, 5 language
