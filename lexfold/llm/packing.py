@@ -1,16 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens. A window visits the queues in
-order; queue s gains a quantum of ``N_s / n_windows`` tokens, sends the whole
-tokens of its deficit and carries the fraction on. After w windows queue s has
-thus sent ``N_s * w // n_windows`` tokens, whatever happened before, so any
-partition can take the round up where the one before left it: the deficits that
-cross a partition's edge follow from the window's number. Windows follow each
-other without a gap and are cut into sequences; the last sequence alone can be
-short.
-
-Token ids are made once and written to the shared folder; positions in a queue
-are partition sums carried forward, so no queue is gathered in one task.
+Every source is a queue of its documents. A window visits the queues in order;
+queue s gains a quantum of ``N_s / n_windows`` tokens (or of its target's share)
+and sends whole documents while a token of its deficit is left. What the last one
+takes beyond it is owed, and what is left is carried to the next window. Before
+window w a queue has thus been allowed ``N_s * w // n_windows`` tokens, whatever
+happened before, so a document's window follows from its place in its queue, and
+any partition can take the round up where another left it. Windows follow each
+other without a gap and are cut into sequences: a document is cut at a sequence's
+end alone, and the last sequence alone can be short.
+
+Token ids are made once and written to the shared folder; places in a queue and in
+the stream are sums carried forward, so no queue is gathered in one task.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, small
 
 SEQUENCE = 1024
-#: Sequences of a mixing window.
-WINDOW_SEQUENCES = 32
-#: Beyond so many sources the tests look at each source's own queue.
-MAX_QUEUES = 1024
+#: Sequences of a window for each queue, on average: some documents of each.
+QUEUE_SEQUENCES = 16
+#: Windows whose sizes one task sums up.
+CHUNK = 4096
 #: Words a worker remembers the ids of.
 CACHE = 600_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,7 +44,8 @@ class Encoder:
 
     Byte-level pre-tokens never cross a space or a line's end unless white space
     follows white space; where none does, a text is its words, each encoded once.
-    Other texts are encoded whole.
+    Other texts are encoded whole, and those that hold a special token by the
+    tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,7 +56,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast, self.runs = self._ranks(path), re.compile(r"\s\s")
@@ -78,7 +79,7 @@ class Encoder:
         return tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.specials):
             return np.array(self.fast.encode_ordinary(text), self.kind).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -86,7 +87,7 @@ class Encoder:
         """The ids and the closing 0, little-endian, 2 or 4 bytes an id."""
         if not text:
             return self.end
-        if self.fast is None or self.runs.search(text) or text[0].isspace() or text[-1].isspace():
+        if self.fast is None or any(t in text for t in self.specials) or self.runs.search(text) or text[0].isspace() or text[-1].isspace():
             return self.whole(text) + self.end
         first, after, whole, parts = self.first, self.after, self.whole, []
         if len(first) + len(after) > CACHE:
@@ -123,9 +124,9 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(part, doc_id, source, n, at, ids), written: at counts the tokens of the source before, in this part."""
+    """(part, doc_id, source, n, at, ids), written: doc_id as text; at counts the tokens of the source before, in this part."""
     ship(docs.sparkSession)
-    spec = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")]
+    spec = [F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, part, sent = encoder(path), TaskContext.get().partitionId(), {}
@@ -135,106 +136,87 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for s, k in zip(b["source"], n, strict=True):
                 at.append(sent.get(s, 0))
                 sent[s] = at[-1] + k
-            yield pd.DataFrame({"part": np.full(len(ids), part, np.int64), "doc_id": b["doc_id"].astype("Int64"), "source": b["source"], "n": np.array(n, np.int64), "at": np.array(at, np.int64), "ids": ids})
-
-    return materialise(docs.select(*spec).mapInPandas(encode, "part long, doc_id long, source string, n long, at long, ids binary"), "packing-ids")
-
-
-class Round:
-    """The round-robin's state at any window, from the queues' token counts and shares."""
-
-    def __init__(self, totals: dict[str, int], window: int, targets: dict[str, float] | None = None) -> None:
-        self.names = sorted(totals)
-        big = max(totals.values(), default=0)
-        every = sum(totals.values())
-        if targets is None:
-            self.windows = max(1, -(-every // window))
-            top = [totals[s] for s in self.names]
-            self.per = [self.windows] * len(top)
-        else:
-            share = {s: max(1e-6, float(targets.get(s, 0.0))) for s in self.names}
-            scale = sum(share.values())
-            self.per = [max(1, -(-totals[s] * 10**6 // max(1, round(window * share[s] / scale * 10**6)))) for s in self.names]
-            self.windows, top = max(self.per, default=1), [totals[s] for s in self.names]
-        kind = np.int64 if big * self.windows < 1 << 62 and every < 1 << 62 else object
-        self.top, self.per, self.index = np.array(top, kind), np.array(self.per, kind), {s: i for i, s in enumerate(self.names)}
-        self.at = (-1, None)
-
-    def sent(self, w: int):
-        """Tokens each queue has sent before window w."""
-        return np.minimum(self.top * w // self.per, self.top)
-
-    def window(self, w: int):
-        """Where window w starts, what each queue sent before and after it, and where its parts start."""
-        if self.at[0] != w:
-            a, b = self.sent(w), self.sent(w + 1)
-            size = b - a
-            self.at = (w, (int(a.sum()), a, b, np.cumsum(size) - size))
-        return self.at[1]
-
-    def stretches(self, queue: str, start: int, n: int) -> Iterator[tuple[int, int, int]]:
-        """(offset in the document, place in the stream, length) for n tokens from start of a queue."""
-        i, done = self.index[queue], 0
-        while done < n:
-            p = start + done
-            w = ((p + 1) * int(self.per[i]) - 1) // int(self.top[i])
-            base, a, b, inner = self.window(w)
-            k = min(n - done, int(b[i]) - p)
-            yield done, base + int(inner[i]) + p - int(a[i]), k
-            done += k
+            yield pd.DataFrame({"part": np.full(len(ids), part, np.int64), "doc_id": b["doc_id"], "source": b["source"], "n": np.array(n, np.int64), "at": np.array(at, np.int64), "ids": ids})
+
+    return materialise(docs.select(*spec).mapInPandas(encode, "part long, doc_id string, source string, n long, at long, ids binary"), "packing-ids")
+
+
+def queues(stored: DataFrame, window: int, targets: dict[str, float] | None = None) -> DataFrame:
+    """(source, n, windows), written: a queue's tokens, and in how many windows they are sent."""
+    found = materialise(stored.groupBy("source").agg(F.sum("n").alias("n")), "packing-queues")
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    if targets is None:
+        every = found.agg(F.sum("n")).first()[0] or 0
+        return found.withColumn("windows", F.lit(max(1, -(-every // window))).cast("long"))
+    given = {s: max(1e-6, float(x)) for s, x in targets.items()}
+    share = F.lit(1e-6)
+    if given:
+        share = F.coalesce(F.create_map(*(F.lit(x) for pair in given.items() for x in pair))[F.col("source")], share)
+    shared = found.withColumn("share", share)
+    total = shared.agg(F.sum("share")).first()[0] or 1.0
+    quantum = F.greatest(F.lit(1.0), F.round(F.lit(window * 1e6) * F.col("share") / total)).cast("decimal(38,0)")
+    return shared.select("source", "n", F.greatest(F.lit(1), F.ceil(big("n") * 10**6 / quantum)).cast("long").alias("windows"))
+
+
+def placed(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n, ids, place): each document's first place in the stream. found: queues()."""
+    # a part's first place in each queue
+    sums = stored.groupBy("part", "source").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carry = materialise(sums.select("part", "source", F.coalesce(before, F.lit(0)).alias("before")).join(found, "source").select("part", "source", "before", F.col("n").alias("top"), "windows"), "packing-carry")
+    df = stored.join(small(carry), ["part", "source"]).withColumn("p", F.col("before") + F.col("at"))
+    # the first window in which the queue is allowed a token more than it has sent
+    df = df.withColumn("w", F.expr("((cast(p as decimal(19,0)) + 1) * cast(windows as decimal(18,0)) - 1) div top"))
+    sent = df.groupBy("w", "source").agg(F.sum("n").alias("m"), F.min("p").alias("first"))
+    sent = materialise(sent.withColumn("chunk", F.expr(f"w div {CHUNK}")), "packing-sent")
+    ahead = lambda over, *order: F.coalesce(F.sum("m").over((Window.partitionBy(over) if over else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    windows = sent.groupBy("chunk", "w").agg(F.sum("m").alias("m"))
+    chunks = windows.groupBy("chunk").agg(F.sum("m").alias("m")).select("chunk", ahead(None, "chunk").alias("a"))
+    windows = windows.select("chunk", "w", ahead("chunk", "w").alias("b")).join(chunks, "chunk").select("w", "a", "b")
+    starts = sent.select("w", "source", "first", ahead("w", "source").alias("c")).join(windows, "w")
+    starts = materialise(starts.select("w", "source", (F.col("a") + F.col("b") + F.col("c") - F.col("first")).alias("shift")), "packing-starts")
+    return df.join(small(starts), ["w", "source"]).select("doc_id", "n", "ids", (F.col("p") + F.col("shift")).alias("place"))
 
 
 def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, window: int | None = None, targets: dict[str, float] | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces of documents in sequences of ``sequence`` tokens, a row each.
 
-    doc_id, start (ids of the document before the piece), length, ids_crc32 (of the
-    ids as little-endian unsigned 32-bit), doc_tokens (ids of the document with the
-    closing 0), sequence_id, offset (in the sequence, from 0 without gap), and
-    with_ids the ids themselves. targets: shares by source; by default each
-    source's share of all tokens, which all windows then hold alike. A source that
-    runs out leaves its share to the others.
-
-    A null or empty text is its closing 0 alone. Null sources are one queue.
-    Repeated rows are packed each. An empty table returns no row. Of other columns
-    only the named ones are read.
+    doc_id (of docs' type), start (ids of the document before the piece), length,
+    ids_crc32 (of the ids as little-endian unsigned 32-bit), doc_tokens (ids of the
+    document with the closing 0), sequence_id, offset (in the sequence, from 0
+    without gap), and with_ids the ids themselves. window: tokens of a round.
+    targets: shares by source; by default each source's share of all tokens, which
+    all windows then hold alike. A source that runs out leaves its share to the
+    others; one without a target comes at a millionth of them.
+
+    A null or empty text is its closing 0 alone. Null sources are one queue, with the
+    empty one. Very long texts are encoded whole. Repeated rows are packed each. An
+    empty table returns no row. Of other columns only the named ones are read.
     """
     path = path or tokenizer_path()
-    spark = docs.sparkSession
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
     stored = encoded(docs, path, id_col, text_col, source_col)
-    found = stored.groupBy("source").agg(F.sum("n").alias("n")).collect()
-    round_robin = Round({r["source"]: r["n"] for r in found}, window or sequence * WINDOW_SEQUENCES, targets)
-    # a part's first place in each queue
-    sums = stored.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    carry = sums.select("part", "source", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = stored.join(small(carry), ["part", "source"]).select("doc_id", "source", (F.col("before") + F.col("at")).alias("at"), "n", "ids")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    window = window or sequence * QUEUE_SEQUENCES * max(1, stored.select("source").distinct().count())
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
     width = 2 if _small(path) else 4
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
             rows = []
-            for doc_id, q, at, n, raw in zip(*(b[c] for c in ("doc_id", "source", "at", "n", "ids")), strict=True):
+            for doc_id, n, raw, place in zip(*(b[c] for c in ("doc_id", "n", "ids", "place")), strict=True):
                 ids = np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype("<u4")
-                pieces = []
-                for done, place, k in round_robin.stretches(q, int(at), int(n)):
-                    if pieces and pieces[-1][1] + pieces[-1][2] == place:
-                        pieces[-1][2] += k
-                    else:
-                        pieces.append([done, place, k])
-                for done, place, k in pieces:
-                    while k:
-                        take = min(k, sequence - place % sequence)
-                        own = ids[done : done + take]
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), done, take, zlib.crc32(own.tobytes()), int(n), place // sequence, place % sequence, *([own.tolist()] if with_ids else ())))
-                        done, place, k = done + take, place + take, k - take
-            made = pd.DataFrame(rows, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
-
-    ship(spark)
-    return placed.mapInPandas(cut, schema)
+                n, place, done = int(n), int(place), 0
+                while done < n:
+                    take = min(n - done, sequence - place % sequence)
+                    own = ids[done : done + take]
+                    rows.append((doc_id, done, take, zlib.crc32(own.tobytes()), n, place // sequence, place % sequence, *([own.tolist()] if with_ids else ())))
+                    done, place = done + take, place + take
+            yield pd.DataFrame(rows, columns=names)
+
+    ship(docs.sparkSession)
+    got = placed(stored, queues(stored, window, targets)).mapInPandas(cut, schema)
+    return got.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _small(path: str) -> bool:

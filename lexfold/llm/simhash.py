@@ -272,8 +272,10 @@ def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFram
         got = materialise(similar(pairs, sets, percent), "simhash-links")
         found = got if found is None else materialise(found.union(got), "simhash-links")
         left = long.join(found, ["x", "y"], "left_anti")
-        more = left.join(sets.select("node", "blocks"), "node").select("key", "at", "node", "first", F.posexplode("blocks").alias("on", "value")).where("on > at")
-        posted = materialise(more.select(F.xxhash64("key", "on", "value").alias("key"), F.col("on").alias("at"), "node", "first"), "simhash-postings")
+        # joint values in order: each set of them is one list
+        more = left.join(sets.select("node", "blocks"), "node").select("key", "node", "first", "at", F.posexplode(F.expr(f"slice(blocks, at + 2, {POSITIONS // JOINT})")).alias("on", "value"))
+        more = more.withColumn("at", F.col("at") + 1 + F.col("on"))
+        posted = materialise(more.select(F.xxhash64("key", "at", "value").alias("key"), "at", "node", "first"), "simhash-postings")
         if posted.isEmpty():
             return found
 

@@ -145,3 +145,20 @@ def stripped(docs, ratio, least):
         kept = [x for x in (t or "").split("\n") if not SPACED.search(x) or not (has[h, x] >= least and has[h, x] > ratio * len(pages[h]))]
         out.append("\n".join(kept) if any(map(SPACED.search, kept)) else t)
     return out
+
+
+def round_robin(queues, windows):
+    """[(source, place in its queue)] in the order in which they are sent; queues: source -> token counts, windows: source -> rounds in which it is sent."""
+    from fractions import Fraction
+
+    deficit, at, out = {s: Fraction(0) for s in queues}, {s: 0 for s in queues}, []
+    while any(at[s] < len(q) for s, q in queues.items()):
+        for s in sorted(queues):
+            if at[s] == len(queues[s]):
+                continue
+            deficit[s] += Fraction(sum(queues[s]), windows[s])
+            while at[s] < len(queues[s]) and deficit[s] >= 1:
+                deficit[s] -= queues[s][at[s]]
+                out.append((s, at[s]))
+                at[s] += 1
+    return out
