@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Arrow batches are kept small so that a batch of very long texts stays bounded in a Python worker.
-ARROW_ROWS = 512
+#: Arrow batches, and those in which Parquet is read, are kept small so that a batch of long texts stays bounded.
+BATCH_ROWS = 512
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
 
 #: Characters that separate words in the byte-oriented contracts: space and \t to \r.
 ASCII_SPACES = "\t\n\x0b\x0c\r "
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound the batches of rows that a task holds."""
+    for name, usual in BATCHES.items():
+        if int(spark.conf.get(name, usual)) > BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and bound their Arrow batches.
+    """Let Python workers import this package, and bound their batches.
 
     On a cluster the package is installed or passed by --py-files; the path added
     here serves sessions whose executors see the driver's file system.
@@ -30,9 +39,7 @@ def ship(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
+    return bounded(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +61,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
     The table is deleted when the driver's JVM ends.
     """
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

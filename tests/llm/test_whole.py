@@ -80,15 +80,15 @@ def test_letters_and_ngrams_beyond_forty_characters_count():
 
 def test_each_of_many_sources_has_its_own_queue(spark):
     n, k = 1324, 3
-    many = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(12)), f"source{i % n}") for i in range(n * k)], "doc_id long, text string, source string").repartition(4)
-    places = lambda **more: {r["doc_id"]: r for r in packing.packed(many, sequence=64, window=48_000, **more).withColumn("at", F.col("sequence_id") * 64 + F.col("offset")).groupBy("doc_id").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("length")).alias("b"), F.sum("length").alias("n")).collect()}
-    got = places()
-    total = sum(r["n"] for r in got.values())
-    assert len(got) == n * k and all(r["b"] - r["a"] == r["n"] for r in got.values())  # sent whole
-    for s in range(0, n, 50):  # a document of every source in each window
-        assert [int(x * k // total) for x in sorted(got[s + n * j]["a"] for j in range(k))] == [0, 1, 2]
-    aimed = places(targets={"source7": 1.0})
-    assert max(aimed[7 + n * j]["b"] for j in range(k)) <= 48_000 and sum(r["n"] for r in aimed.values()) == total
+    many = spark.createDataFrame([(i, " ".join(f"w{i % n}" for _ in range(12)), f"source{i % n}") for i in range(n * k)], "doc_id long, text string, source string").repartition(4)
+    places = lambda **more: {r["doc_id"]: r for r in packing.packed(many, sequence=64, **more).withColumn("at", F.col("sequence_id") * 64 + F.col("offset")).groupBy("doc_id").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("length")).alias("b"), F.sum("length").alias("n")).collect()}
+    total = sum(r["n"] for r in places().values())
+    got = places(window=-(-total // 3))
+    assert len(got) == n * k and sum(r["n"] for r in got.values()) == total and all(r["b"] - r["a"] == r["n"] for r in got.values())  # sent whole
+    firsts = sorted(r["a"] for r in got.values())
+    assert all(firsts[n * i] <= x < (firsts[n * (i + 1)] if i < 2 else total) for s in range(0, n, 50) for i, x in enumerate(sorted(got[s + n * j]["a"] for j in range(k))))  # one of every source in each window
+    aimed = places(targets={"source7": 1.0}, window=4096)
+    assert max(aimed[7 + n * j]["b"] for j in range(k)) <= 4096 and sum(r["n"] for r in aimed.values()) == total
 
 
 # 9 chat
