@@ -6,9 +6,11 @@ that their validators confirm always stay. The method adds IBANs, social securit
 numbers and secrets, each kept from a score of ``THRESHOLD``.
 
 Matches and the text between them come from one pattern, so a match's place is
-the summed length of what stands before it, in code points. The patterns below
-find the contract's leftmost matches with linear work on any text: a run of a
-class is entered at its start only and left without going back.
+the summed length of what stands before it, in code points. Sums go by blocks of
+matches and context is read from the pieces beside a match, so that a text with
+very many matches is not read again for each. The patterns below find the
+contract's leftmost matches with linear work on any text: a run of a class is
+entered at its start only and left without going back.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
 THRESHOLD = 0.6
-#: Code points before a span that are searched for context words.
+#: Code points before a span that are searched for context words: in the piece before it, the match before and the piece before that.
 NEAR = 40
+#: Matches whose lengths are summed at once.
+BLOCK = 64
 
 PATTERNS = {
     # entered at a run's start or where the last match ended
@@ -31,7 +35,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|api_key|apikey|access_token|token)[=:] ?[^\x00-\x20]{8,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    # a name of a secret, an assignment with or without spaces and quotes, and all up to the next space
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|api_?key|(?:access|auth)_token|token)[\"']?[ \t]{0,8}[=:][ \t]{0,8}[^\x00-\x20]{8,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
 }
 #: What a text must contain for the pattern to be worth a search.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
@@ -90,79 +95,58 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
-
-
-def _spans(df: DataFrame, kind: str) -> DataFrame:
-    """Adds __kind: the confirmed spans of a kind, in order, with scores."""
+def _pieces(df: DataFrame, kind: str) -> DataFrame:
+    """Adds __g, the text between the matches of a kind, __m, the matches, and __s, a span with its score for each match, null where it is not confirmed."""
     pattern, text = PATTERNS[kind], F.col("__t")
-    none = F.array().cast(_SPAN)
     worth = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    found = F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("__m", found)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    # [(match, place)] by carrying the length of all that stands before
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<m:string,start:bigint>>").alias("out"))
-    steps = F.arrays_zip(gaps.alias("g"), F.col("__m").alias("m"))
-    placed = F.aggregate(
-        steps,
-        start,
-        lambda a, s: F.struct(
-            (a["at"] + s["g"] + F.coalesce(F.length(s["m"]), F.lit(0))).alias("at"),
-            F.when(s["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(s["m"].alias("m"), (a["at"] + s["g"]).alias("start"))))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    df = df.withColumn("__m", F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, pattern, -1)).otherwise(F.array(text)))
+    df = df.withColumn("__n", F.expr("transform(__m, (x, i) -> length(__g[i]) + length(x))"))
+    # sums of lengths over blocks, then over the blocks before each, then up to each match in its block
+    total = lambda of, first, end: f"case when {first} < {end} then aggregate(sequence({first}, {end} - 1), 0L, (a, y) -> a + {of}[y]) else 0L end"
+    df = df.withColumn("__b", F.expr(f"transform(sequence(0, greatest(0, size(__n) - 1) div {BLOCK}), j -> {total('__n', f'j * {BLOCK}', f'least(size(__n), (j + 1) * {BLOCK})')})"))
+    df = df.withColumn("__b", F.expr(f"transform(__b, (x, j) -> {total('__b', '0', 'j')})"))
+    # __b is named twice so that the optimizer keeps it a column instead of summing anew for each match
+    start = f"__b[least(i div {BLOCK}, size(__b) - 1)] + {total('__n', f'i - i % {BLOCK}', 'i')} + length(__g[i])"
+    near = f"right(concat(case when i > 0 then concat(__g[i - 1], __m[i - 1]) else '' end, __g[i]), {NEAR})"
+    df = df.withColumn("__p", F.expr(f"transform(__m, (x, i) -> named_struct('m', x, 'start', {start}, 'near', {near}))"))
 
     def span(x: Column) -> Column:
-        begin = F.greatest(x["start"] - NEAR, F.lit(0))
-        near = F.lower(F.substring(text, (begin + 1).cast("int"), (x["start"] - begin).cast("int")))
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), CONTEXT_ADDS).otherwise(0.0))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), score.alias("score"))
+        found = F.lower(x["near"]).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])")
+        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(found, CONTEXT_ADDS).otherwise(0.0))
+        own = F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), score.alias("score"))
+        return F.when(_confirmed(kind, x["m"]) & ((score >= THRESHOLD) if kind in ADDED else F.lit(True)), own)
 
-    got = F.transform(F.filter(placed, lambda x: _confirmed(kind, x["m"])), span)
-    if kind in ADDED:
-        got = F.filter(got, lambda x: x["score"] >= THRESHOLD)
-    return df.withColumn(f"__{kind}", F.when(F.size("__m") > 0, got).otherwise(none)).drop("__m")
+    return df.withColumn("__s", F.transform("__p", span)).drop("__n", "__b", "__p")
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: an array of (kind, start, end, score), by kind, then start, for every row.
 
-    A null text is empty. Repeated rows return a row each; other columns are
-    ignored, whatever their names; an empty table returns no row.
+    A null text is empty. Very long texts and those of very many matches are read
+    whole. Repeated rows return a row each; other columns are ignored, whatever
+    their names; an empty table returns no row.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     for kind in BASE + ADDED:
-        df = _spans(df, kind)
+        df = _pieces(df, kind).withColumn(f"__{kind}", F.array_compact("__s")).drop("__g", "__m", "__s")
     return df.select("doc_id", F.concat(*(F.col(f"__{k}") for k in BASE + ADDED)).alias("spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text with every found match of each kind replaced by <KIND>; kinds in order.
 
-    Works kind by kind on the text that the last one left.
+    Works kind by kind on the text that the last one left. Other cases as in found.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t"))
-
-    def replace(mark: str):
-        return lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("__t"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"))
-
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     for kind in BASE + ADDED:
-        df = _spans(df, kind)
-        parts = F.aggregate(
-            F.col(f"__{kind}"),
-            F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-            replace(f"<{kind.upper()}>"),
-            lambda a: F.concat(a["out"], F.substring(F.col("__t"), (a["at"] + 1).cast("int"), F.length("__t"))),
-        )
-        df = df.select("doc_id", parts.alias("__t"))
+        parts = F.expr(f"transform(arrays_zip(__g, __m, __s), x -> concat(x.__g, case when x.__m is null then '' when x.__s is null then x.__m else '<{kind.upper()}>' end))")
+        df = _pieces(df, kind).select("doc_id", F.array_join(parts, "").alias("__t"))
     return df.select("doc_id", F.col("__t").alias("text"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """The contract's columns from (doc_id, spans)."""
+    """The contract's columns from (doc_id, spans), then the added kinds' counts and the spans' scores."""
 
     def text(kinds: tuple[str, ...]) -> Column:
         own = F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -171,4 +155,5 @@ def digest(spans: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return spans.select("doc_id", *map(count, BASE), F.sha2(text(BASE).cast("binary"), 256).alias("base_sha256"), text(BASE + ADDED).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 1)), ",").alias("scores")
+    return spans.select("doc_id", *map(count, BASE), F.sha2(text(BASE).cast("binary"), 256).alias("base_sha256"), text(BASE + ADDED).alias("spans"), *map(count, ADDED), scores)

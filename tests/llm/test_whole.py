@@ -118,6 +118,29 @@ def test_long_secrets_are_found_whole(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()} == {0: "<SECRET> after", 1: "<SECRET>"}
 
 
+def test_assigned_secrets(spark):
+    t = ['token = "b44e15e09fd311c3cf31"!! x', "API_KEY:\t'k3y-k3y-k3y'", "a token of my esteem", "the token = x", '{"password": "pa55w0rd!"}']
+    got = {r["doc_id"]: [t[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "secret"] for r in pii.found(spark.createDataFrame(list(enumerate(t)), "doc_id int, text string")).collect()}
+    assert got == {0: ['token = "b44e15e09fd311c3cf31"!!'], 1: ["API_KEY:\t'k3y-k3y-k3y'"], 2: [], 3: [], 4: ['password": "pa55w0rd!"}']}
+
+
+def test_a_hundred_thousand_matches_in_a_text(spark):
+    import time
+
+    rng = random.Random(2)
+    unit = ["mail a@b.co", "4111 1111 1111 1111", "10.0.0.1", "call +1 (988) 555-2485", "é𝒳", "ssn 123-45-6789;"]
+    text = " ".join(rng.choice(unit) for _ in range(170_000))
+    df = spark.createDataFrame([(1, text), (2, "x"), (3, text[:5000])], "doc_id int, text string")
+    began = time.time()
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.found(df).collect()}
+    assert len(got[1]) > 100_000 and time.time() - began < 60
+    for d, t in ((1, text), (3, text[:5000])):
+        assert [x for x in got[d] if x[0] != "ssn"] == brute.pii(t) and all(t[a:b] == "123-45-6789" for k, a, b in got[d] if k == "ssn")
+    assert sum(k == "ssn" for k, *_ in got[1]) == text.count("ssn ")
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert clean[2] == "x" and "@" not in clean[1] and clean[1].count("<EMAIL>") == text.count("a@b.co") and clean[1].count("<SSN>") == text.count("ssn ")
+
+
 # 6 line dedup
 
 
