@@ -56,11 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of ids and counts that a written file should hold at least.
+FILE_ROWS = 100_000
+
+
+def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The table is deleted when the driver's JVM ends.
+    rows: about how many narrow rows it has at most, so that few do not make many files. The
+    table is deleted when the driver's JVM ends.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     spark = bounded(df.sparkSession)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)

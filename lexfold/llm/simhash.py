@@ -38,10 +38,10 @@ BLOCK_PAIRS = list(itertools.combinations(range(4), 2))
 FREE = list(itertools.combinations(range(8), 2))
 
 # the long fingerprint: positions, positions of a joint value, the least number that similar texts share, the weights' tail
-POSITIONS, JOINT, MIN_SHARED, TAIL = 64, 4, 32, 2
+POSITIONS, JOINT, MIN_SHARED, TAIL = 64, 4, 36, 2
 WORDS, PERCENT = 5, 80
 #: Lists up to which every pair is looked at; longer ones go by centres and closer keys.
-ALL_PAIRS = 16
+ALL_PAIRS = 8
 
 
 # fingerprints
@@ -139,7 +139,7 @@ def shared_bytes(x: Column, y: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(x, y), x < y: links between distinct fingerprints, which join the same components as all links would.
+    """(x, y), x < y: links between distinct fingerprints, which join the same components as all links would; written.
 
     Two fingerprints within two bits share six positional bytes and meet in the list
     of these six. A list's members differ in its two free bytes alone, so it has
@@ -157,7 +157,7 @@ def links(fps: DataFrame) -> DataFrame:
     near = posted.join(several, ["list", "key"], "left_semi").select("list", "fp", F.explode(flips).alias("bit")).select("list", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("value"))
     stars = near.groupBy("list", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select(F.array_min("fps").alias("x"), F.explode("fps").alias("y")).where("x < y")
     x, y = F.col("x"), F.col("y")
-    return stars.where((shared_bytes(x, y) >= SHARED_BYTES) & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)).distinct()
+    return materialise(stars.where((shared_bytes(x, y) >= SHARED_BYTES) & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)).distinct(), "simhash-links", 8 * met.count())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -167,15 +167,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregate joined back, so a hub's neighbours never meet in one task. Each
     round is written, and rounds end when the edges no longer change.
     """
-    state, edges = None, edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v")
+    edges = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v")
+    state = (edges.count(), None)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialise(near, "simhash-round")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = materialise(near, "simhash-round", 2 * state[0])
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
@@ -189,10 +190,10 @@ def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = components(edges)
     if found.isEmpty():
         return nodes.withColumn("component_id", F.col("first"))
-    found = materialise(found.union(found.select("root", "root")).distinct(), "simhash-components")
+    found = materialise(found.union(found.select("root", "root")).distinct(), "simhash-components", 2 * found.count())
     firsts = found.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     ids = found.join(firsts, "root").select("node", "component_id")
-    return materialise(nodes.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "first")), "simhash-named")
+    return materialise(nodes.join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "first")), "simhash-named", nodes.count())
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     are ignored, whatever their names.
     """
     by_doc = materialise(fingerprints(docs, words, id_col, text_col).withColumnRenamed("fp", "node"), "simhash-docs")
-    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-fps")
+    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-fps", by_doc.count())
     named = _named(nodes, links(nodes.select(F.col("node").alias("fp"))))
     got = joined(by_doc, named, "node")
     return got.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
@@ -224,10 +225,10 @@ def _tally(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, zeros), F.lit(0), lambda total, x: total + x)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, rows: int | None = None) -> DataFrame:
     """The pairs (x, y) whose sets of shingles have a Jaccard similarity of percent at least.
 
-    sets: (node, blocks, s). Pairs that share too few positional bytes are dropped before the sets are met.
+    sets: (node, blocks, s). Pairs that share too few positional bytes are dropped before the sets are met. rows: of pairs, at most.
     """
     ship(pairs.sparkSession)
 
@@ -242,7 +243,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
     one = lambda node, column, name: sets.select(F.col("node").alias(node), F.col(column).alias(name))
     tallied = pairs.join(one("x", "blocks", "a"), "x").join(one("y", "blocks", "b"), "y").where(_tally(F.col("a"), F.col("b")) >= MIN_SHARED).select("x", "y")
-    both = materialise(tallied, "simhash-tallied").join(one("x", "s", "a"), "x").join(one("y", "s", "b"), "y")
+    both = materialise(tallied, "simhash-tallied", rows).join(one("x", "s", "a"), "x").join(one("y", "s", "b"), "y")
     return both.where(alike("a", "b")).select("x", "y")
 
 
@@ -258,10 +259,11 @@ def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFram
     """
     posted = nodes.select("node", "first", F.posexplode("blocks").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "at", "node", "first")
     posted, found, sets = materialise(posted, "simhash-postings"), None, None
-    while True:
+    while n := posted.count():
         sized = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "node")).alias("c")).where("n > 1")
-        sized = materialise(sized.select("key", "n", F.col("c.node").alias("c")), "simhash-sizes")
-        lists = materialise(joined(posted, sized, "key"), "simhash-lists")
+        sized = materialise(sized.select("key", "n", F.col("c.node").alias("c")), "simhash-sizes", n // 2)
+        lists = materialise(joined(posted, sized, "key"), "simhash-lists", n)
+        n = lists.count()
         sets = sets_of(lists.select("node").distinct()) if sets is None else sets
         short = lists.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.collect_list("node").alias("all"))
         pairs = short.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y > F.col("x"))).alias("y"))
@@ -269,15 +271,14 @@ def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFram
         pairs = pairs.union(long.select("x", "y")).distinct()
         if found is not None:
             pairs = pairs.join(found, ["x", "y"], "left_anti")
-        got = materialise(similar(pairs, sets, percent), "simhash-links")
-        found = got if found is None else materialise(found.union(got), "simhash-links")
+        got = materialise(similar(pairs, sets, percent, n * ALL_PAIRS // 2), "simhash-links", n * ALL_PAIRS // 2)
+        found = got if found is None else materialise(found.union(got), "simhash-links", found.count() + got.count())
         left = long.join(found, ["x", "y"], "left_anti")
         # joint values in order: each set of them is one list
         more = left.join(sets.select("node", "blocks"), "node").select("key", "node", "first", "at", F.posexplode(F.expr(f"slice(blocks, at + 2, {POSITIONS // JOINT})")).alias("on", "value"))
         more = more.withColumn("at", F.col("at") + 1 + F.col("on"))
-        posted = materialise(more.select(F.xxhash64("key", "at", "value").alias("key"), "at", "node", "first"), "simhash-postings")
-        if posted.isEmpty():
-            return found
+        posted = materialise(more.select(F.xxhash64("key", "at", "value").alias("key"), "at", "node", "first"), "simhash-postings", n * POSITIONS // JOINT // 2)
+    return found if found is not None else nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).limit(0)
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -300,15 +301,15 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     named = docs.select("doc_id", "text").where("doc_id is not null")
     by_doc = materialise(named.select("doc_id", printed("text").alias("m")).select("doc_id", "m.node", "m.blocks"), "simhash-docs")
-    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.any_value("blocks").alias("blocks")), "simhash-nodes")
+    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.any_value("blocks").alias("blocks")), "simhash-nodes", by_doc.count())
 
     def sets_of(some: DataFrame) -> DataFrame:
-        some = materialise(some.join(nodes.select("node", F.col("first").alias("doc_id"), "blocks"), "node"), "simhash-some")
+        some = materialise(some.join(nodes.select("node", F.col("first").alias("doc_id"), "blocks"), "node"), "simhash-some", nodes.count() // 4)
         texts = named.join(small(some.select("doc_id").distinct()), "doc_id", "left_semi").select(listed("text").alias("m")).select("m.node", "m.s")
         return materialise(some.select("node", "blocks").join(texts.dropDuplicates(["node"]), "node"), "simhash-sets")
 
     found = similar_links(nodes, sets_of, percent)
-    return materialise(joined(by_doc.select("doc_id", "node"), _named(nodes.drop("blocks"), found), "node").select("doc_id", "component_id"), "simhash-groups")
+    return materialise(joined(by_doc.select("doc_id", "node"), _named(nodes.drop("blocks"), found), "node").select("doc_id", "component_id"), "simhash-groups", by_doc.count())
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -321,8 +322,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """
     found = groups(docs, words, percent)
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
-    twice = materialise(twice, "simhash-twice")
-    gone = materialise(found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).where("not stays").select(F.col("doc_id").alias("__id")), "simhash-gone")
+    twice = materialise(twice, "simhash-twice", found.count() // 2)
+    gone = materialise(found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).where("not stays").select(F.col("doc_id").alias("__id")), "simhash-gone", found.count())
     gone, again = small(gone), small(twice)
     kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
     if twice.isEmpty():

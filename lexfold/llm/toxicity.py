@@ -34,7 +34,7 @@ GRAMS = (3, 4, 5)
 SAMPLE = {1: 3000, 0: 8000}
 SAMPLE_CHARS = 10_000
 #: Words a worker remembers the scores of.
-CACHE = 800_000
+CACHE = 200_000
 FOLD = 5
 
 @dataclass
