@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, item_id, w): distinct items with words; item identifies the row."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).distinct()
-    return materialise(rows.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "w"), "decontam-items")
+    return materialise(rows.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "w"), "decontam-items", 50 * benchmark.count())
 
 
 def index(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,19 +75,30 @@ def alignments(postings: DataFrame, tests: DataFrame, window: int = WINDOW, rare
 
 
 def matches(docs: DataFrame, postings: DataFrame, tests: DataFrame, window: int = WINDOW, rarest: int = RAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, spans): verified occurrences (item_id, a, b), words a to b - 1 of the document."""
+    """(doc_id, h, item, a, b), written: verified occurrences, words a to b - 1 of the document; windows that touch are one.
+
+    A document's alignments are places alone. They go to its words, and each takes
+    the stretch of words that it is about to its item: no item's words are gathered
+    in a document's row, however many of its places they fit.
+    """
     found = materialise(alignments(postings, tests, window, rarest), "decontam-alignments")
-    named = found.join(small(tests), "item").groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "delta", "starts", F.col("w").alias("own"))).alias("c"))
-    named = named.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "c")
-    keys = small(found.select(F.col("doc_id").alias("d"), F.col("h").alias("dh")).distinct())
+    named = found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_list(F.struct("item", "delta", "starts")).alias("c"))
+    keys = small(materialise(found.select(F.col("doc_id").alias("d"), F.col("h").alias("dh")).distinct(), "decontam-found", found.count()))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("__t"))
     same = lambda x: (F.col("h") == x["dh"]) & F.col("doc_id").eqNullSafe(x["d"])
     texts = texts.join(keys, same(keys), "left_semi").dropDuplicates(["doc_id", "h"])
-    read = texts.join(named, same(named)).select("doc_id", "h", words(F.col("__t")).alias("w"), "c")
-    ok = F.expr(f"""flatten(transform(c, x -> transform(
-        filter(x.starts, s -> slice(w, x.delta + s + 1, least({window}, size(x.own))) = slice(x.own, s + 1, {window})),
-        s -> named_struct('a', x.delta + s, 'b', x.delta + least(s + {window}, size(x.own)), 'item_id', x.item_id))))""")
-    return read.select("doc_id", "h", F.sort_array(ok).alias("spans")).where(F.size("spans") > 0)
+    read = texts.join(named, same(named)).select("doc_id", "h", words(F.col("__t")).alias("w"), F.explode("c").alias("x"))
+    read = read.select("doc_id", "h", "x.*", F.array_min("x.starts").alias("s"), F.array_max("x.starts").alias("z"), "w")
+    parts = read.select("doc_id", "h", "item", "delta", "starts", "s", F.expr(f"slice(w, delta + s + 1, z - s + {window})").alias("part"))
+    met = parts.join(small(tests.select("item", "w")), "item").withColumn("len", F.least(F.lit(window), F.size("w")))
+    # a digit for each word: whether document and item agree on it
+    same_word = F.expr("array_join(zip_with(part, slice(w, s + 1, size(part)), (x, y) -> case when x <=> y then '1' else '0' end), '')")
+    met = met.select("doc_id", "h", "item", "delta", "starts", "s", "len", same_word.alias("e"))
+    ok = "filter(array_sort(starts), p -> substring(e, p - s + 1, len) = repeat('1', len))"
+    merged = f"""aggregate({ok}, cast(array() as array<struct<a:int,b:int>>), (r, p) -> case when size(r) > 0 and r[size(r) - 1].b >= delta + p
+        then concat(slice(r, 1, size(r) - 1), array(named_struct('a', r[size(r) - 1].a, 'b', delta + p + len))) else concat(r, array(named_struct('a', delta + p, 'b', delta + p + len))) end)"""
+    spans = met.select("doc_id", "h", "item", F.explode(F.expr(merged)).alias("r"))
+    return materialise(spans.select("doc_id", "h", "item", "r.a", "r.b"), "decontam-spans")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,15 +107,18 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
     A null or empty text has no words and is clean. An item of fewer words than
     the window is one window; one without words is none. Rows of the benchmark that
     repeat, or share an id, count once in n_items. Repeated documents return a row
-    each. A null item_id takes part in n_hit and is in no id list. Either table may
+    each. Very long texts and items are read whole. A null item_id takes part in n_hit and is in no id list. Either table may
     be empty; other columns are ignored, whatever their names.
     """
     tests = items(benchmark)
     postings = index(docs, tests, id_col, text_col)
-    hits = matches(docs, postings, tests, window, RAREST, id_col, text_col)
+    spans = matches(docs, postings, tests, window, RAREST, id_col, text_col)
+    hits = spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     covered = F.expr("aggregate(spans, named_struct('n', 0, 'end', 0), (x, y) -> named_struct('n', x.n + greatest(0, y.b - greatest(y.a, x.end)), 'end', greatest(x.end, y.b)), x -> x.n)")
-    ids = F.array_sort(F.array_compact(F.array_distinct(F.transform("spans", lambda x: x["item_id"]))))
-    hits = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), covered.cast("long").alias("n"), ids.alias("ids"))
+    hits = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), covered.cast("long").alias("n"))
+    of = spans.select("doc_id", "h", "item").distinct().join(small(tests.select("item", "item_id")), "item")
+    ids = of.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("dh2")).agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    hits = hits.join(ids, (F.col("dh") == F.col("dh2")) & F.col("d").eqNullSafe(F.col("d2"))).select("d", "dh", "n", "ids")
     lengths = postings.where(F.col("t") == F.xxhash64(F.lit(""))).select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
     got = lengths.join(hits, (F.col("h") == F.col("dh")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     n_hit, found = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
@@ -136,7 +150,12 @@ def proximity(postings: DataFrame, tests: DataFrame, slop: int = 3, window: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; same columns."""
+    """docs without the contaminated rows; same columns.
+
+    A document is contaminated by report's rule, so null and empty texts stay, all rows
+    of a repeated contaminated document go, and an empty table returns no row. Very
+    long texts are read whole. Other columns are passed on, whatever their names.
+    """
     bad = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    bad = small(materialise(bad, "decontam-bad"))
+    bad = small(materialise(bad, "decontam-bad", docs.count()))
     return docs.join(bad, (F.xxhash64(docs["text"]) == bad["__h"]) & docs["doc_id"].eqNullSafe(bad["__d"]), "left_anti")
