@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACES, materialise
+from .common import ASCII_SPACES, materialise, small
 
 SYMBOLS = "#*$%&|<>"
 
@@ -43,7 +43,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
     Repeated three-word windows are found within the row: each window's hash,
     shifted over its place, is sorted, and neighbours of equal hash are compared
-    word by word. No word leaves its document, so nothing is shuffled.
+    word by word. No word leaves its document, so nothing is shuffled. A null text
+    has no words; very long texts are measured whole, in one row.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     words = F.split(F.trim(F.col("__t"), F.lit(ASCII_SPACES)), r"[\x20\x09-\x0D]+")
@@ -123,5 +124,5 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     """
     stats = materialise(flagged(measured(docs, id_col, text_col, host_col), rules), "quality-stats")
     bad = host_rates(stats).where(F.col("rate") > rules.host_rate).select("host", F.lit(True).alias("bad_host"))
-    got = stats.join(bad, "host", "left")
+    got = stats.join(small(materialise(bad, "quality-bad")), "host", "left")
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("bad_host").isNull()).alias("kept"))

@@ -112,14 +112,15 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULE
     """page_id, host, path, rule, verdict for every row of pages.
 
     outcomes: (page_id, bad), bad 1 for a bad page; a page_id with several counts
-    each. Null and malformed urls have an empty host and path, fit no rule and are
-    judged as one host. Repeated rows return a row each. Other columns are ignored,
-    whatever their names. Either table may be empty.
+    each, once, however many rows of pages have that id and host. Null and malformed
+    urls have an empty host and path, fit no rule and are judged as one host. Very
+    long urls are read whole. Repeated rows return a row each. Other columns are
+    ignored, whatever their names. Either table may be empty.
     """
     df = split_url(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url")), "__url").drop("__url")
-    known = df.select("page_id", F.col("__host").alias("host")).join(outcomes.select("page_id", "bad"), "page_id")
+    known = df.select("page_id", F.col("__host").alias("host")).distinct().join(outcomes.select("page_id", "bad"), "page_id")
     bad = reputations(df, known, z).where(F.col("bound") > bad_rate).select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
     which, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     method = F.when(F.col("__bad"), "block").otherwise("allow")
-    got = df.join(small(bad), "__host", "left")
+    got = df.join(small(materialise(bad, "urlrep-bad")), "__host", "left")
     return got.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), which.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
