@@ -29,7 +29,7 @@ def _worded(line: Column) -> Column:
 def frequencies(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(host, line, pages, host_pages): distinct pages with each worded line, by hash; lines of one page left out."""
     pages = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("__t"))
-    totals = pages.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    totals = materialise(pages.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("host_pages")), "linededup-pages")
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("__t")), _worded), lambda x: F.xxhash64(x)))
     counts = pages.select("host", "h", F.explode(own).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("pages")).where("pages > 1")
     return counts.join(small(totals), "host")
@@ -47,17 +47,20 @@ def stripped(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
     A null host is a site of its own, with the empty one. Lines without a word are
     neither counted nor dropped. A text of boilerplate lines alone is left as it
     is, as the query's SQL says, unless spare is false: it then loses them like any
-    other, and only its lines without a word are left. Null texts stay
-    null; repeated rows are treated alike; an empty table returns no row.
+    other, and only its lines without a word are left. Null texts stay null; very
+    long texts are read whole; repeated rows are treated alike; an empty table
+    returns no row. Other columns are passed on, whatever their names, but for the
+    two counts, which replace columns of their names.
     """
-    drop = small(boilerplate(docs, ratio, min_pages, text_col, host_col).select(F.col("host").alias("__host"), F.col("drop").alias("__drop")))
-    df = docs.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(drop, "__host", "left")
-    lines = _lines(F.col(text_col))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_worded(x) | ~F.array_contains(F.col("__drop"), F.xxhash64(x))))
-    df = df.withColumn("__kept", kept)
+    drop = small(boilerplate(docs, ratio, min_pages, text_col, host_col))
+    df = docs.select(F.struct("*").alias("r"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).join(drop, "host", "left")
+    text = F.col("r")[text_col]
+    lines = _lines(text)
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_worded(x) | ~F.array_contains(F.col("drop"), F.xxhash64(x))))
+    df = df.select("r", lines.alias("lines"), kept.alias("kept"))
     if spare:
-        some = F.exists("__kept", _worded)
-        df = df.withColumn("__kept", F.when(some, F.col("__kept")).otherwise(lines))
-    df = df.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__n_dropped", (F.size(lines) - F.size("__kept")).cast("long"))
-    text = F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))
-    return df.withColumn(text_col, text).select(*docs.columns, "__n_lines", "__n_dropped")
+        df = df.withColumn("kept", F.when(F.exists("kept", _worded), F.col("kept")).otherwise(F.col("lines")))
+    dropped = F.size("lines") - F.size("kept")
+    text = F.when(dropped > 0, F.array_join("kept", "\n")).otherwise(text)
+    counts = {"__n_lines": F.size("lines").cast("long"), "__n_dropped": dropped.cast("long")}
+    return df.select(*((text if c == text_col else F.col("r")[c]).alias(c) for c in docs.columns if c not in counts), *(v.alias(k) for k, v in counts.items()))
