@@ -22,15 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK, crc_mod, ship, word_blocks
+from .common import BLOCK, crc_mod, materialise, release, ship, small, word_blocks
 from .grams import batches, hashed, plain
 
 CHAIN = 64
 BUCKETS = 1 << 16
-#: Labelled documents a language that a fit reads at most, and the longest text among them.
-SAMPLE = 400
+#: Labelled documents that a fit reads at most, of a language and of all, and the characters of one; of longer texts it reads a stretch. A language has one at least.
+SAMPLE, SAMPLE_ALL = 400, 8_000
 SAMPLE_CHARS = 6_000
-MAX_LANGUAGES = 300
+#: Numbers that a step of the fit holds of its chains at once.
+STEP = 1 << 22
 #: Words a worker remembers the emissions of.
 CACHE = 600_000
 FOLD, HELD = 4, 2
@@ -200,7 +201,7 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
     labels = sorted({g for _, g in pairs})
     code, L = {g: i for i, g in enumerate(labels)}, len(labels)
     if L < 2:
-        return Model(labels, np.zeros((BUCKETS + 2 + MAX_LANGUAGES, L), np.float32), np.zeros((L, L)), np.zeros(L), {})
+        return Model(labels, np.zeros((BUCKETS + 2 + L, L), np.float32), np.zeros((L, L)), np.zeros(L), {})
     count: dict[str, Counter] = defaultdict(Counter)
     for words, g in pairs:
         for w in set(map(plain, words)):
@@ -227,24 +228,30 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
         flat.append(p[v])
         owner.append(np.repeat(some, v.sum(1)))
     flat, owner = np.concatenate(flat), np.concatenate(owner)
-    hot = np.eye(L, dtype=np.float64)[y] * valid[:, :, None]
-    pair = np.zeros((L, L))
+    pair, size = np.zeros((L, L)), max(1, STEP // (T * L))
     both = valid[:, 1:]
     np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), 1)
-    first = np.bincount(y[:, 0][valid[:, 0]], minlength=L).astype(float)
-    params = [np.zeros((BUCKETS + 2 + MAX_LANGUAGES, L)), np.zeros((L, L)), np.zeros(L)]
+    first, n = np.bincount(y[:, 0][valid[:, 0]], minlength=L).astype(float), max(1, int(valid.sum()))
+    # what the labels themselves say of each word, taken off the expected counts below
+    said = np.bincount(at[valid] * L + y[valid], minlength=len(known) * L).reshape(-1, L)
+    params = [np.zeros((BUCKETS + 2 + L, L)), np.zeros((L, L)), np.zeros(L)]
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for step in range(1, epochs + 1):
         theta, trans, start = params
-        word = np.stack([np.bincount(owner, theta[flat, k], len(vocabulary)) for k in range(L)], 1)
-        logs = word[at]
-        emit = np.exp(np.maximum(logs - logs.max(2, keepdims=True), -60)).astype(np.float32)
-        emit[~valid] = 1
-        node, edge, _ = forward_backward(emit, valid, np.exp(trans).astype(np.float32), np.exp(start).astype(np.float32))
-        wrong = (node * valid[:, :, None] - hot).reshape(-1, L)
-        of_word = np.stack([np.bincount(at.reshape(-1), wrong[:, k], len(vocabulary)) for k in range(L)], 1)
-        n = max(1, int(valid.sum()))
-        grads = [np.stack([np.bincount(flat, of_word[owner, k], len(theta)) for k in range(L)], 1) / n + l2 * theta / n, (edge - pair) / n + l2 * trans / n, ((node[:, 0] * valid[:, 0, None]).sum(0) - first) / n]
+        word = np.stack([np.bincount(owner, theta[flat, k], len(known)) for k in range(L)], 1).astype(np.float32)
+        moves, begins = np.exp(trans).astype(np.float32), np.exp(start).astype(np.float32)
+        of_word, edge, node_first = -said.astype(np.float64), np.zeros((L, L)), np.zeros(L)
+        for i in range(0, len(chains), size):
+            own, ok = at[i : i + size], valid[i : i + size]
+            logs = word[own]
+            emit = np.exp(np.maximum(logs - logs.max(2, keepdims=True), -60))
+            emit[~ok] = 1
+            node, edges, _ = forward_backward(emit, ok, moves, begins)
+            for k in range(L):
+                of_word[:, k] += np.bincount(own[ok], node[ok, k], len(known))
+            edge += edges
+            node_first += node[ok[:, 0], 0].sum(0)
+        grads = [np.stack([np.bincount(flat, of_word[owner, k], len(theta)) for k in range(L)], 1) / n + l2 * theta / n, (edge - pair) / n + l2 * trans / n, (node_first - first) / n]
         for (m, v), p, g in zip(slots, params, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -253,33 +260,50 @@ def fit(texts: Iterable[str], langs: Iterable[str], epochs: int = 30, switched:
 
 
 def sample(docs: DataFrame, fold: bool = True) -> DataFrame:
-    """(text, lang): SAMPLE documents a language at most, by hash of the id; none of the held-out fold.
+    """(doc_id, text, lang): of each language SAMPLE documents at most, by hash of the id; none of the held-out fold.
 
-    At most MAX_LANGUAGES languages, those with the most documents.
+    Where languages are so many that all would have more than SAMPLE_ALL, each has its
+    part of that, but one document at least.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and trim(text) <> ''")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and text is not null and trim(text) <> ''")
     if fold:
         known = known.where(crc_mod(F.col("doc_id"), FOLD) != HELD)
-    known = known.where(F.length("text") <= SAMPLE_CHARS)
-    counts = known.where("doc_id is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    # a language's lowest hashes: twice the wanted number is expected below the cut, so a window sorts few rows
-    cut = F.lit(2.0 * SAMPLE) / F.col("n")
+    counts = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "langid-languages")
+    each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, counts.count())))
+    # a language's lowest hashes: more than the wanted number is expected below the cut, so a window sorts few rows
+    cut = F.lit(2.0 * each + 20) / F.col("n")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    low = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where((place < cut) | (F.col("n") <= 4 * SAMPLE))
+    low = known.select("doc_id", "lang").join(small(counts), "lang").where((place < cut) | (F.col("n") <= 4 * each + 40))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("doc_id").distinct()
-    return known.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
+    ids = materialise(low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("doc_id").distinct(), "langid-sample")
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    return known.join(small(ids), "doc_id").select("doc_id", F.substring("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "lang")
 
 
 def fitted(docs: DataFrame, fold: bool = True) -> Model:
-    known = sample(docs, fold).toPandas().sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
-    return fit(known["text"], known["lang"])
+    """The model, fitted by one task on the sample, which SAMPLE, SAMPLE_ALL and SAMPLE_CHARS bound; only the model comes to the driver."""
+    ship(docs.sparkSession)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(batches)
+        if found:
+            known = pd.concat(found).sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
+            m = fit(known["text"], known["lang"])
+            words, codes = list(m.lexicon), list(m.lexicon.values())
+            yield pd.DataFrame({"labels": [m.labels], "weight": [m.weight.tobytes()], "trans": [m.trans.ravel().tolist()], "start": [m.start.tolist()], "words": [words], "codes": [codes]})
+
+    got = sample(docs, fold).repartition(1).mapInPandas(train, "labels array<string>, weight binary, trans array<double>, start array<double>, words array<string>, codes array<int>").first()
+    if got is None:
+        return fit([], [])
+    L = len(got["labels"])
+    return Model(list(got["labels"]), np.frombuffer(got["weight"], np.float32).reshape(-1, L), np.array(got["trans"]).reshape(L, L), np.array(got["start"]), dict(zip(got["words"], got["codes"], strict=True)))
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
-    A null text, or one without a letter, is ``und`` with score 0. Repeated rows
+    A null text, or one without a letter, is ``und`` with score 0. Very long texts are
+    read whole, a bounded part at a time. Repeated rows
     return a row each; a null id is kept, held_out null. An empty table returns no
     row. Without labelled documents every text is ``und``. Other columns are ignored.
     """
@@ -292,6 +316,8 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for texts in batches:
             lang, score = own.predict(list(texts))
             yield pd.DataFrame({"lang": lang, "score": score})
+        del own
+        release()
 
     got = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col)).alias("p"))
     return got.select("doc_id", (crc_mod(F.col("doc_id"), FOLD) == HELD).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
