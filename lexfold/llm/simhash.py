@@ -305,9 +305,13 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     def sets_of(some: DataFrame) -> DataFrame:
         some = materialise(some.join(nodes.select("node", F.col("first").alias("doc_id"), "blocks"), "node"), "simhash-some", nodes.count() // 4)
-        texts = named.join(small(some.select("doc_id").distinct()), "doc_id", "left_semi").select(listed("text").alias("m")).select("m.node", "m.s")
-        return materialise(some.select("node", "blocks").join(texts.dropDuplicates(["node"]), "node"), "simhash-sets")
+        texts = named.join(small(some.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", listed("text").alias("m")).select("doc_id", "m.node", "m.s")
+        # sets are held against each other only where an id has rows alike
+        again = small(twice)
+        once = texts.join(again, "doc_id", "left_anti").union(texts.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "node"]))
+        return materialise(some.join(once, ["doc_id", "node"]).select("node", "blocks", "s"), "simhash-sets")
 
+    twice = materialise(by_doc.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct(), "simhash-repeated", by_doc.count() // 2)
     found = similar_links(nodes, sets_of, percent)
     return materialise(joined(by_doc.select("doc_id", "node"), _named(nodes.drop("blocks"), found), "node").select("doc_id", "component_id"), "simhash-groups", by_doc.count())
 

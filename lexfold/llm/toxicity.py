@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, crc_mod, ship, word_blocks
+from .common import BLOCK, crc_mod, materialise, release, ship, word_blocks
 from .grams import hashed, pieces, plain, rows
 
 WINDOW = 12
@@ -30,7 +30,7 @@ STRIDE = 6
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
-#: Labelled rows that a fit reads at most, by class, and the longest text among them.
+#: Labelled rows that a fit reads at most, by class, and the characters of one; of longer texts, which come last, it reads a stretch.
 SAMPLE = {1: 3000, 0: 8000}
 SAMPLE_CHARS = 10_000
 #: Words a worker remembers the scores of.
@@ -59,8 +59,8 @@ class Scorer(dict):
 
     def learn(self, words: Iterable[str]) -> None:
         new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 4_000):
+            part = new[i : i + 4_000]
             at, valid = hashed([plain(w) for w in part], GRAMS, len(self.model.weight))
             got = (self.model.weight[at] * valid).sum(1) / np.maximum(1, valid.sum(1))
             self.update(zip(part, got.tolist(), strict=True))
@@ -186,21 +186,25 @@ def _rows(flat: np.ndarray, ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int | None = FOLD) -> DataFrame:
-    """(text, label): SAMPLE rows a class at most, by hash of the id; no row of fold 0.
+    """(doc_id, text, label): SAMPLE rows a class at most, by hash of the id; no row of fold 0.
 
-    An id with several labels counts as 1 if any says so. The ids are bounded by
-    SAMPLE, so they are broadcast and no text is shuffled.
+    An id with several labels counts as 1 if any says so. Texts over SAMPLE_CHARS are
+    taken where shorter ones do not fill the sample, and of each a stretch of that
+    length. The ids are bounded by SAMPLE, so they are broadcast and no text is shuffled.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     if fold:
         known = known.where(crc_mod(F.col("doc_id"), fold) != 0)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
+    sized = materialise(texts.select("doc_id", (F.length("text") > SAMPLE_CHARS).alias("long")).join(known, "doc_id"), "toxicity-known")
     ids = None
     for label, n in SAMPLE.items():
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = sized.where(F.col("label") == label).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = part if ids is None else ids.union(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    ids = F.broadcast(ids.select("doc_id", "label").distinct())
+    return texts.join(ids, "doc_id").select("doc_id", F.substring("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), "label")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int | None = FOLD) -> Model:
@@ -212,6 +216,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: i
         if found:
             known = pd.concat(found).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
             m = fit(known["text"], known["label"])
+            del found, known
+            release()
             yield pd.DataFrame({"weight": [m.weight.tobytes()], "bias": [m.bias]})
 
     got = sample(docs, labels, label_col, fold).repartition(1).mapInPandas(train, "weight binary, bias double").first()
@@ -221,8 +227,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: i
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Null and empty texts get the score of an empty bag. Repeated rows return a row
-    each; a null id is kept, held_out null. Other columns are ignored. An empty
+    Null and empty texts get the score of an empty bag. Very long texts are read
+    whole, a bounded part at a time. Repeated rows return a row each; a null id is kept, held_out null. Other columns are ignored. An empty
     table returns no row.
     """
     spark = ship(docs.sparkSession)
@@ -233,13 +239,21 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         own = shared.value.scorer()
         for texts in batches:
             yield pd.Series(own.scores(list(texts)), dtype="float64")
+        del own
+        release()
 
     got = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col)).alias("score"))
     return got.select("doc_id", (crc_mod(F.col("doc_id"), FOLD) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; same columns."""
+    """docs without the rows whose score reaches the threshold; same columns.
+
+    The model is fitted on docs' own labelled rows; without any, none is rejected.
+    Null, empty and very long texts are scored as in scored. Repeated rows go or stay
+    alike; an empty table returns no row. Other columns are passed on, whatever their
+    names.
+    """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(fitted(docs, labels))
 
@@ -248,5 +262,7 @@ def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
         own = shared.value.scorer()
         for texts in batches:
             yield pd.Series(own.scores(list(texts)), dtype="float64")
+        del own
+        release()
 
     return docs.where(score(F.col("text")) < threshold)
