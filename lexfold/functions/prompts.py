@@ -15,6 +15,9 @@ ANALYST = (
 )
 
 
+# The requests below are fixed values too.
+
+
 def user_request(clause: Column, party: Column) -> Column:
     return F.concat(F.lit("Analyze the following contract clause from the perspective of the **"), party, F.lit('**.\n\nClause:\n"""\n'), clause, F.lit('\n"""\n\nProvide:\n1. Risk Level\n2. Explanation'))
 

@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mentioned_clauses, snippet, strip
+from .order import running
 
 
-def histories(turns: DataFrame, session: str = "session_id", order: str = "turn") -> DataFrame:
-    """turns with history: all (turn, role, content) of the session before. A session is a chat, bounded by what a reader writes."""
-    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def histories(turns: DataFrame, session: str = "session_id", order: str = "turn", last: int | None = None) -> DataFrame:
+    """turns with history: the (turn, role, content) of the session before, all of them or the last ones.
+
+    All of them take room with the square of a session's turns, as a model's requests
+    do: for sessions that people write. Longer ones need a bound.
+    """
+    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding if last is None else -last, -1)
     return turns.withColumn("history", F.collect_list(F.struct(F.col(order).alias("turn"), "role", "content")).over(before))
 
 
 def sessions(events: DataFrame, user: str, order: str, is_reset: Column) -> DataFrame:
     """events with session_no: a reset starts a new session; events before the first are 0."""
-    so_far = Window.partitionBy(user).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("session_no", F.sum(is_reset.cast("int")).over(so_far))
+    return running(events, user, [order], session_no=is_reset.cast("int"))
 
 
 def relevant(results: DataFrame, question: Column) -> DataFrame:
@@ -25,6 +29,21 @@ def relevant(results: DataFrame, question: Column) -> DataFrame:
     return results.where(F.contains(F.lower("model_output"), F.lit("high")) | F.coalesce(F.array_contains(mentioned_clauses(question), F.col("clause_index")), F.lit(False)))
 
 
+# The wording of the summary, of a question with its references, and of the system prompt.
+COUNSEL = (
+    "You are a legal AI assistant helping analyze a contract.\n"
+    "You will be given:\n"
+    "  1. A summary of the initial risk analysis of the contract clauses.\n"
+    "  2. Reference clauses retrieved from a legal database relevant to the question.\n"
+    "  3. The conversation history so far.\n\n"
+    "Rules:\n"
+    "  - Always analyze from the perspective of the {role}.\n"
+    "  - Ground your answers in the retrieved reference clauses wherever possible.\n"
+    "  - If the references don't cover the question, say so rather than guessing.\n"
+    "  - Be concise and specific. Avoid generic legal disclaimers."
+)
+
+
 def summary_line(clause_index: Column, output: Column, text: Column) -> Column:
     """A result as a line of the summary."""
     return F.concat(F.lit("  Clause "), clause_index.cast("string"), F.lit(": "), strip(F.split_part(output, F.lit("\n"), F.lit(1))), F.lit(' | "'), snippet(text, 80), F.lit('..."'))
@@ -46,3 +65,31 @@ def messages(system: Column, history: Column, question: Column) -> Column:
     one = lambda role, content: F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
     past = F.transform(history, lambda h: F.struct(h["role"].alias("role"), h["content"].alias("content")))
     return F.concat(one("system", system), past, one("user", question))
+
+
+def system_prompt(role: Column, summary: Column) -> Column:
+    """What a chat model is told: its rules, whose side it takes, and the summary of the analysis (an array of lines)."""
+    lines = F.when(F.size(summary) > 0, F.array_join(summary, "\n")).otherwise("  No high-risk clauses identified.")
+    return F.concat(F.replace(F.lit(COUNSEL), F.lit("{role}"), role), F.lit("\n\nCONTRACT ANALYSIS SUMMARY ("), role, F.lit(" perspective):\n"), lines)
+
+
+def turn(questions: DataFrame, results: DataFrame, references: DataFrame, role: Column, history: DataFrame | None = None) -> DataFrame:
+    """session_id and messages of one turn: system prompt with the summary, the history, the question after its references.
+
+    questions: (session_id, question), a row a session; results: (session_id, clause_index,
+    clause_text, model_output), what the session's analysis found; references: (session_id,
+    rank, text), retrieved for the question; history: (session_id, turn, role, content).
+    """
+    asked = questions.select("session_id", "question")
+    named = F.coalesce(F.array_contains(mentioned_clauses(F.col("question")), F.col("clause_index")), F.lit(False))
+    told = results.join(asked, "session_id").where(F.contains(F.lower("model_output"), F.lit("high")) | named)
+    told = told.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("clause_index", summary_line(F.col("clause_index"), F.col("model_output"), F.col("clause_text")).alias("line")))).alias("told"))
+    found = references.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("found"))
+    df = asked.join(told, "session_id", "left").join(found, "session_id", "left")
+    past = F.array().cast("array<struct<turn:int,role:string,content:string>>")
+    if history is not None:
+        before = history.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("turn"), "role", "content"))).alias("past"))
+        df, past = df.join(before, "session_id", "left"), F.coalesce("past", past)
+    some = lambda c, field, kind: F.coalesce(F.transform(c, lambda x: x[field]), F.array().cast(f"array<{kind}>"))
+    system = system_prompt(role, some(F.col("told"), "line", "string"))
+    return df.select("session_id", messages(system, past, question_with_context(F.col("question"), some(F.col("found"), "text", "string"))).alias("messages"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curate import dedup_last
-from .reshape import party_rows
 
 
 def versions(old: DataFrame, new: DataFrame, order: str = "row_no", success: bool = True) -> DataFrame:
@@ -109,7 +108,3 @@ def totals(clauses: DataFrame) -> DataFrame:
 def rephrase_counts(rows: DataFrame, original: str = "explanation", new: str = "rephrased") -> DataFrame:
     """Copies that were rephrased, and copies that fell back to the original."""
     return rows.agg(F.count_if(~F.col(original).eqNullSafe(F.col(new))).alias("rephrased"), F.count_if(F.col(original).eqNullSafe(F.col(new))).alias("fallback"))
-
-
-def annotation_rows(annotations: DataFrame) -> DataFrame:
-    return party_rows(annotations)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import severity
 from ..functions.text import clause_body, strip
+from .order import placed, ranked
 
+# Fixed value: label words that give an answer away.
 LEAK_WORDS = r"(?iU)\b(low|medium|high)\b"
 # Clause types that the data model keeps.
 LICENSE_TYPES = ("License Grant", "Ip Ownership Assignment", "Non-Transferable License", "Affiliate License-Licensee", "Affiliate License-Licensor", "Irrevocable Or Perpetual License", "Unlimited/All-You-Can-Eat-License")
@@ -60,6 +62,7 @@ def labelled(rows: DataFrame, risk_col: str = "risk") -> DataFrame:
 
 
 def known_predictions(rows: DataFrame, col: str = "predicted") -> DataFrame:
+    """Rows with a prediction other than Unknown; a missing one is unknown too."""
     return rows.where(F.lower(col) != "unknown")
 
 
@@ -90,6 +93,12 @@ def dedup_first(rows: DataFrame, *key: str, order: str = "row_no") -> DataFrame:
     return _one(rows, list(key), F.col(order).asc())
 
 
+def dedup_counts(rows: DataFrame, *key: str) -> DataFrame:
+    """One row: rows before, rows that stay with one a key, and duplicates that go."""
+    per = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kept")).withColumn("removed", F.col("total") - F.col("kept"))
+
+
 def dedup_last(rows: DataFrame, *key: str, order: str = "row_no") -> DataFrame:
     """A row a key: the last by order, as a keyed dictionary keeps it."""
     return _one(rows, list(key), F.col(order).desc())
@@ -99,7 +108,7 @@ def dedup_last(rows: DataFrame, *key: str, order: str = "row_no") -> DataFrame:
 
 
 def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(rank_key(key, seed=seed), F.col(key))))
+    return ranked(rows, [label], rank_key(key, seed=seed), key)
 
 
 def class_sizes(rows: DataFrame, label: str = "risk") -> DataFrame:
@@ -159,15 +168,6 @@ def drawn(rows: DataFrame, n: int, key: str = "row_no", seed: int = 42) -> DataF
     return placed(rows, key).join(draws, "__place").drop("__place")
 
 
-def placed(rows: DataFrame, key: str) -> DataFrame:
-    """rows with __place, from 0, in the order of key: ranges of the key are counted, then numbered each from its start."""
-    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    parts = parts.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
-    starts = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__start"))
-    return parts.join(F.broadcast(starts), "__part").withColumn("__place", F.col("__start") + F.col("__in") - 1).drop("__part", "__in", "__start")
-
-
 def ratio_extra(low: int, high: int, ratio: float = 1.5) -> int:
     """How many High rows to add for Low : High = ratio; rounds half to even."""
     return max(0, round(low / ratio) - high)
@@ -186,9 +186,8 @@ def oversampled_to_ratio(rows: DataFrame, ratio: float = 1.5, label: str = "risk
 def grouped_split(rows: DataFrame, group: str, label: str = "risk", ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """rows with split: of the groups with any High row, and of the others, max(1, bround(n * ratio)) are val, the rest train."""
     groups = rows.groupBy(group).agg(F.coalesce(F.bool_or(F.col(label) == "High"), F.lit(False)).alias("__high"))
-    order = Window.partitionBy("__high").orderBy(rank_key(group, seed=seed), F.col(group))
     sizes = groups.groupBy("__high").agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(ratio)).cast("long")).alias("__val"))
-    side = groups.withColumn("__n", F.row_number().over(order)).join(F.broadcast(sizes), "__high").select(group, F.when(F.col("__n") <= F.col("__val"), "val").otherwise("train").alias("split"))
+    side = ranked(groups, ["__high"], rank_key(group, seed=seed), group).join(F.broadcast(sizes), "__high").select(group, F.when(F.col("__n") <= F.col("__val"), "val").otherwise("train").alias("split"))
     return rows.join(side, group)
 
 
@@ -196,9 +195,9 @@ def plain_split(rows: DataFrame, group: str, ratio: float = 0.1, seed: int = 42)
     """rows with split: the first floor(n * ratio) groups of the random order are val. A null group is a group of one row."""
     key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("?"), rank_key(*rows.columns, seed=seed)))
     df = rows.withColumn("__g", key)
-    groups = df.select("__g").distinct().withColumn("__rank", rank_key("__g", seed=seed))
+    groups = df.select("__g").distinct()
     n_val = int(groups.count() * ratio)
-    val = groups.orderBy("__rank", "__g").limit(n_val).select("__g", F.lit("val").alias("split"))
+    val = ranked(groups, [], rank_key("__g", seed=seed), "__g").where(F.col("__n") <= n_val).select("__g", F.lit("val").alias("split"))
     return df.join(val, "__g", "left").withColumn("split", F.coalesce("split", F.lit("train"))).drop("__g")
 
 
@@ -243,6 +242,11 @@ def pairs(rows: DataFrame, order: str = "row_no") -> DataFrame:
     return df.join(df.groupBy("pair_no").agg(F.count("*").alias("__n")).where("__n = 2").select("pair_no"), "pair_no", "left_semi")
 
 
+def grouped(rows: DataFrame, group: str, order: str = "row_no") -> DataFrame:
+    """(group, rows): each group's row numbers in order. Groups are the copies of a clause, bounded by how often it is annotated."""
+    return rows.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("rows"))
+
+
 def group_class(rows: DataFrame, group: str, label: str = "risk") -> DataFrame:
     """(group, class): the gravest risk of a group's rows."""
     worst = F.max(severity(F.col(label)))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def pair_counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
@@ -43,6 +45,15 @@ def averages(rows: DataFrame, labels: tuple[str, ...], by: tuple[str, ...] = ())
     return macro.unionByName(weighted)
 
 
+def micro(rows: DataFrame, labels: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, precision, recall, f1, support) over all decisions for one of the labels."""
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    true, said = F.col("y_true").isin(*labels), F.col("y_pred").isin(*labels)
+    sums = pair_counts(rows, by).groupBy(*by).agg(of(true & (F.col("y_true") == F.col("y_pred"))).alias("tp"), of(said).alias("said"), of(true).alias("support"))
+    over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return sums.select(*by, over(F.col("tp"), F.col("said")).alias("precision"), over(F.col("tp"), F.col("support")).alias("recall"), over(2 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"), "support")
+
+
 def balanced_accuracy(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The mean recall of the classes that y_true has."""
     recall = rows.groupBy(*by, "y_true").agg(F.avg(F.col("y_true").eqNullSafe(F.col("y_pred")).cast("int")).alias("r"))
@@ -108,7 +119,6 @@ def exemplars(rows: DataFrame, index: str = "row_no", defaults: tuple[int, int,
 
 
 def running_accuracy(rows: DataFrame, by: str, order: str, every: int = 10) -> DataFrame:
-    """(by, done, accuracy) after each every-th row of a run. Runs are bounded by their evaluation sets."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = rows.withColumn("done", F.count("*").over(w)).withColumn("accuracy", F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).over(w))
-    return df.where(F.col("done") % every == 0).select(by, "done", "accuracy")
+    """(by, done, accuracy) after each every-th row of a run."""
+    df = running(rows, by, [order], done=F.lit(1), hits=(F.col("y_true") == F.col("y_pred")).cast("int"), judged=F.col("y_true").isNotNull().cast("int") * F.col("y_pred").isNotNull().cast("int"))
+    return df.where(F.col("done") % every == 0).select(by, "done", (F.col("hits") / F.nullif("judged", F.lit(0))).alias("accuracy"))

@@ -5,6 +5,7 @@ A hook is loaded once a worker, by its factory, and called a batch at a time.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -15,25 +16,58 @@ from pyspark.sql import functions as F
 from ..functions.labels import served, stand_in
 from ..schemas import ANNOTATION
 
+# Signs in an error's message.
+RATE_LIMIT = "rate_limit|rate limit|ratelimit|429|too many requests"
+TOO_LONG = "context_length_exceeded|tokens_limit_reached|maximum context|too long|context.*length|length.*context|reduce.*token|token.*reduce"
+
 #: Makes a function from texts to outputs.
 Factory = Callable[[], Callable[[list[str]], list[str]]]
 
 
-def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw_output", retries: int = 1, wait_s: float = 0.0) -> DataFrame:
-    """rows with a model's output for the prompt column; after the last retry the output is null."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{output}` string"
+def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw_output", retries: int = 1, wait_s: float = 0.0, error: str | None = None, patient: bool = True) -> DataFrame:
+    """rows with a model's output for the prompt column; after the last retry the output is null, and error, if named, says why.
+
+    Where a batch fails its texts are tried one by one, so one bad text costs none of
+    the others. A text that is too long is not tried again. Unless patient, a task
+    stops calling the model once a text has met the rate limit on its last try.
+    """
+    more = f", `{output}` string" + (f", `{error}` string" if error else "")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + more
+    limited, too_long = re.compile(RATE_LIMIT, re.I).search, re.compile(TOO_LONG, re.I).search
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for b in batches:
-            got: list[str | None] = [None] * len(b)
+        model, stopped = factory(), None
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            nonlocal stopped
+            if stopped:
+                return None, stopped
+            said = ""
             for attempt in range(1 + retries):
                 try:
-                    got = list(model(b[prompt].tolist()))
-                    break
-                except Exception:
-                    time.sleep(wait_s * (attempt + 1))
-            yield b.assign(**{output: got})
+                    return model([text])[0], None
+                except Exception as e:
+                    said = str(e) or type(e).__name__
+                    if too_long(said):
+                        break
+                    if attempt < retries:
+                        time.sleep(wait_s * (attempt + 1))
+            if not patient and limited(said):
+                stopped = said
+            return None, said
+
+        for b in batches:
+            texts = b[prompt].tolist()
+            try:
+                if stopped:
+                    raise RuntimeError(stopped)
+                got = [(x, None) for x in model(texts)]
+                if len(got) != len(texts):
+                    raise RuntimeError("the model answered another number of texts")
+            except Exception:
+                got = [one(t) for t in texts]
+            put = {output: [x for x, _ in got]} | ({error: [e for _, e in got]} if error else {})
+            yield b.assign(**put)
 
     return rows.mapInPandas(run, schema)
 
@@ -48,24 +82,28 @@ def classified(clauses: DataFrame, role: str, factory: Factory | None = None, te
     return df.withColumn("__a", served(F.coalesce("__o", F.lit("")))).select("*", "__a.risk", "__a.explanation").drop("__a", "__o", "__p")
 
 
-def annotated(clauses: DataFrame, factory: Factory | None = None) -> DataFrame:
-    """clauses (clause_index, clause_text) as annotations: success, json_error where no object parses, api_error where the model fails.
+def annotated(clauses: DataFrame, factory: Factory | None = None, retries: int = 1, wait_s: float = 0.0) -> DataFrame:
+    """clauses (clause_index, clause_text) as annotations.
 
-    Rows whose error speaks of a context that is too long are the caller's to drop.
+    Status: success; json_error where no object parses; context_too_long, to be
+    skipped; rate_limited, where the model refused on the last try and its task
+    stopped calling it; api_error otherwise. error is the model's own message.
     """
     from ..functions.prompts import annotation_request
-    from ..functions.text import last_object
+    from ..functions.text import is_context_length, is_rate_limit, last_object
 
     if factory is None:
         parties = F.map_from_arrays(F.array(F.lit("Licensor"), F.lit("Licensee")), F.array(*(F.struct(stand_in(F.col("clause_text"), F.lit(r))["risk"].alias("risk"), stand_in(F.col("clause_text"), F.lit(r))["explanation"].alias("explanation")) for r in ("Licensor", "Licensee"))))
-        df = clauses.withColumn("raw_response", F.to_json(F.struct(parties.alias("parties"))))
+        df = clauses.withColumn("raw_response", F.to_json(F.struct(parties.alias("parties")))).withColumn("error", F.lit(None).cast("string"))
     else:
-        df = generated(clauses.withColumn("__p", annotation_request(F.col("clause_text"))), "__p", factory, "raw_response")
+        df = generated(clauses.withColumn("__p", annotation_request(F.col("clause_text"))), "__p", factory, "raw_response", retries, wait_s, "error", patient=False)
     party = "map<string,struct<risk:string,explanation:string,trigger_quote:string,evidence_quote:string>>"
     parsed = F.from_json(last_object(F.col("raw_response")), f"parties {party}")["parties"]
-    status = F.when(F.col("raw_response").isNull(), "api_error").when(parsed.isNull(), "json_error").otherwise("success")
+    said = F.coalesce("error", F.lit("no response"))
+    failed = F.when(is_context_length(said), "context_too_long").when(is_rate_limit(said), "rate_limited").otherwise("api_error")
+    status = F.when(F.col("raw_response").isNull(), failed).when(parsed.isNull(), "json_error").otherwise("success")
     names = [c.split()[0] for c in ANNOTATION.split(", ")]
-    df = df.withColumn("parties", parsed).withColumn("status", status).withColumn("error", F.when(status == "api_error", "no response"))
+    df = df.withColumn("parties", parsed).withColumn("status", status).withColumn("error", F.when(F.col("raw_response").isNull(), said))
     return df.withColumn("clause_index", F.col("clause_index").cast("int")).select(*names)
 
 

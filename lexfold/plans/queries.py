@@ -153,12 +153,6 @@ def clause_positions(spark, sf_dir):
     return _clauses(spark, sf_dir).join(langs, "source_file").groupBy("lang", "position").agg(F.count("*").alias("clauses"), F.sum("token_count").alias("tokens"))
 
 
-@query()
-def clause_segments(spark, sf_dir):
-    """All passes, inline splitting too: its marker must follow a sentence's end, which DuckDB's patterns cannot look back at."""
-    return segment.clauses(lines(spark, sf_dir))
-
-
 @query(ENRICHED + " SELECT source_file, count(*) AS clauses, CAST(1 AS BIGINT) AS pages FROM en GROUP BY 1 UNION ALL SELECT NULL, count(*), count(DISTINCT source_file) FROM en")
 def file_totals(spark, sf_dir):
     return compare.totals(_clauses(spark, sf_dir))
@@ -361,11 +355,10 @@ def section_prefix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.in_section(F.col("text"), F.when(F.col("lang") == "en", F.col("source"))).alias("prompt"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$') AS VARCHAR) IS NOT NULL AS ok FROM events")
+@query("SELECT event_id, props AS object FROM events")
 def json_from_text(spark, sf_dir):
     """The last balanced object of a text that goes on after it."""
-    df = table(spark, sf_dir, "events").select("event_id", X.last_object(F.concat(F.lit("Sure. "), F.col("props"), F.lit(" Done."))).alias("o"), "props")
-    return df.select("event_id", (F.col("o") == F.col("props")).alias("ok"))
+    return table(spark, sf_dir, "events").select("event_id", X.last_object(F.concat(F.lit("Sure. "), F.col("props"), F.lit(" Done."))).alias("object"))
 
 
 # duplicates, audits and joins
@@ -713,9 +706,9 @@ def contract_rows(spark, sf_dir):
     return curate.contract_rows(rows, ("en", "fr")).select(F.col("row_no").alias("doc_id"))
 
 
-@query(ENRICHED + " SELECT CAST(count(DISTINCT source_file) AS INT) AS total_pdfs, CAST(count(*) AS INT) AS total_clauses, count(DISTINCT source_file) AS files FROM en")
+@query(ENRICHED + ", f AS (SELECT source_file AS file, CAST(1 AS INT) AS pages, CAST(count(*) AS INT) AS clauses FROM en GROUP BY 1) SELECT CAST(count(*) OVER () AS INT) AS total_pdfs, CAST(sum(clauses) OVER () AS BIGINT) AS total_clauses, file, pages, clauses FROM f")
 def extraction_summary(spark, sf_dir):
-    return writers.summary(_clauses(spark, sf_dir)).select("total_pdfs", "total_clauses", F.size("per_file").cast("long").alias("files"))
+    return writers.summary(_clauses(spark, sf_dir))
 
 
 @query(ENRICHED + " SELECT source_file, CAST(count(*) AS INT) AS clause_count, CAST(1 AS INT) AS total_pages, string_agg(CAST(clause_id AS VARCHAR), ',' ORDER BY clause_id) AS ids FROM en GROUP BY 1")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions.text import strip
+from ..storage import stored
 
 #: Reads a PDF's bytes into lines: dicts with the keys of a raw line but source_file and line_no.
 PdfReader = Callable[[bytes], list[dict]]
@@ -24,10 +26,16 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed): both with _lineno, from 1, and _file; malformed has the line.
 
-    A file's lines are numbered within the file, read whole: for files that one task can hold.
+    Lines are read split by split. Splits of a file are told apart by where they start,
+    counted, and their lines numbered from the counts before, so no task holds a file.
+    Lines end with \\n or \\r\\n.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("__n", "line"))
-    text = text.where(strip(F.col("line")) != "").select("_file", (F.col("__n") + 1).alias("_lineno"), "line")
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("__at"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__id"))
+    read = stored(read, "lines")
+    first = read.groupBy("_file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("_file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = read.join(first.select("_file", "__at", "__first", before.alias("__before")), ["_file", "__at"])
+    text = text.select("_file", (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("int").alias("_lineno"), F.regexp_replace("line", r"\r$", "").alias("line")).where(strip(F.col("line")) != "")
     kind = schemas.struct(schema).add("_corrupt_record", "string")
     df = text.withColumn("__r", F.from_json("line", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     good = df.where(F.col("__r._corrupt_record").isNull()).select("__r.*", "_lineno", "_file").drop("_corrupt_record")
@@ -117,14 +125,42 @@ def bulk_text(lines: DataFrame) -> DataFrame:
     return pages.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def index_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path, built and written first where there is none."""
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def index_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], dataset: str | None = None) -> DataFrame | None:
+    """The table at path, built and written first where there is none.
+
+    Where it would have to be built from a dataset that is missing there is a warning,
+    and None: retrieval is off.
+    """
+    if not exists(spark, path):
+        if dataset is not None and not exists(spark, dataset):
+            warnings.warn(f"{dataset} is missing: retrieval is off", stacklevel=2)
+            return None
         build().write.parquet(path)
     return spark.read.schema(schemas.struct(schemas.CHUNK)).parquet(path)
 
 
+class Refused(ValueError):
+    """An upload that is not analysed; status as of HTTP."""
+
+    def __init__(self, status: int, why: str) -> None:
+        super().__init__(why)
+        self.status = status
+
+
+def upload(name: str, content: bytes) -> bytes:
+    """An upload's content, if it is a PDF by its name and holds anything: 422 and 400 otherwise."""
+    if not name.lower().endswith(".pdf"):
+        raise Refused(422, "only .pdf files are analysed")
+    if not content:
+        raise Refused(400, "the file is empty")
+    return content
+
+
 def analyse(lines: DataFrame, role: str, classify=None, rules=None) -> DataFrame:
     """Lines of an uploaded contract to its clauses' risk for a role. Raises ValueError for a role unknown, and where no clause is found."""
     from ..operators.hooks import classified
@@ -134,5 +170,5 @@ def analyse(lines: DataFrame, role: str, classify=None, rules=None) -> DataFrame
         raise ValueError(f"role must be Licensor or Licensee, not {role!r}")
     found = clauses(lines, rules or Rules())
     if found.isEmpty():
-        raise ValueError("no clauses were found")
+        raise Refused(422, "no clauses were found")
     return classified(found, role, classify)

@@ -29,10 +29,16 @@ def text_by(clauses: DataFrame, path: str, by: str = "source_file") -> None:
     joined_text(clauses, by).write.partitionBy(by).text(path)
 
 
+def files(clauses: DataFrame) -> DataFrame:
+    """(file, pages, clauses): a row a file."""
+    return clauses.groupBy(F.col("source_file").alias("file")).agg(F.max("page").cast("int").alias("pages"), F.count("*").cast("int").alias("clauses"))
+
+
 def summary(clauses: DataFrame) -> DataFrame:
-    """One row: total_pdfs, total_clauses, per_file."""
-    by = clauses.groupBy(F.col("source_file").alias("file")).agg(F.max("page").cast("int").alias("pages"), F.count("*").cast("int").alias("clauses"))
-    return by.agg(F.count("*").cast("int").alias("total_pdfs"), F.coalesce(F.sum("clauses"), F.lit(0)).cast("int").alias("total_clauses"), F.array_sort(F.collect_list(F.struct("file", "pages", "clauses"))).alias("per_file"))
+    """(total_pdfs, total_clauses, file, pages, clauses): a row a file, each with the totals; nested only where a document is made of it."""
+    by = files(clauses)
+    total = by.agg(F.count("*").alias("files"), F.coalesce(F.sum("clauses"), F.lit(0)).alias("clauses")).first()
+    return by.select(F.lit(total["files"]).cast("int").alias("total_pdfs"), F.lit(total["clauses"]).cast("long").alias("total_clauses"), "file", "pages", "clauses")
 
 
 def pretty(rows: DataFrame) -> DataFrame:

@@ -41,10 +41,10 @@ def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame]
 SESSION = "session_id string, session_no int, turn int, role string, content string, history int"
 
 
-def chat_sessions(events: DataFrame, keep: int = 50) -> DataFrame:
+def chat_sessions(events: DataFrame, reset: str = "upload") -> DataFrame:
     """A stream of (session_id, turn, role, content) with session_no and the number of turns before in it.
 
-    A turn of role upload starts a session anew. State is two numbers a session id.
+    A turn of the resetting role starts a session anew. State is two numbers a session id.
     """
     import pandas as pd
 
@@ -53,7 +53,7 @@ def chat_sessions(events: DataFrame, keep: int = 50) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.sort_values("turn").itertuples(index=False):
-                if r.role == "upload":
+                if r.role == reset:
                     number, turns = number + 1, 0
                 else:
                     rows.append((key[0], number, r.turn, r.role, r.content, turns))

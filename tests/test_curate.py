@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexfold import schemas
-from lexfold.operators import chat, compare, curate, evaluate, hooks, reshape, retrieve
+from lexfold.operators import chat, compare, curate, evaluate, hooks, order, reshape, retrieve
 from lexfold.sources import readers
 
 LABELS = ("low", "medium", "high")
@@ -137,7 +137,7 @@ def test_hooks(spark):
     def odd():
         return lambda texts: ["no json", 'x {"parties": {"Licensor": {"risk": "High", "explanation": "e"}}} y'][: len(texts)]
 
-    assert {r["status"] for r in hooks.annotated(df, broken).collect()} == {"api_error"}
+    assert {(r["status"], r["error"]) for r in hooks.annotated(df, broken).collect()} == {("rate_limited", "429")}
     got = {r["clause_index"]: r for r in hooks.annotated(df.coalesce(1), odd).collect()}
     assert got[1]["status"] == "json_error" and got[2]["parties"]["Licensor"]["risk"] == "High"
     assert {r["risk"] for r in hooks.classified(df, "Licensee", text_col="clause_text").collect()} == {"High", "Low"}
@@ -145,6 +145,66 @@ def test_hooks(spark):
     assert len(hooks.embedded(df, "clause_text").first()["embedding"]) == 64
 
 
+def test_one_bad_text_costs_no_other(spark):
+    """A batch that fails is told text by text; errors stay with their texts; too long is not tried again."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad", "b", "long", "c"])], "clause_index int, clause_text string").coalesce(1)
+
+    def moody():
+        seen = []
+
+        def call(texts):
+            seen.extend(texts)
+            if "bad" in texts:
+                raise RuntimeError("boom")
+            if "long" in texts:
+                raise RuntimeError("maximum context")
+            return [f"{t}{seen.count(t)}" for t in texts]
+
+        return call
+
+    got = {r["clause_text"]: (r["said"], r["why"]) for r in hooks.generated(df, "clause_text", moody, "said", retries=1, error="why").collect()}
+    assert got == {"a": ("a2", None), "bad": (None, "boom"), "b": ("b2", None), "long": (None, "maximum context"), "c": ("c2", None)}
+
+
+def test_a_rate_limit_stops_a_task(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "limit", "b"])], "clause_index int, clause_text string").coalesce(1)
+
+    def limited():
+        def call(texts):
+            if any("limit" in t for t in texts):
+                raise RuntimeError("HTTP 429: too many requests")
+            return ['{"parties": {}}'] * len(texts)
+
+        return call
+
+    got = {r["clause_text"]: r["status"] for r in hooks.annotated(df, limited).collect()}
+    assert got == {"a": "success", "limit": "rate_limited", "b": "rate_limited"}
+    patient = hooks.generated(df, "clause_text", limited, "said").collect()
+    assert [r["said"] is None for r in sorted(patient, key=lambda r: r["clause_index"])] == [False, True, False]
+
+
+def test_ranks_places_and_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "y", None]), rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_no int, g string, v int").repartition(5)
+    key = curate.rank_key("row_no")
+    got = {r["row_no"]: r["__n"] for r in order.ranked(df, ["g"], key, "row_no").collect()}
+    hashed = {r["row_no"]: r["k"] for r in df.select("row_no", key.alias("k")).collect()}
+    want = {}
+    for g in ("x", "y", None):
+        for n, i in enumerate(sorted((i for i, h, _ in rows if h == g), key=lambda i: (hashed[i], i)), 1):
+            want[i] = n
+    assert got == want
+    assert {r["row_no"]: r["__place"] for r in order.placed(df, "row_no").collect()} == {i: i for i in range(400)}
+    sums = {r["row_no"]: (r["n"], r["s"]) for r in order.running(df, "g", ["row_no"], n=F.lit(1), s=F.when(F.col("v") > 0, F.col("v"))).collect()}
+    so_far = {}
+    for i, g, v in rows:
+        n, s = so_far.get(g, (0, 0))
+        so_far[g] = (n + 1, s + v)
+        assert sums[i] == so_far[g], i
+    assert order.ranked(df.limit(0), [], key, "row_no").count() == order.placed(df.limit(0), "row_no").count() == order.running(df.limit(0), "g", ["row_no"], n=F.lit(1)).count() == 0
+
+
 def test_retrieval(spark):
     random.seed(2)
     vecs = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(60)]
@@ -153,8 +213,12 @@ def test_retrieval(spark):
     best = lambda q: sorted(vecs, key=lambda v: (-dot(v[1], q), v[0]))[:3]
     assert [r["vec_id"] for r in retrieve.top_k(df, vecs[4][1]).collect()] == [v[0] for v in best(vecs[4][1])]
     q = df.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieve.top_k_each(df, q, blocks=4).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieve.top_k_each(df, q, block=7).collect()}
     assert got == {(i, k + 1): v[0] for i in range(5) for k, v in enumerate(best(vecs[i][1]))}
+    same = spark.createDataFrame([(i, [1.0, 0.3]) for i in range(30)], "vec_id int, embedding array<double>")
+    ties = retrieve.top_k_each(same, same.where("vec_id < 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), block=4).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ties) == [(q, k + 1, k) for q in range(2) for k in range(3)]
+    assert retrieve.top_k_each(same.limit(0), q).count() == 0
 
 
 def test_chat(spark):
@@ -165,6 +229,25 @@ def test_chat(spark):
     assert sorted(r["clause_index"] for r in chat.relevant(res, F.lit("see clause 3")).collect()) == [3, 4]
 
 
+def test_a_turn_without_findings_or_references(spark):
+    q = spark.createDataFrame([("s", "what of clause 2?"), ("t", "hm")], "session_id string, question string")
+    res = spark.createDataFrame([("s", 1, "a", "Risk Level: Low"), ("s", 2, "b\nc", "Risk Level: Low\nx")], "session_id string, clause_index int, clause_text string, model_output string")
+    none = spark.createDataFrame([], "session_id string, rank int, text string")
+    got = {r["session_id"]: [m["content"] for m in r["messages"]] for r in chat.turn(q, res, none, F.lit("Licensor")).collect()}
+    assert got["s"][0].endswith('(Licensor perspective):\n  Clause 2: Risk Level: Low | "b c..."') and "perspective of the Licensor." in got["s"][0]
+    assert got["t"][0].endswith("No high-risk clauses identified.") and got["t"][1].endswith("No closely matching reference clauses found.\n\nQUESTION:\nhm")
+    turns = spark.createDataFrame([("s", i, "user", str(i)) for i in range(5)], schemas.CHAT_TURN)
+    assert {r["turn"]: [h["content"] for h in r["history"]] for r in chat.histories(turns, last=2).collect()}[4] == ["2", "3"]
+
+
+def test_uploads(spark):
+    for name, content, status in (("a.docx", b"x", 422), ("A.PDF", b"", 400)):
+        with pytest.raises(readers.Refused) as e:
+            readers.upload(name, content)
+        assert e.value.status == status
+    assert readers.upload("A.PDF", b"x") == b"x"
+
+
 def test_analyse(spark):
     with pytest.raises(ValueError):
         readers.analyse(spark.createDataFrame([], schemas.RAW_LINE), "Licensee")

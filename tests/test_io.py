@@ -3,6 +3,7 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexfold import schemas
@@ -21,6 +22,26 @@ def test_jsonl(spark, tmp_path):
     assert readers.splits(spark, schemas.CONTRACT_CSV, train=str(f), val=str(f)).groupBy("split").count().count() == 2
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """A file that is read in many splits, and a second one; line ends of two kinds."""
+    lines = ['{"n": %d}' % i if i % 9 else ["", "bad", "  "][i % 3] for i in range(1, 3000)]
+    (tmp_path / "a.jsonl").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "b.jsonl").write_text('{"n": 7}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        good, bad = readers.jsonl_tolerant(spark, str(tmp_path / "*.jsonl"), "n int")
+        got = [(r["_file"][-7], r["_lineno"], r["n"]) for r in good.collect()]
+        assert sorted(got) == sorted([("a", i, i) for i in range(1, 3000) if i % 9] + [("b", 1, 7)])
+        assert {r["_lineno"] for r in bad.collect()} == {i for i in range(1, 3000) if lines[i - 1] == "bad"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_retrieval_is_off_without_its_dataset(spark, tmp_path):
+    with pytest.warns(UserWarning, match="retrieval is off"):
+        assert readers.index_or_build(spark, str(tmp_path / "i"), lambda: 1 / 0, str(tmp_path / "none")) is None
+
+
 def test_json_array_csv_and_texts(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"clause_text": "x"}, {"clause_text": "y"}]')
     assert readers.json_array(spark, str(tmp_path / "a.json"), schemas.CONTRACT_CSV).count() == 2
@@ -54,8 +75,8 @@ def test_writers(spark, tmp_path):
     writers.append(rows, out)
     assert spark.read.json(out).count() == 6
     assert {r["source_file"]: r["value"] for r in writers.joined_text(rows).collect()} == {"a": "x", "b": "one\n\ntwo"}
-    s = writers.summary(rows).first()
-    assert (s["total_pdfs"], s["total_clauses"], s["per_file"][1]["pages"]) == (2, 3, 3)
+    s = {r["file"]: r for r in writers.summary(rows).collect()}
+    assert (s["b"]["total_pdfs"], s["b"]["total_clauses"], s["b"]["pages"], s["a"]["clauses"]) == (2, 3, 3, 1)
     p = str(tmp_path / "p")
     rows.write.parquet(p)
     writers.rewritten(spark.read.parquet(p).where("source_file = 'b'"), p)

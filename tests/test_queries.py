@@ -26,6 +26,7 @@ def test_entry_has_a_stable_schema(spark):
 
 def test_queries_equal_their_sql(spark):
     from lexfold.plans import queries as plans
+    from lexfold.plans import round_trips, variants  # noqa: F401
 
     duck = duckdb.connect()
     for t in TABLES:
