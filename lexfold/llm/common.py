@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_path
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Arrow batches, and those in which Parquet is read, are kept small so that a batch of long texts stays bounded.
@@ -42,20 +42,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return bounded(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in plain local mode one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="lexfold-")
-    spark.sparkContext.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 #: Rows of ids and counts that a written file should hold at least.
 FILE_ROWS = 100_000
 
@@ -69,11 +55,8 @@ def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     spark = bounded(df.sparkSession)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

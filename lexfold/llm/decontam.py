@@ -41,7 +41,7 @@ def index(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: s
     A posting of the empty term stands at each document's length.
     """
     terms = tests.select(F.explode("w").alias("x")).select(F.xxhash64("x").alias("t"))
-    vocabulary = materialise(terms.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("t"))).distinct(), "decontam-terms")
+    vocabulary = materialise(terms.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("t"))).distinct(), "decontam-terms", terms.count() + 1)
     every = F.concat(words(F.col(text_col)), F.array(F.lit("")))
     exploded = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.posexplode(every).alias("pos", "x"))
     return materialise(exploded.select("doc_id", "h", F.xxhash64("x").alias("t"), "pos").join(small(vocabulary), "t", "left_semi"), "decontam-index")
@@ -63,7 +63,7 @@ def _probes(tests: DataFrame, postings: DataFrame, window: int, rarest: int) ->
 
 def alignments(postings: DataFrame, tests: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """(doc_id, h, item, delta, starts): windows, by first place, whose rarest terms meet at an offset."""
-    probes = materialise(_probes(tests, postings, window, rarest), "decontam-probes")
+    probes = materialise(_probes(tests, postings, window, rarest), "decontam-probes", 50 * tests.count())
     last = F.greatest(F.lit(0), F.size("w") - window).alias("last")
     places = probes.select("item", "w", last, F.explode(F.array_distinct(F.flatten("wins.need"))).alias("ipos")).select("item", "last", "ipos", F.xxhash64(F.element_at("w", F.col("ipos") + 1)).alias("t"))
     # a document may begin inside an item (delta < 0); it then holds the windows from place -delta on

@@ -143,7 +143,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def queues(stored: DataFrame, window: int, targets: dict[str, float] | None = None) -> DataFrame:
     """(source, n, windows), written: a queue's tokens, and in how many windows they are sent."""
-    found = materialise(stored.groupBy("source").agg(F.sum("n").alias("n")), "packing-queues")
+    found = materialise(stored.groupBy("source").agg(F.sum("n").alias("n")), "packing-queues", stored.select("source").distinct().count())
     big = lambda c: F.col(c).cast("decimal(38,0)")
     if targets is None:
         every = found.agg(F.sum("n")).first()[0] or 0
@@ -162,19 +162,21 @@ def placed(stored: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, n, ids, place): each document's first place in the stream. found: queues()."""
     # a part's first place in each queue
     sums = stored.groupBy("part", "source").agg(F.sum("n").alias("m"))
+    most = found.agg(F.count("*").alias("queues"), F.coalesce(F.max("windows"), F.lit(0)).alias("windows")).first()
+    parts = (stored.agg(F.max("part")).first()[0] or 0) + 1
     before = F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    carry = materialise(sums.select("part", "source", F.coalesce(before, F.lit(0)).alias("before")).join(found, "source").select("part", "source", "before", F.col("n").alias("top"), "windows"), "packing-carry")
+    carry = materialise(sums.select("part", "source", F.coalesce(before, F.lit(0)).alias("before")).join(found, "source").select("part", "source", "before", F.col("n").alias("top"), "windows"), "packing-carry", parts * most["queues"])
     df = stored.join(small(carry), ["part", "source"]).withColumn("p", F.col("before") + F.col("at"))
     # the first window in which the queue is allowed a token more than it has sent
     df = df.withColumn("w", F.expr("((cast(p as decimal(19,0)) + 1) * cast(windows as decimal(18,0)) - 1) div top"))
     sent = df.groupBy("w", "source").agg(F.sum("n").alias("m"), F.min("p").alias("first"))
-    sent = materialise(sent.withColumn("chunk", F.expr(f"w div {CHUNK}")), "packing-sent")
+    sent = materialise(sent.withColumn("chunk", F.expr(f"w div {CHUNK}")), "packing-sent", (most["windows"] + 1) * most["queues"])
     ahead = lambda over, *order: F.coalesce(F.sum("m").over((Window.partitionBy(over) if over else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     windows = sent.groupBy("chunk", "w").agg(F.sum("m").alias("m"))
     chunks = windows.groupBy("chunk").agg(F.sum("m").alias("m")).select("chunk", ahead(None, "chunk").alias("a"))
     windows = windows.select("chunk", "w", ahead("chunk", "w").alias("b")).join(chunks, "chunk").select("w", "a", "b")
     starts = sent.select("w", "source", "first", ahead("w", "source").alias("c")).join(windows, "w")
-    starts = materialise(starts.select("w", "source", (F.col("a") + F.col("b") + F.col("c") - F.col("first")).alias("shift")), "packing-starts")
+    starts = materialise(starts.select("w", "source", (F.col("a") + F.col("b") + F.col("c") - F.col("first")).alias("shift")), "packing-starts", sent.count())
     return df.join(small(starts), ["w", "source"]).select("doc_id", "n", "ids", (F.col("p") + F.col("shift")).alias("place"))
 
 
@@ -196,7 +198,8 @@ def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, w
     path = path or tokenizer_path()
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     stored = encoded(docs, path, id_col, text_col, source_col)
-    window = window or sequence * QUEUE_SEQUENCES * max(1, stored.select("source").distinct().count())
+    if not window:
+        window = sequence * QUEUE_SEQUENCES * max(1, stored.select("source").distinct().count())
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
     width = 2 if _small(path) else 4
 

@@ -41,7 +41,7 @@ FREE = list(itertools.combinations(range(8), 2))
 POSITIONS, JOINT, MIN_SHARED, TAIL = 64, 4, 36, 2
 WORDS, PERCENT = 5, 80
 #: Lists up to which every pair is looked at; longer ones go by centres and closer keys.
-ALL_PAIRS = 8
+ALL_PAIRS = 16
 
 
 # fingerprints
@@ -225,10 +225,10 @@ def _tally(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, zeros), F.lit(0), lambda total, x: total + x)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, rows: int | None = None) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (x, y) whose sets of shingles have a Jaccard similarity of percent at least.
 
-    sets: (node, blocks, s). Pairs that share too few positional bytes are dropped before the sets are met. rows: of pairs, at most.
+    sets: (node, blocks, s). Pairs that share too few positional bytes are dropped before the sets are met.
     """
     ship(pairs.sparkSession)
 
@@ -243,7 +243,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, rows: int
 
     one = lambda node, column, name: sets.select(F.col("node").alias(node), F.col(column).alias(name))
     tallied = pairs.join(one("x", "blocks", "a"), "x").join(one("y", "blocks", "b"), "y").where(_tally(F.col("a"), F.col("b")) >= MIN_SHARED).select("x", "y")
-    both = materialise(tallied, "simhash-tallied", rows).join(one("x", "s", "a"), "x").join(one("y", "s", "b"), "y")
+    both = tallied.join(one("x", "s", "a"), "x").join(one("y", "s", "b"), "y")
     return both.where(alike("a", "b")).select("x", "y")
 
 
@@ -258,7 +258,7 @@ def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFram
     in common part again. sets_of gives (node, blocks, s) of some nodes (node).
     """
     posted = nodes.select("node", "first", F.posexplode("blocks").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "at", "node", "first")
-    posted, found, sets = materialise(posted, "simhash-postings"), None, None
+    posted, found, sets = materialise(posted, "simhash-postings", nodes.count() * POSITIONS // JOINT), None, None
     while n := posted.count():
         sized = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "node")).alias("c")).where("n > 1")
         sized = materialise(sized.select("key", "n", F.col("c.node").alias("c")), "simhash-sizes", n // 2)
@@ -271,8 +271,8 @@ def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFram
         pairs = pairs.union(long.select("x", "y")).distinct()
         if found is not None:
             pairs = pairs.join(found, ["x", "y"], "left_anti")
-        got = materialise(similar(pairs, sets, percent, n * ALL_PAIRS // 2), "simhash-links", n * ALL_PAIRS // 2)
-        found = got if found is None else materialise(found.union(got), "simhash-links", found.count() + got.count())
+        got = materialise(similar(pairs, sets, percent), "simhash-links", n * ALL_PAIRS // 2)
+        found = got if found is None else found.union(got)
         left = long.join(found, ["x", "y"], "left_anti")
         # joint values in order: each set of them is one list
         more = left.join(sets.select("node", "blocks"), "node").select("key", "node", "first", "at", F.posexplode(F.expr(f"slice(blocks, at + 2, {POSITIONS // JOINT})")).alias("on", "value"))

@@ -197,7 +197,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: i
         known = known.where(crc_mod(F.col("doc_id"), fold) != 0)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
-    sized = materialise(texts.select("doc_id", (F.length("text") > SAMPLE_CHARS).alias("long")).join(known, "doc_id"), "toxicity-known")
+    sized = materialise(texts.select("doc_id", (F.length("text") > SAMPLE_CHARS).alias("long")).join(known, "doc_id"), "toxicity-known", labels.count())
     ids = None
     for label, n in SAMPLE.items():
         part = sized.where(F.col("label") == label).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(n)
