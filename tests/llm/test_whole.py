@@ -6,7 +6,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexfold.llm import decontam, grams, langid, packing, pii, simhash, toolchat, toxicity
+from lexfold.llm import decontam, grams, langid, linededup, packing, pii, simhash, toolchat, toxicity, urlrep
 
 
 # 3 decontamination
@@ -22,6 +22,19 @@ def test_documents_that_begin_inside_an_item(spark):
     assert got[0][1] == 20 and got[0][4] and got[1][4] and not got[2][4]
 
 
+def test_passages_at_every_place_and_texts_of_one_word(spark):
+    """Passages from word 0, 1 and 12 and up to the last word, short items, and a text with an alignment at each of its words."""
+    b = [f"b{i}" for i in range(40)]
+    items = [(1, " ".join(b)), (2, "one two three"), (3, "the " * 15), (4, "the " * 4 + "end"), (None, " ".join(b[5:25]))]
+    pad = lambda n: [f"p{i}" for i in range(n)]
+    texts = [" ".join(pad(k) + b[s : s + n] + pad(e)) for k in (0, 1, 12) for s in (0, 1, 12, 20) for n in (12, 13, 20) for e in (0, 1, 300)]
+    texts += ["the " * 3000, "the " * 14, "the " * 15 + "x " + "the " * 20 + "end", "one two three", "x one two three", "one two x three", "three one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"]) for r in decontam.report(df, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    want = brute.contamination(texts, items)
+    assert got == {i: (w[0], w[1], w[4]) for i, w in enumerate(want)} and sum(w[4] for w in want) > 50
+
+
 # near duplicates in the pipeline
 
 
@@ -75,6 +88,44 @@ def test_letters_and_ngrams_beyond_forty_characters_count():
     assert [g for _, g in own.tag("katha " + "1" * 90 + " " + long)][1:] == [None, "bb"]
 
 
+def test_more_languages_than_three_hundred(spark):
+    rows = [(i, f"w{i}a w{i}b w{i}c " * 3, f"l{i:03}") for i in range(310)] + [(1000, "long " * 5000, "only long texts"), (None, "x", "l000"), (1001, " ", "blank")]
+    known = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fold=False).collect()
+    assert {r["lang"] for r in known} == {g for i, _, g in rows if i is not None and g != "blank"} and max(len(r["text"]) for r in known) <= langid.SAMPLE_CHARS
+    m = langid.fit([r["text"] for r in known], [r["lang"] for r in known], epochs=1)
+    assert len(m.labels) == 311 and m.weight.shape[1] == 311
+
+
+def test_bounded_steps_are_one_step(monkeypatch):
+    """The fit's sums do not depend on how many chains a step holds."""
+    texts, langs = [f"{w}{i} {w}x {w}y" * 4 for w in ("ka", "zo", "mi") for i in range(30)], [g for g in "abc" for _ in range(30)]
+    one = langid.fit(texts, langs, epochs=5)
+    monkeypatch.setattr(langid, "STEP", 32 * 3 * 7)
+    parts = langid.fit(texts, langs, epochs=5)
+    a, b = (m.tagger().predict(["ka7 kax", "zo1 zoy mi2", "mi3 miy mix"]) for m in (one, parts))
+    assert a[0] == b[0] == ["a", "b", "c"] and np.allclose(a[1], b[1], atol=0.02)
+
+
+def test_toxicity_learns_from_long_texts_where_there_are_no_others(spark):
+    docs = spark.createDataFrame([(i, ("worthless " if i % 2 else "fine ") * 4000) for i in range(20)] + [(30, "short"), (31, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(30, 0), (31, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.sample(docs, labels, fold=None).collect()}
+    assert set(got) == {*range(20), 30} and max(len(r["text"]) for r in got.values()) == toxicity.SAMPLE_CHARS
+
+
+# 7 URLs
+
+
+def test_repeated_pages_add_no_evidence(spark):
+    """A page once or in many rows: the outcomes of its id count once for its host."""
+    rows = [(i, f"http://h{i % 4}.net/{i}") for i in range(40)]
+    out = [(i, int(i % 4 == 0)) for i in range(40)]
+    outcomes = spark.createDataFrame(out, "page_id long, bad int")
+    once = urlrep.judged(spark.createDataFrame(rows, "page_id long, url string"), outcomes)
+    many = urlrep.judged(spark.createDataFrame(rows + rows[:1] * 500, "page_id long, url string"), outcomes)
+    assert {r["host"]: r["verdict"] for r in once.collect()} == {r["host"]: r["verdict"] for r in many.collect()} and many.count() == 540
+
+
 # 8 packing
 
 
@@ -150,5 +201,7 @@ def test_pages_of_boilerplate_alone_are_emptied_in_the_pipeline(spark):
     menu = ["home", "cookie notice", "footer", "imprint"]
     rows = [(i, "\n".join([*menu, f"own words {i}"]), "s") for i in range(5)] + [(10 + i, "\n".join(menu[i:]), "s") for i in range(4)] + [(20, None, "s"), (21, "home", "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = linededup.stripped(df.withColumns({"__host": F.lit("x"), "drop": F.lit(1), "kept": F.lit(2), "__n_dropped": F.lit("s")}), spare=False)
+    assert clash.columns == ["doc_id", "text", "source", "__host", "drop", "kept", "__n_lines", "__n_dropped"] and clash.where("__host = 'x' and kept = 2").count() == len(rows)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.boilerplate(spark, df, "").collect()}
     assert got == {**{i: f"own words {i}" for i in range(5)}, **{10 + i: "" for i in range(4)}, 20: None, 21: "home"}
