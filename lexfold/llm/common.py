@@ -42,18 +42,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return bounded(spark)
 
 
-#: Rows of ids and counts that a written file should hold at least.
-FILE_ROWS = 100_000
+#: Rows of ids and counts that a written file should hold at least, and files up to which they are put together.
+FILE_ROWS, FEW_FILES = 100_000, 8
 
 
 def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    rows: about how many narrow rows it has at most, so that few do not make many files. The
-    table is deleted when the driver's JVM ends.
+    rows: about how many narrow rows it has at most, so that few do not make many files. They
+    are dealt anew for that, since a task that reads many partitions holds the sort buffers of
+    all. The table is deleted when the driver's JVM ends.
     """
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    if rows is not None and rows <= FEW_FILES * FILE_ROWS:
+        df = df.repartition(max(1, -(-rows // FILE_ROWS)))
     spark = bounded(df.sparkSession)
     path = shared_path(spark, tag)
     df.write.parquet(path)
