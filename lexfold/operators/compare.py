@@ -35,6 +35,15 @@ def transitions(both: DataFrame) -> DataFrame:
     return both.select("party", known("old_risk"), known("new_risk")).where("old_risk <> new_risk").groupBy("party", "old_risk", "new_risk").agg(F.count("*").alias("n"))
 
 
+def transition_examples(both: DataFrame, *picks: tuple[str, str]) -> DataFrame:
+    """For each (old, new) the first clause, by index, whose risk went so; none where no clause did."""
+    wanted = F.lit(False)
+    for old, new in picks:
+        wanted = wanted | ((F.col("old_risk") == old) & (F.col("new_risk") == new))
+    first = F.min(F.struct("clause_index", "party")).alias("f")
+    return both.where(wanted).groupBy("old_risk", "new_risk").agg(first).select("f.clause_index", "f.party", "old_risk", "new_risk")
+
+
 def transition_example(both: DataFrame, old: str, new: str) -> DataFrame:
     """The first clause, by index, whose risk went from old to new."""
     return both.where((F.col("old_risk") == old) & (F.col("new_risk") == new)).orderBy("clause_index", "party").limit(1)
@@ -86,6 +95,12 @@ def status_counts(annotations: DataFrame) -> DataFrame:
     return annotations.agg(F.count_if(F.col("status") == "success").alias("success"), F.count_if(~F.col("status").eqNullSafe("success")).alias("errors"))
 
 
+def outcome_counts(annotations: DataFrame) -> DataFrame:
+    """One row: successes, rows skipped since their context is too long, and errors of any other kind."""
+    status = F.coalesce("status", F.lit(""))
+    return annotations.agg(F.count_if(status == "success").alias("success"), F.count_if(status == "context_too_long").alias("skipped"), F.count_if(~status.isin("success", "context_too_long")).alias("errors"))
+
+
 def risk_table(rows: DataFrame, labels: tuple[str, ...] = ("Low", "Medium", "High")) -> DataFrame:
     """A row a party, a column a label, zero-filled; other labels are counted as other."""
     known = F.when(F.col("risk").isin(*labels), F.col("risk")).otherwise("other")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas, streaming
-from ..operators import curate, segment
+from ..functions.labels import stand_in
+from ..operators import curate
 from ..sources import readers, writers
 from ..storage import shared_path
-from .queries import ENRICHED, PRED, _clauses, _predictions, lines, query, table
-from .variants import GEO, SEGMENTS, docs, geometry, marked, pick
+from .queries import ENRICHED, PRED, _clauses, _predictions, query, table
+from .variants import GEO, SEGMENTS, docs, geometry, marked
 
 
 def _text(rows: DataFrame, value, path: str, one: bool = False) -> None:
@@ -205,7 +206,7 @@ def annotated_stream(spark, sf_dir):
     writers.jsonl(df.where("clause_index % 3 <> 0"), f"{path}/in", mode="append")
 
     def annotate(batch: DataFrame) -> DataFrame:
-        return batch.select("clause_index", readers_risk(F.col("clause_text")).alias("risk"))
+        return batch.select("clause_index", stand_in(F.col("clause_text"), F.lit("Licensor"))["risk"].alias("risk"))
 
     for _ in range(2):  # the second run starts anew: other tasks, and some that are done
         tasks = streaming.clause_stream(spark, f"{path}/in", "clause_index long, clause_text string")
@@ -214,12 +215,6 @@ def annotated_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("clause_index", "risk")
 
 
-def readers_risk(text):
-    from ..functions.labels import stand_in
-
-    return stand_in(text, F.lit("Licensor"))["risk"]
-
-
 @query("SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, CAST(s AS INT) AS session_no FROM (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations) WHERE role <> 'user'".replace("turn,", "CAST(turn AS INT) AS turn,"))
 def session_stream(spark, sf_dir):
     """Chat sessions as a stream with state; a turn of one role starts a session anew."""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import prompts as P
 from ..functions import text as X
-from ..operators import chat, curate, evaluate, hooks, reshape, retrieve, segment
+from ..operators import chat, compare, curate, evaluate, hooks, reshape, retrieve, segment
 from ..operators.order import ranked
-from .queries import ANN, BLOCKS, ENRICHED, EXAMPLES, FLAGS, LINES, MERGED, PRED, RISKS, _BOILER, _examples, _predictions, _re2, _round, annotations, lines, query, table
+from .queries import ANN, CLASSES, ENRICHED, EXAMPLES, FLAGS, LINES, MERGED, PRED, RISKS, _BOILER, _examples, _labelled, _predictions, _re2, _round, annotations, lines, query, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,6 @@ def quoted(*values: str | None) -> list[str | None]:
     return [None if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values]
 
 
-D = "documents"
 T = "coalesce(text, '')"
 
 # segmentation with geometry, bold lines, inline markers and older rules
@@ -420,3 +419,87 @@ def prf_by_party(spark, sf_dir):
 def prf_micro(spark, sf_dir):
     """Over the decisions for two of three labels, where it is no accuracy."""
     return _round(evaluate.micro(_predictions(spark, sf_dir), ("Low", "High"), ("party",)), "precision", "recall", "f1")
+
+
+# what other queries reach in part
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n\n+'),
+ lambda x: array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> ''), ' ')), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, unnest(generate_series(1, len(p))) AS paragraph_no, unnest(p) AS paragraph FROM p"""
+)
+def paragraph_texts(spark, sf_dir):
+    """Paragraphs themselves, each on one line."""
+    return segment.paragraphs(docs(spark, sf_dir)).select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), "paragraph")
+
+
+_CUTS = ("a" + X.ASSISTANT + "\n\nb", "no header", X.ASSISTANT, "x" + X.ASSISTANT + "y" + X.ASSISTANT)
+
+
+@query(f"SELECT doc_id, {choose('doc_id', *quoted('a' + X.ASSISTANT + chr(10) + chr(10), 'no header' + X.ASSISTANT + chr(10) + chr(10), X.ASSISTANT + chr(10) + chr(10), 'x' + X.ASSISTANT + chr(10) + chr(10)))} AS prompt FROM documents")
+def prompt_headers(spark, sf_dir):
+    """Prompts through the assistant's header, which is added where it lacks."""
+    return docs(spark, sf_dir).select("doc_id", X.prompt_cut(pick(F.col("doc_id"), *_CUTS)).alias("prompt"))
+
+
+_PARTIES = ("The Licensor and either  Party; LICENSOR", "each party, party b or Party\nA", "no one, partying", "both parties: the parties")
+
+
+@query(f"SELECT doc_id, {choose('doc_id', *quoted('either  party|licensor', 'each party|party' + chr(10) + 'a|party b', '', 'both parties|the parties'))} AS refs FROM documents")
+def party_reference_cases(spark, sf_dir):
+    """References to parties by the data model's own pattern."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(X.party_refs(pick(F.col("doc_id"), *_PARTIES)), "|").alias("refs"))
+
+
+@query(ANN + "SELECT party, round(avg(length(explanation)), 4) AS mean_length, count(*) FILTER (WHERE clause_index % 3 <> 0) AS quoted FROM party GROUP BY 1")
+def quoted_explanations(spark, sf_dir):
+    """Rows that quote a trigger, or evidence, or neither."""
+    n = F.col("clause_index") % 3
+    put = lambda _, p: F.struct(p["risk"].alias("risk"), p["explanation"].alias("explanation"), F.when(n == 1, "t").alias("trigger_quote"), F.when(n == 2, "e").alias("evidence_quote"))
+    return compare.explanation_stats(annotations(spark, sf_dir).withColumn("parties", F.transform_values("parties", put)))
+
+
+_PAIRS = ANN.rstrip() + """, old AS (SELECT clause_index, party, risk AS old_risk FROM party), v AS (SELECT clause_index, party, old_risk, CASE clause_index % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS new_risk FROM old)
+, r AS (SELECT *, row_number() OVER (PARTITION BY old_risk, new_risk ORDER BY clause_index, party) AS n FROM v) """
+
+
+@query(_PAIRS + "SELECT clause_index, party, old_risk, new_risk FROM r WHERE n = 1 AND (old_risk, new_risk) IN (('Medium', 'Low'), ('Medium', 'High'))")
+def transition_examples(spark, sf_dir):
+    """The first clause of each of two transitions."""
+    both = reshape.party_rows(annotations(spark, sf_dir)).select("clause_index", "party", F.col("risk").alias("old_risk"), pick(F.col("clause_index"), "Low", "Medium", "High").alias("new_risk"))
+    return compare.transition_examples(both, ("Medium", "Low"), ("Medium", "High"))
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 4 = 0) AS success, count(*) FILTER (WHERE doc_id % 4 = 1) AS skipped, count(*) FILTER (WHERE doc_id % 4 > 1) AS errors FROM documents")
+def outcome_counts(spark, sf_dir):
+    """Successes, skipped rows and errors; no status is an error."""
+    return compare.outcome_counts(docs(spark, sf_dir).select(pick(F.col("doc_id"), "success", "context_too_long", "api_error", F.lit(None).cast("string")).alias("status")))
+
+
+@query("WITH o AS (SELECT * FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 2)) SELECT lang, count(*) AS n FROM o GROUP BY 1")
+def oversampled_classes(spark, sf_dir):
+    """Classes of the rows whose text stands more than twice."""
+    return curate.class_sizes(compare.repeated(table(spark, sf_dir, "documents"), "text"), "lang")
+
+
+_LOW = "(SELECT count(*) // 2 FROM cls WHERE risk = 'Low')"
+
+
+@query(CLASSES + f", k AS (SELECT row_no, risk, CASE WHEN risk = 'High' THEN 3 ELSE 1 END AS copies FROM rk WHERE risk <> 'Low' OR rn <= {_LOW}) SELECT row_no, risk, unnest(generate_series(1, copies)) AS copy_no FROM k")
+def composition_with_low(spark, sf_dir):
+    """High three times, all Medium, and half of Low by the random order."""
+    rows = _labelled(spark, sf_dir)
+    n = {r["risk"]: r["n"] for r in curate.class_sizes(rows).collect()}
+    got = curate.composed(rows, 3 * n.get("High", 0) + n.get("Medium", 0) + n.get("Low", 0) // 2)
+    return got.select("row_no", "risk", F.col("copy_no").cast("long").alias("copy_no"))
+
+
+@query(CLASSES + f"SELECT row_no, risk, 1 AS copy_no, md5(clause_text) AS h FROM rk WHERE risk <> 'Low' OR rn <= {_LOW} UNION ALL SELECT row_no, risk, 2, md5('again: ' || clause_text) FROM cls WHERE risk = 'High'")
+def rephrased_with_low(spark, sf_dir):
+    """High and a copy of each in other words, all Medium, and half of Low."""
+    rows = _labelled(spark, sf_dir)
+    n = {r["risk"]: r["n"] for r in curate.class_sizes(rows).collect()}
+    again = lambda df: df.withColumn("clause_text", F.concat(F.lit("again: "), "clause_text"))
+    got = curate.rephrased_composition(rows, 2 * n.get("High", 0) + n.get("Medium", 0) + n.get("Low", 0) // 2, again)
+    return got.select("row_no", "risk", F.col("copy_no").cast("int").alias("copy_no"), F.md5("clause_text").alias("h"))
