@@ -5,8 +5,10 @@ and ``<tool_result>{"id", "content"}</tool_result>``. Calls and results are
 hash-joined by conversation and identifier. A string ``"$id"`` among a call's
 arguments makes it depend on that call's result; depth orders events
 topologically: a call is one deeper than the results it depends on, a result one
-deeper than its call. Arguments are validated against schemas and everything is
-serialised as canonical JSON: keys sorted, no white space.
+deeper than its call. Arguments are validated against schemas, those that the
+caller gives for all conversations and those that a conversation declares in blocks
+``<tool_schema>{"name", "parameters": {argument: {"type", "required"}}}</tool_schema>``.
+Everything is serialised as canonical JSON: keys sorted, no white space.
 
 Rows are events, ordered by (depth, turn, part) within a conversation; no
 conversation is gathered in one task, however long it is.
@@ -17,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
+SCHEMA = r"(?s)<tool_schema>(.*?)</tool_schema>"
 #: Types of a schema, as the engine names a JSON value's type.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 #: Tool name -> argument -> (type, whether it is required). A tool without schema takes any object.
@@ -45,16 +48,34 @@ def _valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _declared(schemas: DataFrame) -> DataFrame:
+    """(conv_id, tool, spec), written: the first schema of a tool that a conversation declares; spec: argument -> (type, required)."""
+    v = F.try_parse_json("body")
+    given = schemas.select("conv_id", F.try_variant_get(v, "$.name", "string").alias("tool"), F.to_json(F.try_variant_get(v, "$.parameters", "variant")).alias("p"), F.struct("turn", "part").alias("at")).where("tool is not null and p is not null")
+    first = given.groupBy("conv_id", "tool").agg(F.min_by("p", "at").alias("p"))
+    return materialise(first.select("conv_id", "tool", F.from_json("p", "map<string,struct<type:string,required:boolean>>").alias("spec")).where("spec is not null"), "toolchat-schemas")
+
+
+def _fits(arguments: Column, spec: Column) -> Column:
+    """Whether parsed arguments fit a declared schema: known keys of their types, and all that are required. A type of another name is any."""
+    kinds = F.transform_values(F.from_json(F.to_json(arguments), "map<string,variant>"), lambda _, x: F.schema_of_variant(x))
+    pattern = F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))
+    known = F.size(F.array_except(F.map_keys(kinds), F.map_keys(spec))) == 0
+    typed = F.forall(F.map_entries(kinds), lambda e: F.coalesce(F.rlike(e["value"], pattern[spec[e["key"]]["type"]]), F.lit(True)))
+    needed = F.map_keys(F.map_filter(spec, lambda _, x: F.coalesce(x["required"], F.lit(False))))
+    return F.coalesce(known & typed & (F.size(F.array_except(needed, F.map_keys(kinds))) == 0), F.lit(False))
+
+
 def events(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, part, kind, role, body): a message's own text as part 0, then its calls, then its results."""
+    """(conv_id, turn, part, kind, role, body): a message's own text as part 0, then its calls, its results and its schemas."""
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    text = F.struct(F.lit("message").alias("kind"), F.regexp_replace(F.regexp_replace("t", CALL, ""), RESULT, "").alias("body"))
+    text = F.struct(F.lit("message").alias("kind"), F.regexp_replace(F.regexp_replace(F.regexp_replace("t", CALL, ""), RESULT, ""), SCHEMA, "").alias("body"))
 
     def found(kind: str, mark: str, pattern: str) -> Column:
         every = F.when(F.contains("t", F.lit(mark)), F.regexp_extract_all("t", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
         return F.transform(every, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("body")))
 
-    every = F.concat(F.array(text), found("call", "<tool_call>", CALL), found("result", "<tool_result>", RESULT))
+    every = F.concat(F.array(text), found("call", "<tool_call>", CALL), found("result", "<tool_result>", RESULT), found("schema", "<tool_schema>", SCHEMA))
     return rows.select("conv_id", "turn", "role", F.posexplode(every).alias("part", "e")).select("conv_id", "turn", F.col("part").cast("long").alias("part"), F.col("e.kind").alias("kind"), "role", F.col("e.body").alias("body"))
 
 
@@ -92,13 +113,16 @@ def formatted(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     """conv_id, turn, part, kind, call_id, depth, linked, valid, json: a row for each event.
 
     linked: a call has a result, a result a call, of one identifier in the
-    conversation; null for messages. valid: a call parses, has an id and a name, and
-    its arguments fit; a result parses and has an id; messages are valid. An
-    identifier that several calls share takes the largest of their depths. depth is
-    0 for messages and for results without a call, null for calls in a cycle, after
-    one, or unparsed. json is canonical; a block that does not parse is kept as a
-    JSON string. Null texts are empty; repeated rows return a row each; an empty
-    table returns no row. Other columns are ignored, whatever their names.
+    conversation; null for messages and schemas. valid: a call parses, has an id and a
+    name, and its arguments fit the caller's schema of the tool and the first one that
+    the conversation declares, wherever; a result parses and has an id; a schema has a
+    name and parameters; messages are valid. An identifier that several calls share
+    takes the largest of their depths. depth is 0 for messages, schemas and results
+    without a call, null for calls in a cycle, after one, or unparsed. json is
+    canonical; a block that does not parse is kept as a JSON string. Null texts are
+    empty; very long texts are read whole, one row each, conversations and chains of
+    any length by rows; repeated rows return a row each; an empty table returns no
+    row. Other columns are ignored, whatever their names.
     """
     every = events(messages)
     said = every.where("kind = 'message'").select(
@@ -114,7 +138,13 @@ def formatted(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     needs = F.array_distinct(F.regexp_extract_all(F.coalesce(F.to_json(arguments), F.lit("")), F.lit(r'"\$([^"\\]+)"'), F.lit(1)))
     quoted = F.get_json_object(F.to_json(F.struct(F.col("body").alias("x"))), "$")
     json = F.coalesce(canonical(F.col("body")), F.regexp_extract(quoted, r'(?s)^\{"x":(.*)\}$', 1))
-    calls = blocks.where("kind = 'call'").select("conv_id", "turn", "part", "kind", "call_id", (F.col("call_id").isNotNull() & name.isNotNull() & _valid(name, arguments, schemas or {})).alias("valid"), json.alias("json"), needs.alias("needs"))
+    declared = small(_declared(blocks.where("kind = 'schema'")))
+    calls = blocks.where("kind = 'call'").withColumn("tool", name).join(declared, ["conv_id", "tool"], "left")
+    fits = F.col("spec").isNull() | _fits(arguments, F.col("spec"))
+    calls = calls.select("conv_id", "turn", "part", "kind", "call_id", (F.col("call_id").isNotNull() & name.isNotNull() & _valid(name, arguments, schemas or {}) & fits).alias("valid"), json.alias("json"), needs.alias("needs"))
+    told = F.try_variant_get(v, "$.name", "string").isNotNull() & F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.parameters", "variant")).rlike("^OBJECT"), F.lit(False))
+    nothing = F.lit(None).cast("string")
+    shapes = blocks.where("kind = 'schema'").select("conv_id", "turn", "part", "kind", nothing.alias("call_id"), F.lit(0).cast("long").alias("depth"), nothing.cast("boolean").alias("linked"), told.alias("valid"), json.alias("json"))
     results = blocks.where("kind = 'result'").select("conv_id", "turn", "part", "kind", "call_id", F.col("call_id").isNotNull().alias("valid"), json.alias("json"))
     depths = _depths(calls.where("call_id is not null").select("conv_id", "call_id", "needs"))
     answered = results.where("call_id is not null").select("conv_id", "call_id").distinct().withColumn("linked", F.lit(True))
@@ -123,4 +153,4 @@ def formatted(messages: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     linked = F.coalesce("linked", F.lit(False)).alias("linked")
     calls = calls.join(depths, key, "left").join(answered, key, "left").withColumn("linked", linked).select(*columns)
     results = results.join(asked, key, "left").join(depths, key, "left").withColumn("depth", F.when(F.col("linked"), F.col("depth") + 1).otherwise(F.lit(0).cast("long"))).withColumn("linked", linked).select(*columns)
-    return said.unionByName(calls).unionByName(results)
+    return said.unionByName(calls).unionByName(results).unionByName(shapes)

@@ -158,6 +158,18 @@ def test_long_chains_of_calls_are_ordered(spark):
     assert [got[2, "call", c] for c in "abcdexyzvut"] == [1, 3, 5, 7, 9] + [None] * 6
 
 
+def test_arguments_are_validated_against_declared_schemas(spark):
+    call = lambda c, args, name="find": '<tool_call>{"id": "%s", "name": "%s", "arguments": %s}</tool_call>' % (c, name, args)
+    shape = '<tool_schema>{"name": "find", "parameters": {"q": {"type": "string", "required": true}, "n": {"type": "integer"}, "any": {"type": "thing"}}}</tool_schema>'
+    calls = [("a", '{"q": "x"}', True), ("b", '{"q": "x", "n": 3, "any": [1]}', True), ("c", '{"n": 3}', False), ("d", '{"q": 1}', False), ("e", '{"q": "x", "n": "3"}', False), ("f", '{"q": "x", "more": 1}', False), ("g", "[1]", False), ("h", "{}", False)]
+    rows = [(1, 0, "system", "tools: " + shape + '<tool_schema>{"name": "find", "parameters": {}}</tool_schema><tool_schema>{"parameters": 3}</tool_schema>'), (1, 1, "assistant", "".join(call(c, x) for c, x, _ in calls) + call("z", '{"w": 1}', "other")), (2, 0, "assistant", call("c", '{"n": 3}'))]
+    got = toolchat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["call_id"]: r["valid"] for r in got if (r["conv_id"], r["kind"]) == (1, "call")} == {**{c: ok for c, _, ok in calls}, "z": True}
+    assert [r["valid"] for r in got if (r["conv_id"], r["kind"]) == (2, "call")] == [True]
+    assert [r["valid"] for r in sorted((r for r in got if r["kind"] == "schema"), key=lambda r: r["part"])] == [True, True, False]
+    assert next(r["json"] for r in got if r["kind"] == "message" and (r["conv_id"], r["turn"]) == (1, 0)) == '{"content":"tools: ","role":"system"}'
+
+
 # 10 personal data
 
 
