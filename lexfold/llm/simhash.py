@@ -164,15 +164,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of undirected edges (x, y): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds; the smallest neighbour is an
-    aggregate joined back, so a hub's neighbours never meet in one task. Each
-    round is written, and rounds end when the edges no longer change.
+    aggregate joined back, hubs by broadcast, so a hub's neighbours never meet in one
+    task. Each round is written, and rounds end when the edges no longer change.
     """
     edges = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v")
     state = (edges.count(), None)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        least = materialise(least, "simhash-least", 2 * state[0])
+        large = joined(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = materialise(near, "simhash-round", 2 * state[0])
