@@ -16,9 +16,14 @@ BODY_END = '"""'
 ASSISTANT = "<|start_header_id|>assistant<|end_header_id|>"
 TURN_END = "<|eot_id|>"
 EXPLANATION = "Explanation: "
-#: Words that give a label away, and what stands for them.
+# Words that give a label away, and what stands for them.
 LEAKS = (("high", "significant"), ("medium", "moderate"), ("low", "minimal"))
 
+# Signs in an error's message of a rate limit, and of a context that is too long.
+RATE_LIMIT = "rate_limit|rate limit|ratelimit|429|too many requests"
+CONTEXT_LENGTH = "context_length_exceeded|tokens_limit_reached|maximum context|too long"
+CONTEXT_PAIRS = (("context", "length"), ("reduce", "token"))
+
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
@@ -162,14 +167,13 @@ def html_escaped(c: Column) -> Column:
 
 def is_rate_limit(message: Column) -> Column:
     """Whether an error speaks of a rate limit."""
-    m = F.lower(message)
-    # fixed values: signs of a rate limit
-    return m.rlike("rate_limit|rate limit|ratelimit|429|too many requests")
+    return F.lower(message).rlike(RATE_LIMIT)
 
 
 def is_context_length(message: Column) -> Column:
     """Whether an error speaks of a context that is too long."""
     m = F.lower(message)
-    both = lambda a, b: F.contains(m, F.lit(a)) & F.contains(m, F.lit(b))
-    # fixed values: signs of a context that is too long
-    return m.rlike("context_length_exceeded|tokens_limit_reached|maximum context|too long") | both("context", "length") | both("reduce", "token")
+    got = m.rlike(CONTEXT_LENGTH)
+    for a, b in CONTEXT_PAIRS:
+        got = got | (F.contains(m, F.lit(a)) & F.contains(m, F.lit(b)))
+    return got

@@ -14,12 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import served, stand_in
+from ..functions.text import CONTEXT_LENGTH, CONTEXT_PAIRS, RATE_LIMIT
 from ..schemas import ANNOTATION
 
-# Signs in an error's message.
-RATE_LIMIT = "rate_limit|rate limit|ratelimit|429|too many requests"
-TOO_LONG = "context_length_exceeded|tokens_limit_reached|maximum context|too long|context.*length|length.*context|reduce.*token|token.*reduce"
-
 #: Makes a function from texts to outputs.
 Factory = Callable[[], Callable[[list[str]], list[str]]]
 
@@ -33,7 +30,8 @@ def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw
     """
     more = f", `{output}` string" + (f", `{error}` string" if error else "")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + more
-    limited, too_long = re.compile(RATE_LIMIT, re.I).search, re.compile(TOO_LONG, re.I).search
+    limited, lengthy = re.compile(RATE_LIMIT).search, re.compile(CONTEXT_LENGTH).search
+    too_long = lambda said: lengthy(said) or any(a in said and b in said for a, b in CONTEXT_PAIRS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, stopped = factory(), None
@@ -48,11 +46,11 @@ def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw
                     return model([text])[0], None
                 except Exception as e:
                     said = str(e) or type(e).__name__
-                    if too_long(said):
+                    if too_long(said.lower()):
                         break
                     if attempt < retries:
                         time.sleep(wait_s * (attempt + 1))
-            if not patient and limited(said):
+            if not patient and limited(said.lower()):
                 stopped = said
             return None, said
 
