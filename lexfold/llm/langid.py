@@ -33,7 +33,7 @@ SAMPLE_CHARS = 6_000
 #: Numbers that a step of the fit holds of its chains at once.
 STEP = 1 << 22
 #: Words a worker remembers the emissions of.
-CACHE = 600_000
+CACHE = 200_000
 FOLD, HELD = 4, 2
 UNKNOWN = "und"
 GRAMS = (1, 2, 3, 4)
@@ -289,6 +289,8 @@ def fitted(docs: DataFrame, fold: bool = True) -> Model:
         if found:
             known = pd.concat(found).sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
             m = fit(known["text"], known["lang"])
+            del found, known
+            release()
             words, codes = list(m.lexicon), list(m.lexicon.values())
             yield pd.DataFrame({"labels": [m.labels], "weight": [m.weight.tobytes()], "trans": [m.trans.ravel().tolist()], "start": [m.start.tolist()], "words": [words], "codes": [codes]})
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small
+from .common import materialise, release, ship, small
 
 SEQUENCE = 1024
 #: Sequences of a window for each queue, on average: some documents of each.
@@ -33,7 +33,7 @@ QUEUE_SEQUENCES = 16
 #: Windows whose sizes one task sums up.
 CHUNK = 4096
 #: Words a worker remembers the ids of.
-CACHE = 600_000
+CACHE = 200_000
 VOCABULARY = "byte_bpe_50k.json"
 
 _loaded: dict = {}
@@ -137,6 +137,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 at.append(sent.get(s, 0))
                 sent[s] = at[-1] + k
             yield pd.DataFrame({"part": np.full(len(ids), part, np.int64), "doc_id": b["doc_id"], "source": b["source"], "n": np.array(n, np.int64), "at": np.array(at, np.int64), "ids": ids})
+        own.first.clear()
+        own.after.clear()
+        release()
 
     return materialise(docs.select(*spec).mapInPandas(encode, "part long, doc_id string, source string, n long, at long, ids binary"), "packing-ids")
 

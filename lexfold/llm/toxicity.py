@@ -117,7 +117,7 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
     # n-grams in compressed rows; those of a single text say nothing about others and stay at zero
-    flat, ptr = rows([plain(w) for w in vocabulary], GRAMS, BUCKETS)
+    flat, ptr = rows([plain(w) for w in vocabulary], GRAMS, BUCKETS, 4_000)
     n_grams = np.diff(ptr)
     del vocabulary
     seen = np.zeros(BUCKETS, np.int32)
@@ -138,9 +138,9 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
         words, where = np.unique(np.concatenate(bags), return_inverse=True)
         bag = np.repeat(np.arange(len(bags)), size)
         g, g_ptr = _rows(flat, ptr, words)
-        count = np.maximum(1, np.diff(g_ptr))
-        owner = np.repeat(np.arange(len(words)), np.diff(g_ptr))
-        V = np.stack([np.bincount(owner, E[g, k], len(words)) for k in range(DIM)], 1) / count[:, None]
+        some = np.diff(g_ptr)
+        count = np.maximum(1, some)
+        V = np.stack([_sums(E[g, k], g_ptr) for k in range(DIM)], 1) / count[:, None]
         X = np.stack([np.bincount(bag, V[where, k], len(bags)) for k in range(DIM)], 1) / size[:, None]
         z = X @ W + b
         p = np.exp(z - z.max(1, keepdims=True))
@@ -150,7 +150,7 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
         d *= (weight / weight.sum())[:, None]
         dX = (d @ W.T) / size[:, None]
         dV = np.stack([np.bincount(where, dX[bag, k], len(words)) for k in range(DIM)], 1) / count[:, None]
-        dE = np.stack([np.bincount(g, dV[owner, k], BUCKETS) for k in range(DIM)], 1).astype(np.float32)
+        dE = np.stack([np.bincount(g, np.repeat(dV[:, k], some), BUCKETS) for k in range(DIM)], 1).astype(np.float32)
         for (m, v), param, grad, decay in zip(slots, (E, W, b), (dE * live, (X.T @ d).astype(np.float32), d.sum(0).astype(np.float32)), (1e-6, 1e-4, 0.0), strict=True):
             grad = grad + decay * param
             m += 0.1 * (grad - m)
@@ -164,7 +164,7 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
     order = [starts(len(d), WINDOW, STRIDE) for d in docs]
     for _ in range(rounds):
         u = E @ (W[:, 1] - W[:, 0])
-        word = np.add.reduceat(np.append(u[flat], 0), np.minimum(ptr[:-1], len(flat))) * (n_grams > 0) / np.maximum(1, n_grams)
+        word = _sums(u[flat], ptr) / np.maximum(1, n_grams)
         worst, other = [], []
         for d, s in zip(docs, order, strict=True):
             k = int(windows(word[d], WINDOW, STRIDE).argmax())
@@ -178,6 +178,11 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
     return Model((E @ (W[:, 1] - W[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
 
+def _sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """The sum of each compressed row's values; 0 for an empty row."""
+    return np.add.reduceat(np.append(values, values.dtype.type(0)), np.minimum(ptr[:-1], len(values))) * (np.diff(ptr) > 0)
+
+
 def _rows(flat: np.ndarray, ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of some compressed rows, and where each row starts."""
     size = ptr[rows + 1] - ptr[rows]
