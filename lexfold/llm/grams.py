@@ -79,10 +79,10 @@ def hashed(words: Sequence[str], sizes: Sequence[int], buckets: int) -> tuple[np
 
 
 def rows(words: Sequence[str], sizes: Sequence[int], buckets: int, batch: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """The same in compressed rows: (places, where each word's start, with the end)."""
+    """The same of words, which are made plain here, in compressed rows: (places, where each word's start, with the end)."""
     flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for i in range(0, len(words), batch):
-        p, v = hashed(words[i : i + batch], sizes, buckets)
+        p, v = hashed([plain(w) for w in words[i : i + batch]], sizes, buckets)
         flat.append(p[v])
         count.append(v.sum(1))
     return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(count))]).astype(np.int64)

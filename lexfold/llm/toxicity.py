@@ -33,6 +33,8 @@ GRAMS = (3, 4, 5)
 #: Labelled rows that a fit reads at most, by class, and the characters of one; of longer texts, which come last, it reads a stretch.
 SAMPLE = {1: 3000, 0: 8000}
 SAMPLE_CHARS = 10_000
+#: Words whose n-grams a step of the fit holds at once.
+PART = 20_000
 #: Words a worker remembers the scores of.
 CACHE = 200_000
 FOLD = 5
@@ -117,9 +119,11 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
     # n-grams in compressed rows; those of a single text say nothing about others and stay at zero
-    flat, ptr = rows([plain(w) for w in vocabulary], GRAMS, BUCKETS, 4_000)
-    n_grams = np.diff(ptr)
+    known = list(vocabulary)
     del vocabulary
+    flat, ptr = rows(known, GRAMS, BUCKETS, 4_000)
+    n_grams = np.diff(ptr)
+    del known
     seen = np.zeros(BUCKETS, np.int32)
     for d in docs:
         u = np.unique(d)
@@ -130,6 +134,12 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, W, b)]
     step = 0
 
+    def parts(words: np.ndarray) -> list[np.ndarray]:
+        return [words[i : i + PART] for i in range(0, len(words), PART)]
+
+    def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _rows(flat, ptr, words)
+
     def descend(bags: list[np.ndarray], target: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One Adam step on the weighted cross entropy of the bags."""
         nonlocal step, E, W, b
@@ -137,10 +147,8 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
         size = np.array([len(x) for x in bags])
         words, where = np.unique(np.concatenate(bags), return_inverse=True)
         bag = np.repeat(np.arange(len(bags)), size)
-        g, g_ptr = _rows(flat, ptr, words)
-        some = np.diff(g_ptr)
-        count = np.maximum(1, some)
-        V = np.stack([_sums(E[g, k], g_ptr) for k in range(DIM)], 1) / count[:, None]
+        count = np.maximum(1, n_grams[words])
+        V = np.concatenate([np.stack([_sums(E[g, k], g_ptr) for k in range(DIM)], 1) for g, g_ptr in map(grams_of, parts(words))]) / count[:, None]
         X = np.stack([np.bincount(bag, V[where, k], len(bags)) for k in range(DIM)], 1) / size[:, None]
         z = X @ W + b
         p = np.exp(z - z.max(1, keepdims=True))
@@ -150,7 +158,12 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
         d *= (weight / weight.sum())[:, None]
         dX = (d @ W.T) / size[:, None]
         dV = np.stack([np.bincount(where, dX[bag, k], len(words)) for k in range(DIM)], 1) / count[:, None]
-        dE = np.stack([np.bincount(g, np.repeat(dV[:, k], some), BUCKETS) for k in range(DIM)], 1).astype(np.float32)
+        dE, at = np.zeros((BUCKETS, DIM), np.float32), 0
+        for g, g_ptr in map(grams_of, parts(words)):
+            some = np.diff(g_ptr)
+            for k in range(DIM):
+                dE[:, k] += np.bincount(g, np.repeat(dV[at : at + len(some), k], some), BUCKETS)
+            at += len(some)
         for (m, v), param, grad, decay in zip(slots, (E, W, b), (dE * live, (X.T @ d).astype(np.float32), d.sum(0).astype(np.float32)), (1e-6, 1e-4, 0.0), strict=True):
             grad = grad + decay * param
             m += 0.1 * (grad - m)
@@ -164,7 +177,7 @@ def fit(texts: Iterable[str], labels: Iterable[int], rounds: int = 10, epochs: i
     order = [starts(len(d), WINDOW, STRIDE) for d in docs]
     for _ in range(rounds):
         u = E @ (W[:, 1] - W[:, 0])
-        word = _sums(u[flat], ptr) / np.maximum(1, n_grams)
+        word = np.concatenate([_sums(u[flat[ptr[i] : ptr[min(i + PART, len(n_grams))]]], ptr[i : i + PART + 1] - ptr[i]) for i in range(0, len(n_grams), PART)]) / np.maximum(1, n_grams)
         worst, other = [], []
         for d, s in zip(docs, order, strict=True):
             k = int(windows(word[d], WINDOW, STRIDE).argmax())
