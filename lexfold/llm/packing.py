@@ -33,7 +33,7 @@ QUEUE_SEQUENCES = 16
 #: Windows whose sizes one task sums up.
 CHUNK = 4096
 #: Words a worker remembers the ids of.
-CACHE = 200_000
+CACHE = 400_000
 VOCABULARY = "byte_bpe_50k.json"
 
 _loaded: dict = {}
