@@ -33,7 +33,7 @@ SAMPLE_CHARS = 6_000
 #: Numbers that a step of the fit holds of its chains at once.
 STEP = 1 << 22
 #: Words a worker remembers the emissions of.
-CACHE = 200_000
+CACHE = 600_000
 FOLD, HELD = 4, 2
 UNKNOWN = "und"
 GRAMS = (1, 2, 3, 4)
