@@ -96,6 +96,13 @@ def op9_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audited
+
+    return audited(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]"
 
@@ -159,3 +166,18 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 ORACLE_SQL["op9_toolchat"] = """
 SELECT conv_id, turn, CAST(0 AS BIGINT) AS part, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(0 AS BIGINT) AS depth, CAST(NULL AS BOOLEAN) AS linked, true AS valid,
  CAST(to_json(struct_pack(content := coalesce(text, ''), role := role)) AS VARCHAR) AS json FROM conversations"""
+
+_SHARE13 = "1 + (1000000000::HUGEINT * ({0} + 2)) // ({1} + 2 * v)"
+
+ORACLE_SQL["op13_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT lang, source, id, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM k GROUP BY 1),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS own FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, total, coalesce(n, 0) AS n, {_SHARE13.format("coalesce(n, 0)", "own")} AS p, {_SHARE13.format("total", "whole")} AS q FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+tm AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm)) WHERE part = 'pair' OR rank <= 10"""
