@@ -96,6 +96,16 @@ def op9_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..storage import shared_path
+    from .idfiles import documents, written
+
+    out = shared_path(spark, "idfiles")
+    written(table(spark, sf_dir, "documents"), out)
+    return documents(spark, out)
+
+
 @query
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audited
