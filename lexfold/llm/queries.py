@@ -96,6 +96,13 @@ def op9_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import tried
+
+    return tried(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 @query
 def op12_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..storage import shared_path
@@ -191,3 +198,19 @@ pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)
 pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
 tm AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm)) WHERE part = 'pair' OR rank <= 10"""
+
+#: CRC-32 of a short text of ASCII, bit by bit: the engine has no function for it.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({0}, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), repeat([0::BIGINT], 8)), lambda a, z: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT)"
+
+ORACLE_SQL["op11_prefixtrie"] = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(s ORDER BY i) AS l FROM t GROUP BY 1),
+cut AS (SELECT c, l, {_CRC.format("CAST(c AS VARCHAR)")} % 6 AS h FROM own),
+reb AS (SELECT cut.c, list_concat(coalesce(base.l, [])[1:h], cut.l[h + 1:]) AS l FROM cut LEFT JOIN own base ON base.c = cut.c - cut.c % 100),
+pre AS (SELECT c, d, len(l) AS n, l[1:d] AS p, CASE WHEN d > 0 THEN l[1:d - 1] END AS up, CASE WHEN d > 0 THEN length(l[d].x) ELSE 0 END AS chars FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM reb)),
+nd AS (SELECT p, d, up, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM pre GROUP BY 1, 2, 3),
+ch AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM nd WHERE d > 0 GROUP BY 1, 2),
+st AS (SELECT nd.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS s FROM nd LEFT JOIN ch ON ch.d = nd.d AND ch.up = nd.p),
+sub AS (SELECT a.p, a.d, sum(b.s) AS saved_tokens, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves FROM (SELECT pre.p, pre.d, nx.p AS q, nx.d AS e FROM pre JOIN pre nx ON pre.c = nx.c AND pre.d <= nx.d GROUP BY 1, 2, 3, 4) a JOIN st b ON b.d = a.e AND b.p = a.q GROUP BY 1, 2)
+SELECT st.conv_id, CAST(st.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, st.n_convs, st.n_children, sub.n_leaves, CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, st.ends_sha256
+FROM st JOIN sub ON sub.d = st.d AND sub.p = st.p LEFT JOIN nd up ON up.d = st.d - 1 AND up.p = st.up"""
