@@ -40,7 +40,7 @@ BLOCK = 1024
 #: Ids after which a segment ends with its document.
 SEGMENT = 1 << 20
 #: Pieces of text that a worker remembers the ids of, and characters of texts that it cuts at once.
-CACHE, CHARS = 500_000, 4 << 20
+CACHE, CHARS = 500_000, 8 << 20
 END = 2
 
 _SELECTOR = np.zeros(61, np.uint8)
@@ -150,6 +150,13 @@ def part_of(words: np.ndarray, offsets: np.ndarray, start: int, stop: int, block
 # ids
 
 
+def _joined(texts: pa.LargeStringArray) -> str:
+    """The texts one after the other, as they lie in memory."""
+    _, offsets, data = texts.buffers()
+    edge = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return data[int(edge[0]) : int(edge[-1])].to_pybytes().decode()
+
+
 class Encoder:
     """Ids of many texts by the tokenizer file, which sees each piece once.
 
@@ -175,7 +182,7 @@ class Encoder:
             self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
             self.by_piece = len(self._whole("\na")) == 2
         self.runs = re.compile(r"\s\s")
-        self.known, self.used = {}, 0
+        self.known, self.used = pa.array([], pa.large_string()), 0
         self.flat, self.start, self.size, self.met = np.zeros(1 << 16, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def shrink(self, most: int) -> None:
@@ -184,27 +191,28 @@ class Encoder:
         while len(self.known) > most:
             kept = np.flatnonzero(self.met > least)
             least *= 2
-            size, names = self.size[kept], list(self.known)
+            size = self.size[kept]
             ends = np.cumsum(size)
             self.flat = self.flat[np.repeat(self.start[kept] - ends + size, size) + np.arange(size.sum())]
-            self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+            self.known = self.known.take(pa.array(kept))
             self.start, self.size, self.met, self.used = ends - size, size, self.met[kept], len(self.flat)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, names: list[str]) -> None:
-        if not names:
+    def _learn(self, names: pa.Array) -> None:
+        if not len(names):
             return
-        texts = ["\n" + p.lstrip("\n")[1:] if p[0] in "\x01\n" else " " + p for p in names]
-        ids = self._whole("".join(texts))
-        ends = np.cumsum([len(t.encode()) for t in texts])
-        stop = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right")
-        start = np.concatenate([[0], stop[:-1]]) + np.array([p[0] == "\x01" for p in names])  # without the line's end that was put before
+        marked = pc.match_substring(names, "\x01")
+        # a text's first piece is put after a line's end, which is then left out
+        texts = pc.if_else(marked, pc.replace_substring_regex(names, "^\n?\x01", "\n"), pc.binary_join_element_wise(pa.scalar(" ", names.type), names, pa.scalar("", names.type)))
+        ids = self._whole(_joined(texts))
+        stop = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(texts).to_numpy()), "right")
+        start = np.concatenate([[0], stop[:-1]]) + pc.starts_with(names, "\x01").to_numpy(zero_copy_only=False)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.known = pa.concat_arrays([self.known, names])
         self.start, self.size = np.concatenate([self.start, start + self.used]), np.concatenate([self.size, stop - start])
         self.met = np.concatenate([self.met, np.zeros(len(names), np.int64)])
         self.used += len(ids)
@@ -233,11 +241,14 @@ class Encoder:
             return
         pieces = pc.split_pattern(pa.array(["\x01" + texts[i].replace("\n", " \n\x01") for i in some], pa.large_string()), " ")
         named = pieces.values.dictionary_encode()
-        names = named.dictionary.to_pylist()
         if len(self.known) > CACHE:
             self.shrink(CACHE // 2)
-        self._learn([p for p in names if p not in self.known])
-        own, places = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names)), named.indices.to_numpy()
+        own = pc.index_in(named.dictionary, value_set=self.known)
+        self._learn(named.dictionary.filter(pc.is_null(own)))
+        own = own.to_numpy(zero_copy_only=False)
+        new = np.isnan(own)
+        own = np.where(new, len(self.known) - new.sum() + np.cumsum(new) - 1, np.nan_to_num(own)).astype(np.int64)
+        places = named.indices.to_numpy()
         self.met[own] += np.bincount(places, minlength=len(own))
         which = own[places]
         size = self.size[which]
@@ -260,6 +271,19 @@ def encoder(path: str) -> Encoder:
 # files
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = CHARS) -> Iterator[pa.Table]:
+    """Batches put together until they have so many bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def written(docs: DataFrame, out: str, path: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> None:
     """Writes documents' ids, each with the closing one, to files at out, in ascending order of doc_id, null ids first.
 
@@ -285,7 +309,7 @@ def written(docs: DataFrame, out: str, path: str | None = None, end: int = END,
             columns = [pa.array([part]), pa.array([at]), pa.array([n]), pa.array([names], pa.list_(arrow)), pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([words.astype("<u8").tobytes()]), pa.array([offsets.astype("<u4").tobytes()])]
             return pa.RecordBatch.from_arrays(columns, ["part", "at", "n", "doc_ids", "lengths", "words", "offsets"])
 
-        for b in batches:
+        for b in gathered(batches):
             for name, got in zip(b.column(0).to_pylist(), own(b.column(1).to_pylist()), strict=True):
                 ids.append(np.append(got, np.uint32(end)))
                 names.append(name)
