@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas, streaming
 from ..functions.labels import stand_in
 from ..operators import curate
-from ..sources import readers, writers
+from ..sources import readers, snapshots, writers
 from ..storage import shared_path
 from .queries import ENRICHED, PRED, _clauses, _predictions, query, table
 from .variants import GEO, SEGMENTS, docs, geometry, marked
@@ -155,11 +155,26 @@ def appended(spark, sf_dir):
 
 @query("SELECT md5(coalesce(text, '')) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def rewritten_in_place(spark, sf_dir):
-    """A table replaced by its own rows without duplicates."""
+    """A table replaced by its own rows without duplicates, in one version."""
     path = shared_path(spark, "rewrite")
-    _documents(spark, sf_dir).withColumn("h", F.md5(F.coalesce("text", F.lit("")))).select("h", "doc_id").write.parquet(path)
-    writers.rewritten(curate.dedup_first(spark.read.parquet(path), "h", order="doc_id"), path)
-    return spark.read.parquet(path)
+    snapshots.append(_documents(spark, sf_dir).withColumn("h", F.md5(F.coalesce("text", F.lit("")))).select("h", "doc_id"), path)
+    snapshots.replaced(spark, path, lambda df: curate.dedup_first(df, "h", order="doc_id"))
+    return snapshots.read(spark, path)
+
+
+@query("SELECT v AS version, CAST(o_orderstatus AS VARCHAR) AS status, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT 1 AS v UNION ALL SELECT 2 UNION ALL SELECT 3), orders WHERE CASE v WHEN 1 THEN o_orderkey % 3 <> 0 WHEN 2 THEN true ELSE o_orderstatus <> 'F' END GROUP BY 1, 2")
+def table_versions(spark, sf_dir):
+    """Three versions of a table, read after all were made: rows, rows added, and rows deleted; a write that is repeated is left out."""
+    path, df = shared_path(spark, "versions"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for n, part in enumerate((df.where("o_orderkey % 3 <> 0"), df.where("o_orderkey % 3 = 0"))):
+        for _ in range(2):
+            snapshots.append(part, path, "loader", n)
+    snapshots.replaced(spark, path, lambda rows: rows.where("o_orderstatus <> 'F'"))
+    got = None
+    for v in (1, 2, 3):
+        at = snapshots.read(spark, path, v).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("version", F.lit(v))
+        got = at if got is None else got.unionByName(at)
+    return got.select("version", "status", "n", "keys")
 
 
 @query("SELECT r_regionkey, r_name FROM region")
@@ -200,7 +215,7 @@ def index_scan(spark, sf_dir):
 
 @query("SELECT doc_id AS clause_index, CASE WHEN regexp_matches(lower(coalesce(text, '')), 'indemnif|liabil|damages|penalty') THEN 'High' WHEN regexp_matches(lower(coalesce(text, '')), 'terminat|notice|warrant') THEN 'Medium' ELSE 'Low' END AS risk FROM documents")
 def annotated_stream(spark, sf_dir):
-    """Annotation as a stream: a file a trigger, resumed over what has results, appended durably."""
+    """Annotation as a stream, a file a trigger, in three runs by two checkpoints over tasks that overlap: each task has one result."""
     path = shared_path(spark, "stream")
     df = docs(spark, sf_dir).select(F.col("doc_id").alias("clause_index"), F.col("text").alias("clause_text"))
     writers.jsonl(df.where("clause_index % 3 <> 0"), f"{path}/in", mode="append")
@@ -208,20 +223,40 @@ def annotated_stream(spark, sf_dir):
     def annotate(batch: DataFrame) -> DataFrame:
         return batch.select("clause_index", stand_in(F.col("clause_text"), F.lit("Licensor"))["risk"].alias("risk"))
 
-    for _ in range(2):  # the second run starts anew: other tasks, and some that are done
+    for checkpoint in ("a", "b", "a"):  # the second run knows the first's results by the index of done keys alone
         tasks = streaming.clause_stream(spark, f"{path}/in", "clause_index long, clause_text string")
-        streaming.annotate_stream(tasks, annotate, f"{path}/out", f"{path}/ck").awaitTermination()
+        streaming.annotate_stream(tasks, annotate, f"{path}/out", f"{path}/{checkpoint}").awaitTermination()
         writers.append(df.where("clause_index % 3 = 0 or clause_index % 5 = 0"), f"{path}/in")
-    return spark.read.parquet(f"{path}/out").select("clause_index", "risk")
+    return snapshots.read(spark, f"{path}/out").select("clause_index", "risk")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def exactly_once_stream(spark, sf_dir):
+    """Events through the sink of snapshots, and its last batch run again after its commit: each row is there once."""
+    path = shared_path(spark, "once")
+    table(spark, sf_dir, "events").select("event_id", "event_type").repartitionByRange(4, "event_id").write.json(f"{path}/in")
+    for _ in range(2):
+        rows = spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", 1).json(f"{path}/in")
+        streaming.once(rows, f"{path}/out", f"{path}/ck").awaitTermination()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ck/commits/3")
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, False)  # as if the driver had died before it
+    return snapshots.read(spark, f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, CAST(s AS INT) AS session_no FROM (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations) WHERE role <> 'user'".replace("turn,", "CAST(turn AS INT) AS turn,"))
 def session_stream(spark, sf_dir):
-    """Chat sessions as a stream with state; a turn of one role starts a session anew."""
-    path = shared_path(spark, "sessions")
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("content"))
-    turns.write.json(f"{path}/in")
-    events = spark.readStream.schema(schemas.struct(schemas.CHAT_TURN)).json(f"{path}/in")
-    out = streaming.chat_sessions(events, reset="user").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True)
-    out.start().awaitTermination()
+    """Chat sessions as a stream: turns in any order, over several triggers and Arrow batches of 100 rows, are let go in order."""
+    path, batch = shared_path(spark, "sessions"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.col("turn") + 10**8).alias("ts"), F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("content"))
+    turns.withColumn("deal", F.pmod(F.hash("session_id", "turn"), F.lit(3))).repartition("deal").sortWithinPartitions(F.md5(F.concat_ws("|", "session_id", "turn"))).write.partitionBy("deal").json(f"{path}/in")
+    last = spark.range(1).select(F.lit("").alias("session_id"), F.timestamp_seconds(F.lit(10**9)).alias("ts"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("").alias("content"), F.lit(3).alias("deal"))
+    last.write.mode("append").partitionBy("deal").json(f"{path}/in")  # an event long after lets the last turns go
+    events = spark.readStream.schema("session_id string, ts timestamp, turn int, role string, content string, deal int").option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "100")
+    try:
+        out = streaming.ordered_sessions(events, late="10 days", reset="user").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True)
+        streaming.started(out, spark).awaitTermination()
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.parquet(f"{path}/out").select("session_id", "turn", "session_no")

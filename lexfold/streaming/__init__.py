@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.compare import remaining
+from ..sources import snapshots
+from . import done, sink
+from .sessions import SESSION, ordered_sessions, started  # noqa: F401
+from .sink import once  # noqa: F401
 
 
 def clause_stream(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 1) -> DataFrame:
@@ -18,48 +21,64 @@ def clause_stream(spark: SparkSession, path: str, schema: str, files_a_trigger:
 
 
 def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "clause_index", every: str | None = None) -> StreamingQuery:
-    """Annotates what has no result yet and appends the results to the Parquet table out.
-
-    A batch's results are written once by its number, so a batch that is run again
-    after a failure replaces itself; results of other batches are left out by key.
+    """Annotates what has no result yet and appends the results to the snapshot table out (``snapshots.read``).
+
+    A batch's results and their keys are one version of the table, under the batch's
+    number and the checkpoint's name: a batch that is run again changes nothing, and a
+    new checkpoint, whose numbers start anew, adds to what is there. Keys with a result
+    are looked up in the index of done keys (``done``), whatever stream or run they come
+    from. Where another stream commits first, results of keys that it has done meanwhile
+    are left out; the model is not called again. Rows without a key are annotated each.
     """
+    log, who = snapshots.Log(out), sink.identity(checkpoint)
+
+    def without(rows: DataFrame, state: snapshots.State) -> DataFrame:
+        over = done.found(log, state, rows, key).withColumnRenamed("key", "__done")
+        return rows.join(over, F.col(key).cast("string") == F.col("__done"), "left_anti")
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(out)
-        todo = batch.dropDuplicates([key])
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            done = spark.read.parquet(out)
-            todo = remaining(todo, done.where(F.col("batch") != number), key)
-        annotate(todo).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        spark, state = batch.sparkSession, log.state()
+        if state.has(who, number):
+            return
+        named = F.col(key).isNotNull()
+        tasks = without(batch.where(named).dropDuplicates([key]), state).unionByName(batch.where(~named))
+        got = annotate(tasks)
+        add = snapshots.written(got, log)
+        while True:
+            rows = spark.read.schema(got.schema).parquet(f"{log.path}/{add.path}")
+            adds, schemas = done.run(log, rows, key)
+            try:
+                log.commit([add, *adds], schemas=schemas | {snapshots.PART: snapshots.schema_text(got)}, who=who, number=number, base=state, blind=False)
+                break
+            except snapshots.Conflict:
+                state = log.state()
+                add = snapshots.written(without(rows, state), log)
+        done.merged(spark, log)
 
     writer = tasks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-SESSION = "session_id string, session_no int, turn int, role string, content string, history int"
-
-
 def chat_sessions(events: DataFrame, reset: str = "upload") -> DataFrame:
     """A stream of (session_id, turn, role, content) with session_no and the number of turns before in it.
 
     A turn of the resetting role starts a session anew. State is two numbers a session id.
+    For turns that come in order: those of one trigger are ordered here, so a task holds
+    a session's turns of a trigger. ``ordered_sessions`` takes any order.
     """
     import pandas as pd
 
     def step(key: tuple, batches, state: GroupState):
         number, turns = state.get if state.exists else (0, 0)
-        for b in batches:
-            rows = []
-            for r in b.sort_values("turn").itertuples(index=False):
-                if r.role == reset:
-                    number, turns = number + 1, 0
-                else:
-                    rows.append((key[0], number, r.turn, r.role, r.content, turns))
-                    turns += 1
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SESSION.split(", ")])
+        rows = []
+        for r in pd.concat(list(batches)).sort_values("turn", kind="stable").itertuples(index=False):
+            if r.role == reset:
+                number, turns = number + 1, 0
+            else:
+                rows.append((key[0], number, r.turn, r.role, r.content, turns))
+                turns += 1
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SESSION.split(", ")])
         state.update((number, turns))
 
     return events.groupBy("session_id").applyInPandasWithState(step, SESSION, "number int, turns int", "append", GroupStateTimeout.NoTimeout)
