@@ -82,17 +82,17 @@ class Trie:
         self.children: list[dict[str, int]] = [{}]
         self.rows: list[list] = [[None, None, 0, None, 0, 0]]  # node, parent, depth, smallest conversation, conversations, characters
 
-    def add(self, path: Iterator[tuple], conv: int, weight: int) -> None:
-        at = 0
-        for key, node, parent, depth, chars in path:
-            down = self.children[at].get(key)
-            if down is None:
-                down = self.children[at][key] = len(self.rows)
-                self.children.append({})
-                self.rows.append([node, parent, depth, conv, 0, chars])
-            at, row = down, self.rows[down]
-            row[4] += weight
-            row[3] = min(row[3], conv)
+    def step(self, at: int, key: str, node: str, parent: str, depth: int, chars: int, conv: int, weight: int) -> int:
+        """The node below at by a turn, on which so many more conversations lie."""
+        down = self.children[at].get(key)
+        if down is None:
+            down = self.children[at][key] = len(self.rows)
+            self.children.append({})
+            self.rows.append([node, parent, depth, conv, 0, chars])
+        row = self.rows[down]
+        row[4] += weight
+        row[3] = min(row[3], conv)
+        return down
 
     def nodes(self) -> Iterator[tuple]:
         """Rows of NODE in postorder; what a subtrie's top hangs on is not known here."""
@@ -116,9 +116,10 @@ class Trie:
 
 
 def _built(rows: pd.DataFrame) -> pd.DataFrame:
-    trie = Trie()
-    for conv, path in rows.sort_values(["conv_id", "depth"]).groupby("conv_id", sort=False):
-        trie.add(zip(*(path[c].tolist() for c in ("key", "node", "parent", "depth", "chars")), strict=True), int(conv), int(path["n"].iloc[0]))
+    trie, last, at = Trie(), None, 0
+    for conv, depth, key, node, parent, chars, n in sorted(zip(*(rows[c].tolist() for c in ("conv_id", "depth", "key", "node", "parent", "chars", "n")), strict=True)):
+        at = trie.step(at if conv == last else 0, key, node, parent, depth, chars, conv, n)
+        last = conv
     out = pd.DataFrame(list(trie.nodes()), columns=[c.split()[0] for c in NODE.split(", ")])
     return out.astype({"parent_conv_id": "Int64"})
 
