@@ -1,7 +1,8 @@
-"""Lines to clauses: flags, blocks, merging, splitting and enrichment, all as windows over a document.
+"""Lines to clauses: flags, blocks, merging, splitting and enrichment, all as scans over a document.
 
-Every step is keyed by source_file, so one shuffle serves them all; what a
-sequential pass would remember is a lag, a running sum or a last value.
+What a sequential pass would remember is a lag, a running sum or a last value. Every
+step is keyed by source_file, so one shuffle serves windows over documents; with long,
+documents are scanned range by range instead, and no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DECIMAL_LABEL, PARTY_REFS, ROMAN, SUBPART_LABEL, inline_label, party_refs, strip, subpart_label, token_count
+from .order import lag, last, medians, scanned, total, whole, windowed
 
 # Line patterns of the data model, without lookaround.
 HEADER = r"^(ARTICLE\s+\w+|SECTION\s+\d+|SCHEDULE\s+\w+|EXHIBIT\s+\w+|ANNEX\s+\w+|WHEREAS|NOW[,\s]+THEREFORE|IN WITNESS WHEREOF|RECITALS?|DEFINITIONS?|[A-Z][A-Z\s,;]{4,}[A-Z])$"
@@ -121,46 +123,46 @@ def flagged(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return df.withColumn("sealed", sealed)
 
 
-def with_blocks(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def with_blocks(lines: DataFrame, rules: Rules = Rules(), long: bool = False) -> DataFrame:
     """Flagged lines with block_no: a block breaks at a page, a wide gap, a header, after one, and at a sealed line."""
-    every, order = Window.partitionBy("source_file"), Window.partitionBy("source_file").orderBy("line_no")
-    median = F.coalesce(F.percentile(F.when(F.col("height") > 2, F.col("height")), 0.5).over(every), F.lit(rules.height))
-    before = lambda c: F.lag(c).over(order)
-    wide = F.coalesce(F.col("top") - before("bottom") > rules.gap * F.col("__median"), F.lit(False))
-    turned = F.coalesce(F.col("page") != before("page"), F.lit(False))
-    first = F.row_number().over(order) == 1
-    breaks = first | turned | wide | F.col("is_header") | F.coalesce(before("is_header"), F.lit(False)) | F.col("sealed")
-    df = flagged(lines, rules).withColumn("__median", median).withColumn("__break", breaks.cast("int"))
-    running = F.sum("__break").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("block_no", running.cast("int")).drop("__median", "__break")
+    walk, df = scanned if long else windowed, flagged(lines, rules)
+    height = F.when(F.col("height") > 2, F.col("height"))
+    if long:
+        df = df.join(medians(df, "source_file", height).withColumnRenamed("median", "__median"), "source_file", "left")
+    else:
+        df = df.withColumn("__median", F.percentile(height, 0.5).over(Window.partitionBy("source_file")))
+    df = walk(df, "source_file", ["line_no"], __bottom=lag(F.col("bottom")), __page=lag(F.col("page")), __header=lag(F.col("is_header")), __n=total(F.lit(1)))
+    wide = F.coalesce(F.col("top") - F.col("__bottom") > rules.gap * F.coalesce("__median", F.lit(rules.height)), F.lit(False))
+    turned = F.coalesce(F.col("page") != F.col("__page"), F.lit(False))
+    breaks = (F.col("__n") == 1) | turned | wide | F.col("is_header") | F.coalesce("__header", F.lit(False)) | F.col("sealed")
+    df = df.withColumn("__break", breaks.cast("int")).drop("__median", "__bottom", "__page", "__header", "__n")
+    return walk(df, "source_file", ["line_no"], block_no=total(F.col("__break"))).withColumn("block_no", F.col("block_no").cast("int")).drop("__break")
 
 
 def _joined(order: str, text: str = "text") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
 
 
-def blocks(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def blocks(lines: DataFrame, rules: Rules = Rules(), long: bool = False) -> DataFrame:
     """One row a block: its text, first page and top, last bottom, the first line's flags, and whether all of it is bold."""
     first = lambda c: F.min_by(c, "line_no").alias(c)
-    return with_blocks(lines, rules).groupBy("source_file", "block_no").agg(
+    return with_blocks(lines, rules, long).groupBy("source_file", "block_no").agg(
         _joined("line_no").alias("text"), first("page"), first("top"), F.max_by("bottom", "line_no").alias("bottom"), first("is_header"), first("is_subpart"), first("is_decimal"), F.every(F.coalesce("bold", F.lit(False))).alias("bold")
     )
 
 
-def merged(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def merged(blocks: DataFrame, rules: Rules = Rules(), long: bool = False) -> DataFrame:
     """Blocks with those that go on an unfinished sentence joined to it; block_no is the first one's.
 
     A block starts anew after or at a header or sealed block, after the end of a
     sentence, and where it is numbered.
     """
-    order = Window.partitionBy("source_file").orderBy("block_no")
-    t = F.col("text")
+    walk, t = scanned if long else windowed, F.col("text")
     sealed = (F.col("is_subpart") | F.col("is_decimal")) if rules.sealed else F.lit(False)
     own = F.col("is_header") | sealed | t.rlike("(?U)" + NUMBERED) | is_top_level(t, rules)
     closed = F.col("is_header") | sealed | ends_sentence(t)
-    anew = (own | F.coalesce(F.lag("__closed").over(order), F.lit(True))).cast("int")
-    df = blocks.withColumn("__closed", closed).withColumn("__anew", anew)
-    df = df.withColumn("__group", F.sum("__anew").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    df = walk(blocks.withColumn("__own", own), "source_file", ["block_no"], __closed=lag(closed))
+    df = walk(df, "source_file", ["block_no"], __group=total((F.col("__own") | F.coalesce("__closed", F.lit(True))).cast("int")))
     first = lambda c: F.min_by(c, "block_no").alias(c)
     return df.groupBy("source_file", "__group").agg(
         _joined("block_no").alias("text"), F.min("block_no").alias("block_no"), first("page"), first("top"), F.max_by("bottom", "block_no").alias("bottom"), first("is_header"), first("is_subpart"), first("is_decimal"), F.every("bold").alias("bold")
@@ -179,22 +181,21 @@ def split(blocks: DataFrame) -> DataFrame:
     return df.withColumn("is_decimal", dec).withColumn("is_subpart", sub).drop("__cut")
 
 
-def enriched(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def enriched(blocks: DataFrame, rules: Rules = Rules(), long: bool = False) -> DataFrame:
     """Blocks (source_file, block_no, part_no, text, page, flags) to clauses.
 
     A clause's position counts kept clauses against all blocks that are no header,
     dropped ones too. A child's parent is the last clause before it that is none.
     """
-    order = Window.partitionBy("source_file").orderBy("block_no", "part_no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    body = strip(F.col("text"))
-    df = blocks.withColumn("section_header", F.coalesce(F.last(F.when(F.col("is_header"), body), ignorenulls=True).over(so_far), F.lit(rules.preamble)))
-    df = df.withColumn("__total", F.count_if(~F.col("is_header")).over(Window.partitionBy("source_file")))
+    walk, order, body = scanned if long else windowed, ["block_no", "part_no"], strip(F.col("text"))
+    df = walk(blocks, "source_file", order, section_header=last(F.when(F.col("is_header"), body)), __total=whole((~F.col("is_header")).cast("long")))
+    df = df.withColumn("section_header", F.coalesce("section_header", F.lit(rules.preamble)))
     df = df.where(~F.col("is_header") & ~is_boilerplate(F.col("text"), rules)).withColumn("text", body).withColumn("token_count", token_count(F.col("text"))).where(F.col("token_count") >= rules.min_tokens)
-    df = df.withColumn("clause_id", F.row_number().over(order)).withColumn("__child", F.col("is_subpart") | F.col("is_decimal"))
+    df = walk(df.withColumn("__child", F.col("is_subpart") | F.col("is_decimal")), "source_file", order, clause_id=total(F.lit(1))).withColumn("clause_id", F.col("clause_id").cast("int"))
     share = F.col("clause_id") / F.greatest(F.col("__total"), F.lit(1))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    parent = lambda c: F.when(F.col("__child"), F.last(F.when(~F.col("__child"), F.col(c)), ignorenulls=True).over(before))
+    alone = F.when(~F.col("__child"), F.struct("clause_id", "section_header"))
+    df = walk(df, "source_file", order, __parent=last(alone, before=True))
+    parent = lambda c: F.when(F.col("__child"), F.col("__parent")[c])
     return df.select(
         "source_file", "clause_id", "text", "section_header", inline_label(F.col("text")).alias("inline_label"), "page",
         F.when(share < 0.25, "early").when(share >= 0.75, "late").otherwise("middle").alias("position"),
@@ -203,9 +204,9 @@ def enriched(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def clauses(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All passes: lines to clauses."""
-    return enriched(split(merged(blocks(lines, rules), rules)), rules)
+def clauses(lines: DataFrame, rules: Rules = Rules(), long: bool = False) -> DataFrame:
+    """All passes: lines to clauses. long: documents may be longer than a task should hold."""
+    return enriched(split(merged(blocks(lines, rules, long), rules, long)), rules, long)
 
 
 def documents(clauses: DataFrame, pages: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import prompts as P
 from ..functions import text as X
 from ..operators import chat, compare, curate, evaluate, hooks, reshape, retrieve, segment
 from ..operators.order import ranked
-from .queries import ANN, CLASSES, ENRICHED, EXAMPLES, FLAGS, LINES, MERGED, PRED, RISKS, _BOILER, _examples, _labelled, _predictions, _re2, _round, annotations, lines, query, table
+from .queries import ANN, CLASSES, ENRICHED, EXAMPLES, FLAGS, LINES, MERGED, ORACLE_SQL, PRED, RISKS, _BOILER, _examples, _labelled, _predictions, _re2, _round, annotations, lines, query, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,22 +41,23 @@ T = "coalesce(text, '')"
 
 # segmentation with geometry, bold lines, inline markers and older rules
 
-GEO = r"""WITH l0 AS (SELECT CAST(doc_id AS VARCHAR) AS source_file, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents WHERE lang = 'en'),
-ln AS (SELECT source_file, line_no, CASE WHEN line_no % 6 = 0 THEN upper(substr(t, 1, 30)) ELSE t END AS text, line_no // 5 + 1 AS page, line_no * 12.0 + CASE WHEN line_no % 7 >= 3 THEN 30 ELSE 0 END AS top,
+GEO = r"""WITH l0 AS (SELECT CAST(doc_id AS VARCHAR) AS source_file, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents),
+ln AS (SELECT source_file, line_no, CASE WHEN line_no % 6 = 0 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE t END AS text, line_no // 5 + 1 AS page, line_no * 12.0 + CASE WHEN line_no % 7 >= 3 THEN 30 ELSE 0 END AS top,
  line_no * 12.0 + CASE WHEN line_no % 7 >= 3 THEN 30 ELSE 0 END + 10 AS bottom, CASE WHEN line_no % 4 = 0 THEN 1.0 ELSE 6.0 + line_no % 3 END AS height, line_no % 3 = 0 AS bold FROM l0 WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''),
 """
-_LOUD = r"""(bold AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 65 AND upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) = regexp_replace(text, '^\s+|\s+$', '', 'g') AND regexp_matches(text, '[A-Z]')
+_LOUD = r"""(bold AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 65 AND upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) = regexp_replace(text, '^\s+|\s+$', '', 'g') AND regexp_matches(text, '[A-Z]') AND NOT contains(text, 'ß')
  AND len(list_filter(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> '')) BETWEEN 1 AND 7)"""
+SMALL = "abcdefghijklmnopqrstuvwxyz"
 GEO_FLAGS = GEO + FLAGS.removeprefix(LINES).replace(") AS is_header", f") OR {_LOUD} AS is_header", 1)
 
 
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents' lines with pages, places, heights and bold ones; some in capitals."""
-    own = segment.lines_of(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    """All documents' lines with pages, places, heights and bold ones; some in capitals, as far as A-Z go."""
+    own = segment.lines_of(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.col("line_no")
     top = n * 12.0 + F.when(n % 7 >= 3, 30).otherwise(0)
     made = {
-        "text": F.when(n % 6 == 0, F.upper(F.substring("text", 1, 30))).otherwise(F.col("text")), "page": (F.floor(n / 5) + 1).cast("int"), "top": top, "bottom": top + 10,
+        "text": F.when(n % 6 == 0, F.translate("text", SMALL, SMALL.upper())).otherwise(F.col("text")), "page": (F.floor(n / 5) + 1).cast("int"), "top": top, "bottom": top + 10,
         "height": F.when(n % 4 == 0, 1.0).otherwise(6.0 + n % 3), "bold": n % 3 == 0,
     }
     return own.withColumns(made)
@@ -81,6 +82,19 @@ def geometry_blocks(spark, sf_dir):
     return segment.blocks(geometry(spark, sf_dir)).select("source_file", "block_no", "text", "page", "top", "bottom", "bold")
 
 
+@query(ORACLE_SQL["geometry_blocks"])
+def geometry_blocks_scanned(spark, sf_dir):
+    """The same, documents scanned range by range: lags, sums and the median height without a task that holds a document."""
+    return segment.blocks(geometry(spark, sf_dir), long=True).select("source_file", "block_no", "text", "page", "top", "bottom", "bold")
+
+
+@query(ORACLE_SQL["clause_enrich"])
+def clause_enrich_scanned(spark, sf_dir):
+    """All passes to clauses, scanned."""
+    parts = segment.merged(segment.blocks(lines(spark, sf_dir), long=True), long=True).withColumn("part_no", F.lit(0))
+    return segment.enriched(parts, long=True).select("source_file", "clause_id", "text", "section_header", "token_count", "is_subpart", "is_decimal_section", "position", "parent_clause_id")
+
+
 _MARKED = "CASE doc_id % 4 WHEN 0 THEN replace(text, '. ', '. (a) ') WHEN 1 THEN replace(text, '. ', '; 2.1 ') WHEN 2 THEN replace(text, '. ', '.section 3.4. ') ELSE text END"
 
 

@@ -119,3 +119,49 @@ def test_enrichment_of_a_written_contract(spark):
     assert [r["inline_label"] for r in got] == [None, None, None, "RIGHTS GRANTED", None]
     assert [r["party_refs"] for r in got] == [["licensee"], ["each party"], [], ["licensor"], ["both parties"]]
     assert [r["token_count"] for r in got] == [len(x.split()) for x in t if x.split()[-1].endswith(".")]
+
+
+def test_scans_equal_windows(spark, monkeypatch):
+    """Sums, last values, lags and totals, with nulls, over ranges that cut the groups."""
+    from lexfold.operators import order
+    from lexfold.operators.order import lag, last, medians, scanned, total, whole, windowed
+
+    ranges, stored = [], order.stored
+    monkeypatch.setattr(order, "stored", lambda df, tag: ranges.append(got := stored(df, tag)) or got)
+
+    rng = random.Random(9)
+    rows = [(g, i, rng.choice([None, rng.randrange(100)]), rng.choice([None, "a", "b"])) for g, n in (("long", 3000), ("b", 7), (None, 40), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, v int, s string").repartition(5)
+    scans = {"upto": total(F.col("v")), "before": total(F.col("v"), before=True), "n": total(F.lit(1)), "l": last(F.col("s")), "lb": last(F.col("v"), before=True), "p": lag(F.col("s")), "w": whole(F.col("v"))}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scanned(df, "g", ["i"], **scans)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, windowed(df, "g", ["i"], **scans).collect()), key=repr)
+        assert got.columns == [*df.columns, *scans]
+        assert ranges[0].where("g = 'long'").groupBy("__part").count().agg(F.max("count")).first()[0] < 2000  # of 3000: no range has the group
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect() if r["m"] is not None}
+    assert {r["g"]: r["median"] for r in medians(df, "g", F.col("v")).collect()} == want
+
+
+def test_long_documents_are_cut_like_short_ones(spark):
+    rng = random.Random(4)
+    words = "one two three four five six seven eight nine ten".split()
+    kinds = [lambda: "DEFINITIONS", lambda: "(a) " + " ".join(words), lambda: "1.1 " + " ".join(words) + ";", lambda: "2. " + " ".join(words), lambda: " ".join(words) + ".", lambda: " ".join(words[:6]), lambda: "Page 3"]
+    rows = []
+    for d, n in (("long", 1500), ("b", 40), ("c", 1)):
+        top = 0.0
+        for i in range(n):
+            h = rng.choice([9.0, 10.0, 12.0, 1.0, None])
+            top += rng.choice([11.0, 12.0, 40.0])
+            rows.append((d, i, rng.choice(kinds)(), 1 + i // 50, top, top + (h or 10.0), h, rng.random() < 0.1, None))
+    df = spark.createDataFrame(rows, schemas.RAW_LINE).repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        short, long = (sorted(map(tuple, S.clauses(df, long=x).collect()), key=repr) for x in (False, True))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert short == long and len(short) > 300
