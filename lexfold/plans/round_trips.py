@@ -62,13 +62,15 @@ def jsonl_tolerant_scan(spark, sf_dir):
     return good.select(F.col("_lineno").alias("lineno"), "doc_id", "lang", nothing.alias("malformed")).union(bad.select("_lineno", nothing.cast("long"), nothing, "line"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT doc_id, md5(coalesce(text, '')) AS h, text IS NULL AS missing, lang, CAST(n_chars AS BIGINT) AS n FROM documents")
 def json_array_scan(spark, sf_dir):
-    """A file that is one JSON array, written with indents."""
+    """Files that are JSON arrays, with indents, nested objects, and braces, brackets and quotes in strings; each is read by many tasks."""
     path = shared_path(spark, "array")
-    rows = [r["value"] for r in writers.pretty(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")).collect()]
-    _store(spark, f"{path}/all.json", ("[\n" + ",\n".join(rows) + "\n]\n").encode())
-    return readers.json_array(spark, path, "n_nationkey int, n_name string").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.struct("doc_id", F.col("text").alias("text"), F.struct(F.array(F.lit('}],{"'), F.col("lang")).alias("l"), F.struct(F.col("n_chars").alias("n")).alias("size")).alias("about")).alias("r"))
+    writers.json_array(rows.select("r.*"), path)
+    got = readers.json_array(spark, path, "doc_id long, text string, about struct<l:array<string>,size:struct<n:long>>")
+    return got.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").isNull().alias("missing"), F.col("about.l")[1].alias("lang"), F.col("about.size.n").alias("n"))
 
 
 @query("SELECT md5(coalesce(text, '')) AS h, source AS clause_type, lang AS risk_level, count(*) AS n FROM documents GROUP BY 1, 2, 3")

@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -42,8 +42,66 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
     return good, df.where(F.col("__r._corrupt_record").isNotNull()).select("_file", "_lineno", "line")
 
 
+def _outside(cleaned: Column, inside: bool) -> Column:
+    """What of a piece without escapes is no string, if the piece begins inside one or not."""
+    rest = F.regexp_replace(cleaned, '^[^"]*("|$)', "") if inside else cleaned
+    return F.regexp_replace(rest, '"[^"]*("|$)', "")
+
+
+def _opened(outside: Column) -> Column:
+    """Brackets and braces that it opens, less brackets that it closes."""
+    n = lambda chars: F.length(F.regexp_replace(outside, f"[^{chars}]", ""))
+    return n(r"\{\[") - n(r"\]")
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _n, json): the objects of files that are JSON arrays of objects, or objects one after the other, by number from 0.
+
+    A file is read split by split, cut at closing braces. Whether a piece begins inside a
+    string, and how deep, follows from the pieces before: a split is a function of the
+    state in which it begins, from two states to two and a change of depth, and the states
+    of all splits are composed from these functions. An object is put together in its
+    split; only one that lies across the edge of splits is joined from two or more.
+    """
+    read = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("at"), F.col("value"), F.monotonically_increasing_id().alias("id"))
+    cleaned = F.regexp_replace("value", r"(?s)\\.", "")
+    odd = (F.length(cleaned) - F.length(F.replace(cleaned, F.lit('"'), F.lit("")))) % 2
+    # depths with the closing brace, if it is none of a string
+    pieces = read.withColumn("odd", odd).withColumn("d0", _opened(_outside(cleaned, False)) - F.when(F.col("odd") == 0, 1).otherwise(0)).withColumn("d1", _opened(_outside(cleaned, True)) - F.when(F.col("odd") == 1, 1).otherwise(0))
+    pieces = stored(pieces, "json-pieces")
+    split = Window.partitionBy("_file", "at").orderBy("id")
+    ahead, upto = split.rowsBetween(Window.unboundedPreceding, -1), split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = pieces.withColumn("inside", F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2)  # if the split begins outside
+    here = lambda begins: F.when(F.col("inside") == begins, F.col("d0")).otherwise(F.col("d1"))
+    functions = local.groupBy("_file", "at").agg((F.sum("odd") % 2).alias("turns"), F.sum(here(0)).alias("f0"), F.sum(here(1)).alias("f1"), F.min_by("value", "id").alias("head"))
+    files = Window.partitionBy("_file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    functions = functions.withColumn("begins", F.coalesce(F.sum("turns").over(files), F.lit(0)) % 2).withColumn("depth", F.coalesce(F.sum(F.when(F.col("begins") == 0, F.col("f0")).otherwise(F.col("f1"))).over(files), F.lit(0)))
+    base = F.first(F.col("head").rlike(r"^\s*\[").cast("int")).over(Window.partitionBy("_file").orderBy("at"))
+    functions = stored(functions.select("_file", "at", "begins", "depth", base.alias("base")), "json-splits")  # a row a split
+
+    def ended(df: DataFrame) -> DataFrame:
+        """Pieces with whether one ends an object: it closes a brace outside strings, to the depth that objects lie at."""
+        df = df.withColumn("inside", F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2).join(F.broadcast(functions), ["_file", "at"])
+        deep = F.col("depth") + F.sum(here(F.col("begins"))).over(upto)
+        shut = (F.col("inside") + F.col("begins") + F.col("odd")) % 2 == 0
+        return df.withColumn("deep", deep).withColumn("end", (shut & (F.col("deep") == F.col("base"))).cast("int"))
+
+    ends = ended(pieces.drop("value")).groupBy("_file", "at").agg(F.sum("end").alias("ends"))
+    first = stored(ends.select("_file", "at", F.coalesce(F.sum("ends").over(files), F.lit(0)).alias("first"), "ends"), "json-ends")
+    numbered = ended(pieces).withColumn("k", F.coalesce(F.sum("end").over(ahead), F.lit(0)))
+    parts = numbered.groupBy("_file", "at", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), "}").alias("text"), F.max("end").alias("end"))
+    parts = parts.join(F.broadcast(first), ["_file", "at"]).withColumn("_n", F.col("first") + F.col("k"))
+    # an object's first and last parts of splits may belong to others of theirs; those between are whole
+    edge = (F.col("k") == 0) | (F.col("end") == 0)
+    whole = parts.where(~edge).select("_file", "_n", "text")
+    across = parts.where(edge).groupBy("_file", "_n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "}").alias("text"), F.max("end").alias("end"))
+    every = whole.unionByName(across.where("end = 1").drop("end"))
+    return every.select("_file", "_n", F.concat(F.regexp_replace("text", r"^[\s,\[]*", ""), F.lit("}")).alias("json"))
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schemas.struct(schema)).option("multiLine", True).json(path)
+    """Rows of files that are JSON arrays of objects, read by many tasks a file (``json_objects``). Objects that do not parse are rows of nulls."""
+    return json_objects(spark, path).select(F.from_json("json", schemas.struct(schema)).alias("r")).select("r.*")
 
 
 def contract_csv(spark: SparkSession, path: str) -> DataFrame:

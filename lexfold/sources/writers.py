@@ -46,6 +46,24 @@ def pretty(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
+def json_array(rows: DataFrame, path: str) -> None:
+    """Files that are each one JSON array of indented objects, a file a partition."""
+
+    def lines(batches):
+        import pyarrow as pa
+
+        before = "["
+        for b in batches:
+            put = []
+            for x in b.column(0).to_pylist():
+                put += [before, x]
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(put, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]"] if before == "," else ["[]"], pa.string())], ["value"])
+
+    pretty(rows).mapInArrow(lines, "value string").write.text(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Adds rows to a JSONL table without reading it."""
     jsonl(rows, path, mode="append")

@@ -1,6 +1,7 @@
 """Readers, writers and streams on files."""
 
 import json
+import random
 import time
 
 import pytest
@@ -122,3 +123,31 @@ def test_session_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["session_id"], r["turn"]): (r["session_no"], r["history"]) for r in spark.sql("select * from chat_out").collect()}
     assert got == {("s", 0): (0, 0), ("s", 2): (1, 0), ("s", 3): (1, 1), ("t", 0): (0, 0)}
+
+
+@pytest.mark.parametrize("split", [150, 2000])
+def test_json_arrays_are_read_split_by_split(spark, tmp_path, split):
+    """Braces, brackets, quotes and escapes in strings; objects longer than a split; several files of all layouts."""
+    rng = random.Random(split)
+    odd = ["}", "{", '"', "\\", "]", "[", "a", "é", "\n", '\\"', "}{", "😀", ",", " "]
+    text = lambda n: "".join(rng.choice(odd) for _ in range(rng.randrange(n)))
+    thing = lambda i: {"id": i, "s": text(30), "o": {"a": [text(8), text(3)], "b": {"c": text(4)}}, "e": [], "n": None}
+    want = {}
+    for f, write in {"compact": lambda x: json.dumps(x), "wide": lambda x: json.dumps(x, indent=3, ensure_ascii=False), "lines": lambda x: "\n".join(map(json.dumps, x)), "empty": lambda _: "[]", "one": lambda x: json.dumps(x[0], indent=1), "spaced": lambda x: "\n [ " + " , ".join(json.dumps(y) for y in x) + "\n]\n"}.items():
+        things = [thing(i) for i in range(rng.randrange(5, 12))] + [thing(-1) | {"s": "}" * 400}]
+        (tmp_path / f"{f}.json").write_text(write(things))
+        want[f] = [] if f == "empty" else things[:1] if f == "one" else things
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = readers.json_objects(spark, str(tmp_path)).collect()
+        schema = "id long, s string, o struct<a:array<string>,b:struct<c:string>>, e array<int>, n string"
+        rows = readers.json_array(spark, str(tmp_path), schema).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for f, things in want.items():
+        own = sorted((r["_n"], json.loads(r["json"])) for r in got if r["_file"].endswith(f"/{f}.json"))
+        assert [n for n, _ in own] == list(range(len(things))) and [x for _, x in own] == things, f
+    assert sorted((r["id"], r["s"]) for r in rows) == sorted((x["id"], x["s"]) for things in want.values() for x in things)
