@@ -30,7 +30,7 @@ from ..operators.order import running
 from .common import joined, materialise, release, ship, small
 
 #: Turns that a subtrie holds at most where it is built.
-LIMIT = 50_000
+LIMIT = 2_000
 #: Characters of joined ids in a chunk.
 CHUNK = 1 << 16
 ROOT = hashlib.md5(b"0,0,0").hexdigest()
