@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import served, stand_in
 from ..functions.text import CONTEXT_LENGTH, CONTEXT_PAIRS, RATE_LIMIT
 from ..schemas import ANNOTATION
+from .limiter import STOPPED, Limiter, paced
 
 #: Makes a function from texts to outputs.
 Factory = Callable[[], Callable[[list[str]], list[str]]]
@@ -80,12 +81,15 @@ def classified(clauses: DataFrame, role: str, factory: Factory | None = None, te
     return df.withColumn("__a", served(F.coalesce("__o", F.lit("")))).select("*", "__a.risk", "__a.explanation").drop("__a", "__o", "__p")
 
 
-def annotated(clauses: DataFrame, factory: Factory | None = None, retries: int = 1, wait_s: float = 0.0) -> DataFrame:
+def annotated(clauses: DataFrame, factory: Factory | None = None, retries: int = 1, wait_s: float = 0.0, limiter: Limiter | None = None) -> DataFrame:
     """clauses (clause_index, clause_text) as annotations.
 
     Status: success; json_error where no object parses; context_too_long, to be
     skipped; rate_limited, where the model refused on the last try and its task
-    stopped calling it; api_error otherwise. error is the model's own message.
+    stopped calling it; api_error otherwise. error is the model's own message. With a
+    limiter all tasks keep to one timetable, and all of them stop calling the model once
+    it has refused as often as the limiter says; rows that were not called are
+    rate_limited too, and for another run.
     """
     from ..functions.prompts import annotation_request
     from ..functions.text import is_context_length, is_rate_limit, last_object
@@ -93,12 +97,14 @@ def annotated(clauses: DataFrame, factory: Factory | None = None, retries: int =
     if factory is None:
         parties = F.map_from_arrays(F.array(F.lit("Licensor"), F.lit("Licensee")), F.array(*(F.struct(stand_in(F.col("clause_text"), F.lit(r))["risk"].alias("risk"), stand_in(F.col("clause_text"), F.lit(r))["explanation"].alias("explanation")) for r in ("Licensor", "Licensee"))))
         df = clauses.withColumn("raw_response", F.to_json(F.struct(parties.alias("parties")))).withColumn("error", F.lit(None).cast("string"))
+    elif limiter is not None:
+        df = paced(clauses.withColumn("__p", annotation_request(F.col("clause_text"))), "__p", "clause_index", factory, limiter, "raw_response", "error", 1 + retries)
     else:
         df = generated(clauses.withColumn("__p", annotation_request(F.col("clause_text"))), "__p", factory, "raw_response", retries, wait_s, "error", patient=False)
     party = "map<string,struct<risk:string,explanation:string,trigger_quote:string,evidence_quote:string>>"
     parsed = F.from_json(last_object(F.col("raw_response")), f"parties {party}")["parties"]
     said = F.coalesce("error", F.lit("no response"))
-    failed = F.when(is_context_length(said), "context_too_long").when(is_rate_limit(said), "rate_limited").otherwise("api_error")
+    failed = F.when(is_context_length(said), "context_too_long").when(is_rate_limit(said) | (said == STOPPED), "rate_limited").otherwise("api_error")
     status = F.when(F.col("raw_response").isNull(), failed).when(parsed.isNull(), "json_error").otherwise("success")
     names = [c.split()[0] for c in ANNOTATION.split(", ")]
     df = df.withColumn("parties", parsed).withColumn("status", status).withColumn("error", F.when(F.col("raw_response").isNull(), said))

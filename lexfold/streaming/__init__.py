@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.limiter import RateLimited
 from ..sources import snapshots
 from . import done, sink
 from .sessions import SESSION, ordered_sessions, started  # noqa: F401
@@ -20,7 +21,7 @@ def clause_stream(spark: SparkSession, path: str, schema: str, files_a_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).json(path)
 
 
-def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "clause_index", every: str | None = None) -> StreamingQuery:
+def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "clause_index", every: str | None = None, unfinished: str | None = None) -> StreamingQuery:
     """Annotates what has no result yet and appends the results to the snapshot table out (``snapshots.read``).
 
     A batch's results and their keys are one version of the table, under the batch's
@@ -29,6 +30,10 @@ def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame]
     are looked up in the index of done keys (``done``), whatever stream or run they come
     from. Where another stream commits first, results of keys that it has done meanwhile
     are left out; the model is not called again. Rows without a key are annotated each.
+
+    unfinished: a condition for results that are none, as ``status = 'rate_limited'``.
+    The others are kept, and the stream stops with RateLimited; started again it goes on
+    with what is left of the batch.
     """
     log, who = snapshots.Log(out), sink.identity(checkpoint)
 
@@ -43,17 +48,25 @@ def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame]
         named = F.col(key).isNotNull()
         tasks = without(batch.where(named).dropDuplicates([key]), state).unionByName(batch.where(~named))
         got = annotate(tasks)
-        add = snapshots.written(got, log)
+        add, stop = snapshots.written(got, log), False
+        if unfinished:
+            made = spark.read.schema(got.schema).parquet(f"{log.path}/{add.path}")
+            left = F.coalesce(F.expr(unfinished), F.lit(False))
+            stop = not made.where(left).isEmpty()
+            if stop:
+                add = snapshots.written(made.where(~left), log)
         while True:
             rows = spark.read.schema(got.schema).parquet(f"{log.path}/{add.path}")
             adds, schemas = done.run(log, rows, key)
             try:
-                log.commit([add, *adds], schemas=schemas | {snapshots.PART: snapshots.schema_text(got)}, who=who, number=number, base=state, blind=False)
+                log.commit([add, *adds], schemas=schemas | {snapshots.PART: snapshots.schema_text(got)}, who=None if stop else who, number=None if stop else number, base=state, blind=False)
                 break
             except snapshots.Conflict:
                 state = log.state()
                 add = snapshots.written(without(rows, state), log)
         done.merged(spark, log)
+        if stop:
+            raise RateLimited(f"batch {number} is not finished: the model refuses more calls")
 
     writer = tasks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
