@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import severity
 from ..functions.text import clause_body, strip
-from .order import placed, ranked
+from .order import placed, ranked, scanned, total
 
 # Fixed value: label words that give an answer away.
 LEAK_WORDS = r"(?iU)\b(low|medium|high)\b"
@@ -247,6 +247,13 @@ def grouped(rows: DataFrame, group: str, order: str = "row_no") -> DataFrame:
     return rows.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("rows"))
 
 
+def grouped_parts(rows: DataFrame, group: str, order: str = "row_no", most: int = 10_000) -> DataFrame:
+    """(group, part, rows): the same in parts of at most so many row numbers, part from 0: for groups without a bound, as an empty text's. A null group is one."""
+    numbered = scanned(rows.select(group, order), group, [order], __n=total(F.lit(1)))
+    parts = numbered.withColumn("part", F.floor((F.col("__n") - 1) / most)).groupBy(group, "part")
+    return parts.agg(F.array_sort(F.collect_list(order)).alias("rows"))
+
+
 def group_class(rows: DataFrame, group: str, label: str = "risk") -> DataFrame:
     """(group, class): the gravest risk of a group's rows."""
     worst = F.max(severity(F.col(label)))

@@ -76,6 +76,6 @@ def context_text(risk: Column, why: Column, clause: Column, n: Column, role: Col
 def plain_answer(refs: Column, role: Column) -> Column:
     """The answer without a model: refs is an array of (risk, clause)."""
     lines = F.transform(refs, lambda r: F.concat(F.lit("• ["), r["risk"], F.lit(" for "), role, F.lit("] "), F.substring(r["clause"], 1, 120), F.lit("…")))
-    # fixed values: the wording of the answer
+    # fixed values: the wording of the answer, but for its last sentence, which tells this library's own way
     some = F.concat(F.lit("Based on retrieved reference clauses (model not loaded):\n\n"), F.array_join(lines, "\n"), F.lit("\n\nRegister a generator for written answers."))
     return F.when(F.size(refs) > 0, some).otherwise("No relevant clauses found and model is not loaded.")

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import prompts as P
 from ..functions import text as X
-from ..operators import chat, compare, curate, evaluate, reshape, retrieve, segment
+from ..operators import chat, compare, curate, evaluate, pruned, reshape, retrieve, segment
 from ..sources import readers, writers
+from ..storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -467,6 +468,26 @@ def oversample_ratio(spark, sf_dir):
     return curate.oversampled_to_ratio(_labelled(spark, sf_dir).select("row_no", "risk")).groupBy("risk").agg(F.count("*").alias("n"))
 
 
+#: Draws from the High rows, as places in the order of row_no.
+DRAWS = """, hi AS (SELECT row_no, row_number() OVER (ORDER BY row_no) - 1 AS place, count(*) OVER () AS n FROM cls WHERE risk = 'High'),
+dr AS (SELECT i AS draw, CAST('0x' || substr(md5('42|' || i), 1, 12) AS BIGINT) % (SELECT max(n) FROM hi) AS place FROM (SELECT unnest(generate_series(1, {0})) AS i)) """
+
+
+@query(CLASSES + DRAWS.format(100) + "SELECT draw, row_no FROM dr JOIN hi USING (place)")
+def drawn_rows(spark, sf_dir):
+    """One hundred draws from the High rows, each with the row that it took."""
+    return curate.drawn(_labelled(spark, sf_dir).where("risk = 'High'").select("row_no"), 100).select("draw", "row_no")
+
+
+_EXTRA = "greatest(0, CAST(round_even((SELECT count(*) FROM cls WHERE risk = 'Low') / 1.5, 0) AS BIGINT) - (SELECT count(*) FROM cls WHERE risk = 'High'))"
+
+
+@query(CLASSES + DRAWS.format(_EXTRA) + "SELECT row_no, risk, CAST(NULL AS BIGINT) AS draw FROM cls UNION ALL SELECT row_no, 'High', draw FROM dr JOIN hi USING (place)")
+def oversampled_rows(spark, sf_dir):
+    """All rows, and the High ones that were drawn again until the ratio."""
+    return curate.oversampled_to_ratio(_labelled(spark, sf_dir).select("row_no", "risk"))
+
+
 @query(CLASSES + "SELECT row_no, risk FROM rk WHERE rn <= 66")
 def stratified_sample(spark, sf_dir):
     return curate.per_class(_labelled(spark, sf_dir), 66).select("row_no", "risk")
@@ -606,6 +627,8 @@ def model_table(spark, sf_dir):
 def topk_cosine(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     q = vectors.where("vec_id = 0").first()
+    if q is None:
+        return retrieve.top_k(vectors.limit(0), [0.0]).withColumn("score", F.round("score", 6))
     return retrieve.top_k(vectors, q["embedding"]).withColumn("score", F.round("score", 6))
 
 
@@ -617,6 +640,16 @@ def topk_each(spark, sf_dir):
     return retrieve.top_k_each(vectors, queries).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["topk_each"])
+def topk_pruned(spark, sf_dir):
+    """The same by a stored index of cells: exact, blocks that cannot hold a hit are not visited."""
+    path = shared_path(spark, "pruned")
+    vectors = table(spark, sf_dir, "embeddings")
+    pruned.build(vectors, path)
+    hits, _ = pruned.search(spark, path, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 

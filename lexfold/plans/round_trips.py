@@ -16,11 +16,6 @@ from .queries import ENRICHED, PRED, _clauses, _predictions, query, table
 from .variants import GEO, SEGMENTS, docs, geometry, marked
 
 
-def _text(rows: DataFrame, value, path: str, one: bool = False) -> None:
-    df = rows.select(value.alias("value"))
-    (df.coalesce(1) if one else df).write.text(path)
-
-
 def _store(spark: SparkSession, path: str, content: bytes) -> None:
     """A file in the shared folder, by the driver."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,7 +38,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_scan(spark, sf_dir):
     """JSON lines written with their null fields, without internal columns, and read by a schema."""
     path = shared_path(spark, "jsonl")
-    writers.jsonl(_documents(spark, sf_dir).withColumn("_seen", F.lit(1)), path, one_file=True)
+    writers.jsonl(_documents(spark, sf_dir).withColumn("_seen", F.lit(1)), path)
     got = readers.jsonl(spark, path, ROW)
     return got.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.col("text").isNull().alias("missing"), "lang", "source")
 
@@ -51,15 +46,16 @@ def jsonl_scan(spark, sf_dir):
 _BAD = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 5 = 0 THEN '{broken ' || doc_id ELSE 'ok' END"
 
 
-@query(f"WITH l AS (SELECT doc_id, lang, {_BAD} AS line, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS lineno FROM documents) SELECT lineno, CASE WHEN line = 'ok' THEN doc_id END AS doc_id, CASE WHEN line = 'ok' THEN lang END AS lang, CASE WHEN line <> 'ok' THEN line END AS malformed FROM l WHERE line <> ''")
+@query(f"WITH l AS (SELECT doc_id, lang, {_BAD} AS line, CAST(doc_id // 300 AS INT) AS file, CAST(row_number() OVER (PARTITION BY doc_id // 300 ORDER BY doc_id) AS INT) AS lineno FROM documents) SELECT file, lineno, CASE WHEN line = 'ok' THEN doc_id END AS doc_id, CASE WHEN line = 'ok' THEN lang END AS lang, CASE WHEN line <> 'ok' THEN line END AS malformed FROM l WHERE line <> ''")
 def jsonl_tolerant_scan(spark, sf_dir):
-    """Lines by number: good ones parsed, malformed ones kept, blank ones skipped."""
+    """Lines by file and number: good ones parsed, malformed ones kept, blank ones skipped. A file is 300 documents."""
     path, n = shared_path(spark, "tolerant"), F.col("doc_id")
     line = F.when(n % 7 == 0, "").when(n % 5 == 0, F.concat(F.lit("{broken "), n.cast("string"))).otherwise(F.to_json(F.struct("doc_id", "lang")))
-    _text(_documents(spark, sf_dir).orderBy("doc_id"), line, path, one=True)
+    rows = _documents(spark, sf_dir).withColumn("file", F.floor(n / 300).cast("int")).repartition("file").sortWithinPartitions("file", "doc_id")
+    rows.select("file", line.alias("value")).write.partitionBy("file").text(path)
     good, bad = readers.jsonl_tolerant(spark, path, "doc_id long, lang string")
-    nothing = F.lit(None).cast("string")
-    return good.select(F.col("_lineno").alias("lineno"), "doc_id", "lang", nothing.alias("malformed")).union(bad.select("_lineno", nothing.cast("long"), nothing, "line"))
+    nothing, file = F.lit(None).cast("string"), F.regexp_extract("_file", r"file=(\d+)/", 1).cast("int").alias("file")
+    return good.select(file, F.col("_lineno").alias("lineno"), "doc_id", "lang", nothing.alias("malformed")).union(bad.select(file, "_lineno", nothing.cast("long"), nothing, "line"))
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS h, text IS NULL AS missing, lang, CAST(n_chars AS BIGINT) AS n FROM documents")

@@ -409,6 +409,13 @@ def rows_by_text(spark, sf_dir):
     return got.select(F.md5("text").alias("h"), F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
+@query("SELECT lang, CAST((n - 1) // 50 AS BIGINT) AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS rows FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) GROUP BY 1, 2")
+def rows_by_group_parts(spark, sf_dir):
+    """Each group's rows as lists of at most fifty, whatever a group's size."""
+    got = curate.grouped_parts(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 50)
+    return got.select("lang", "part", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS place FROM documents")
 def shuffled_places(spark, sf_dir):
     """Each row's place in the random order."""
