@@ -9,14 +9,26 @@ from ..functions.text import mentioned_clauses, snippet, strip
 from .order import running
 
 
-def histories(turns: DataFrame, session: str = "session_id", order: str = "turn", last: int | None = None) -> DataFrame:
+def histories(turns: DataFrame, session: str = "session_id", order: str = "turn", last: int | None = None, characters: int | None = None) -> DataFrame:
     """turns with history: the (turn, role, content) of the session before, all of them or the last ones.
 
     All of them take room with the square of a session's turns, as a model's requests
-    do: for sessions that people write. Longer ones need a bound.
+    do: for sessions that people write. Longer ones need a bound: last turns and, of
+    these, as many from the end as have so many characters together, as a model's
+    context has room for.
     """
     before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding if last is None else -last, -1)
-    return turns.withColumn("history", F.collect_list(F.struct(F.col(order).alias("turn"), "role", "content")).over(before))
+    got = turns.withColumn("history", F.collect_list(F.struct(F.col(order).alias("turn"), "role", "content")).over(before))
+    if characters is None:
+        return got
+    size = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda n, x: n + F.length(F.coalesce(x["content"], F.lit(""))))
+    fits = lambda _, i: size(F.slice("history", i + 1, F.size("history"))) <= characters
+    return got.withColumn("history", F.filter("history", fits))
+
+
+def requests(turns: DataFrame, is_request: Column, last: int, characters: int | None = None, session: str = "session_id", order: str = "turn") -> DataFrame:
+    """The turns that ask a model something, with the history that it is shown; other turns carry no history anywhere."""
+    return histories(turns, session, order, last, characters).where(is_request)
 
 
 def sessions(events: DataFrame, user: str, order: str, is_reset: Column) -> DataFrame:

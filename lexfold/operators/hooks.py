@@ -133,15 +133,24 @@ def hashing_embedder(dim: int = 64) -> Callable[[], Callable[[list[str]], list[l
     return make
 
 
-def embedded(rows: DataFrame, text_col: str, factory=None, prefix: str = "") -> DataFrame:
-    """rows with embedding; prefix is for queries alone."""
+def embedded(rows: DataFrame, text_col: str, factory=None, prefix: str = "", unit: bool = True) -> DataFrame:
+    """rows with embedding, of unit length unless the model's own is asked for; prefix is for queries alone. A vector of zeros stays one."""
     make = factory or hashing_embedder()
 
+    def sized(vectors: list) -> list:
+        import numpy as np
+
+        m = np.asarray(vectors, float)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        off = (np.abs(size - 1) > 1e-6) & (size > 0)
+        return np.where(off, m / np.where(size > 0, size, 1), m).tolist()
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for texts in batches:
-            yield pd.Series(model([prefix + (t or "") for t in texts]))
+            got = model([prefix + (t or "") for t in texts])
+            yield pd.Series(sized(got) if unit and len(got) else got)
 
     return rows.withColumn("embedding", embed(F.col(text_col)))
 

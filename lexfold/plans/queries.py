@@ -781,6 +781,16 @@ def chat_requests(spark, sf_dir):
     return df.select("session_id", "turn", F.size(chat.messages(F.lit("Be brief."), F.col("history"), asked)).alias("n"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, role, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+p AS (SELECT q.conv_id, q.turn, q.i, h.i AS hi, h.role AS role, h.text AS text, sum(h.n) OVER (PARTITION BY q.conv_id, q.turn ORDER BY h.i DESC ROWS UNBOUNDED PRECEDING) AS upto FROM t q JOIN t h ON h.conv_id = q.conv_id AND h.i BETWEEN q.i - 4 AND q.i - 1 WHERE q.role = 'user'),
+g AS (SELECT conv_id, turn, md5(string_agg(role || ':' || text, '|' ORDER BY hi)) AS h FROM p WHERE upto <= 800 GROUP BY 1, 2)
+SELECT conv_id AS session_id, turn, coalesce(h, md5('')) AS history FROM t LEFT JOIN g USING (conv_id, turn) WHERE role = 'user'""")
+def chat_requests_bounded(spark, sf_dir):
+    """The history that a model is shown at each user turn: of the last four turns as many as have 800 characters together."""
+    df = chat.requests(_turns(spark, sf_dir), F.col("role") == "user", 4, 800)
+    return df.select("session_id", "turn", F.md5(F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("history"))
+
+
 @query(PRED.rstrip(", ") + " SELECT row_no, y_true, y_pred FROM pr WHERE (y_true, y_pred) IN (('Low', 'High'), ('High', 'Low'))")
 def flip_rows(spark, sf_dir):
     return evaluate.flip_rows(_predictions(spark, sf_dir)).select("row_no", "y_true", "y_pred")

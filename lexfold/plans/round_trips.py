@@ -89,6 +89,18 @@ def split_scan(spark, sf_dir):
     return got.groupBy("split", "lang").agg(F.count("*").alias("n"))
 
 
+@query("""WITH f AS (SELECT doc_id // 300 AS file, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1),
+p AS (SELECT file, unnest(string_split(t, chr(10) || chr(10))) AS x, unnest(generate_series(1, len(string_split(t, chr(10) || chr(10))))) AS i FROM f),
+k AS (SELECT file, i, replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS x FROM p)
+SELECT CAST(file AS INT) AS file, CAST(row_number() OVER (PARTITION BY file ORDER BY i) AS INT) AS clause_index, md5(x) AS h FROM k WHERE length(x) > 20""")
+def blank_line_file_scan(spark, sf_dir):
+    """Files of pieces between blank lines, each of 300 documents, read split by split."""
+    path = shared_path(spark, "blank")
+    rows = _documents(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / 300).cast("int")).repartition("file").sortWithinPartitions("file", "doc_id")
+    rows.select("file", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("file").option("lineSep", "\n\n").text(path)
+    return readers.blank_line_files(spark, path).select(F.regexp_extract("_file", r"file=(\d+)/", 1).cast("int").alias("file"), "clause_index", F.md5("clause_text").alias("h"))
+
+
 # PDF by a plug-in, bulk text, uploads
 
 

@@ -339,7 +339,7 @@ def _counter():
 @query(f"SELECT doc_id, CAST(length({T}) + 7 AS DOUBLE) AS size, CAST(length({T}) - length(replace({T}, 'e', '')) + 3 AS DOUBLE) AS e FROM documents")
 def embedded_texts(spark, sf_dir):
     """An embedder as a hook, with a prefix."""
-    got = hooks.embedded(docs(spark, sf_dir), "text", _counter, "here e ")
+    got = hooks.embedded(docs(spark, sf_dir), "text", _counter, "here e ", unit=False)
     return got.select("doc_id", F.col("embedding")[0].cast("double").alias("size"), F.col("embedding")[1].cast("double").alias("e"))
 
 
@@ -379,9 +379,9 @@ _COUNSEL = chat.COUNSEL.replace("{role}", "Licensee")
     f"""WITH q AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS question, count(*) AS n FROM conversations GROUP BY 1),
 res AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Risk Level: High' ELSE 'Risk Level: Low' END AS o, {T} AS t FROM conversations),
 told AS (SELECT conv_id, string_agg('  Clause ' || turn || ': ' || o || ' | "' || replace(substr(t, 1, 80), chr(10), ' ') || '..."', chr(10) ORDER BY turn) AS s FROM res WHERE contains(lower(o), 'high') OR list_contains([3, 5], turn) GROUP BY 1)
-SELECT conv_id, {_sql('=' + _COUNSEL + chr(10) + chr(10) + 'CONTRACT ANALYSIS SUMMARY (Licensee perspective):' + chr(10), "coalesce(s, '  No high-risk clauses identified.')")} AS system, CAST(n + 2 AS INT) AS messages,
+SELECT conv_id, {_sql('=' + _COUNSEL + chr(10) + chr(10) + 'CONTRACT ANALYSIS SUMMARY (Licensee perspective):' + chr(10), "coalesce(s, '  No high-risk clauses identified.')")} AS system, CAST(n + 2 AS INT) AS messages, past,
  'RELEVANT REFERENCE CLAUSES (retrieved for this question):' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'ref 1' || chr(10) || chr(10) || 'ref 2' ELSE 'No closely matching reference clauses found.' END || chr(10) || chr(10) || 'QUESTION:' || chr(10) || 'see clause 3 and Clause5? ' || question AS asked
-FROM q LEFT JOIN told USING (conv_id)"""
+FROM q LEFT JOIN told USING (conv_id) JOIN (SELECT conv_id, md5(string_agg(role || ':' || {T}, '|' ORDER BY turn)) AS past FROM conversations GROUP BY 1) USING (conv_id)"""
 )
 def chat_turns(spark, sf_dir):
     """What a model is sent for a question: rules, summary of the analysis, history, references, question."""
@@ -391,7 +391,7 @@ def chat_turns(spark, sf_dir):
     refs = questions.where("session_id % 2 = 0").select("session_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("rank")).withColumn("text", F.concat(F.lit("ref "), F.col("rank").cast("string")))
     got = chat.turn(questions, results, refs, F.lit("Licensee"), turns)
     m = F.col("messages")
-    return got.select(F.col("session_id").alias("conv_id"), m[0]["content"].alias("system"), F.size(m).alias("messages"), F.element_at(m, -1)["content"].alias("asked"))
+    return got.select(F.col("session_id").alias("conv_id"), m[0]["content"].alias("system"), F.size(m).alias("messages"), F.md5(F.array_join(F.transform(F.slice(m, 2, F.size(m) - 2), lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("past"), F.element_at(m, -1)["content"].alias("asked"))
 
 
 @query(ANN + """SELECT clause_index, CASE WHEN clause_index % 2 = 0 THEN 'No relevant clauses found and model is not loaded.' ELSE 'Based on retrieved reference clauses (model not loaded):' || chr(10) || chr(10) || '• [' || a || ' for Licensor] ' || substr(clause_text, 1, 120) || '…' || chr(10) || chr(10) || 'Register a generator for written answers.' END AS answer FROM ann""")

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions.text import strip
+from ..operators.order import scanned, total
 from ..storage import stored
 
 #: Reads a PDF's bytes into lines: dicts with the keys of a raw line but source_file and line_no.
@@ -127,9 +128,13 @@ def blank_line_clauses(texts: DataFrame, text_col: str = "text", min_length: int
     return texts.select(*[c for c in texts.columns if c != text_col], F.posexplode(kept).alias("__n", "clause_text")).withColumn("clause_index", F.col("__n") + 1).drop("__n")
 
 
-def blank_line_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
-    return blank_line_clauses(files)
+def blank_line_files(spark: SparkSession, path: str, min_length: int = 20) -> DataFrame:
+    """(source_file, clause_text, clause_index, _file): the same of files, which are read split by split and cut at blank lines; kept pieces are numbered over ranges."""
+    read = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"), "value")
+    # a file with other line ends has blank lines inside the pieces
+    inside = read.select("source_file", "_file", "__at", "__id", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n\n")).alias("__n", "piece"))
+    kept = inside.withColumn("clause_text", F.replace(strip(F.col("piece")), F.lit("\n"), F.lit(" "))).where(F.length("clause_text") > min_length)
+    return scanned(kept.drop("piece"), "_file", ["__at", "__id", "__n"], clause_index=total(F.lit(1))).select("source_file", "clause_text", F.col("clause_index").cast("int").alias("clause_index"), "_file")
 
 
 def pdf_lines(spark: SparkSession, path: str, reader: PdfReader | None = None) -> tuple[DataFrame, DataFrame]:

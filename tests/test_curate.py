@@ -143,6 +143,10 @@ def test_hooks(spark):
     assert {r["risk"] for r in hooks.classified(df, "Licensee", text_col="clause_text").collect()} == {"High", "Low"}
     assert hooks.rephrased(df.withColumn("explanation", F.lit("e")), lambda: lambda t: ['"new"'] * len(t)).first()["rephrased"] == "new"
     assert len(hooks.embedded(df, "clause_text").first()["embedding"]) == 64
+    raw = lambda: lambda texts: [[3.0, 4.0] if t else [0.0, 0.0] for t in texts]
+    some = spark.createDataFrame([("a",), ("",)], "t string")
+    assert sorted(r["embedding"] for r in hooks.embedded(some, "t", raw).collect()) == [[0.0, 0.0], pytest.approx([0.6, 0.8])]
+    assert [3.0, 4.0] in [r["embedding"] for r in hooks.embedded(some, "t", raw, unit=False).collect()]
 
 
 def test_one_bad_text_costs_no_other(spark):
