@@ -20,7 +20,7 @@ BAD_RATE = 0.5
 Z = 1.645
 #: Limits of a prior's strength, in pages.
 STRENGTH = (2.0, 1000.0)
-#: Public suffixes of two labels; fixed values, to be extended by the caller.
+#: Public suffixes of two labels; fixed values. A caller gives rules of its own, also with * for any label and ! for an exception.
 SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk")
 
 
@@ -46,15 +46,32 @@ def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumn("__host", F.translate(host, ASCII_UPPER, ASCII_UPPER.lower())).withColumn("__path", path).drop("__rest")
 
 
-def registered(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host; an address or a single label is its own domain, without suffix."""
+def suffix_labels(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """How many labels of a host name are its public suffix: those of the longest rule that fits, 1 without one.
+
+    A rule is a suffix, ``*.suffix`` (any label before it) or ``!name``, an exception: its
+    suffix is what follows its first label, whatever else fits.
+    """
+    size = F.size(F.split(name, r"\."))
+    end = lambda k: F.substring_index(name, ".", -k)
+    by_size: dict[tuple[int, str], list[str]] = {}
+    for rule in suffixes:
+        kind = rule[0] if rule[:1] in ("*", "!") else ""
+        by_size.setdefault((rule.count(".") + 1, kind), []).append(rule.removeprefix("*.").removeprefix("!"))
+    fits = []
+    for (k, kind), names in sorted(by_size.items(), key=lambda x: (x[0][1] != "!", -x[0][0])):
+        at = end(k - 1) if kind == "*" else end(k)
+        fits.append(F.when((size >= k) & at.isin(*names), k - 1 if kind == "!" else k))
+    return F.coalesce(*fits, F.lit(1))
+
+
+def registered(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host; an address or a host that is all suffix is its own domain, without suffix."""
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    labels = F.split(name, r"\.")
-    n = F.when(F.substring_index(name, ".", -2).isin(*SUFFIXES), 2).otherwise(1)
+    labels, n = F.split(name, r"\."), suffix_labels(name, suffixes)
+    last = lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
     alone = (F.size(labels) <= n) | name.rlike(r"^[0-9.]+$|^\[")
-    domain = F.when(alone, name).otherwise(F.when(n == 2, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2)))
-    suffix = F.when(alone, F.lit("")).otherwise(F.when(n == 2, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1)))
-    return domain, suffix
+    return F.when(alone, name).otherwise(last(n + 1)), F.when(alone, F.lit("")).otherwise(last(n))
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
@@ -77,20 +94,21 @@ def _strength(level: DataFrame) -> float:
     return min(max(got["own"] / (got["v"] - got["noise"]) - 1, low), high)
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, bound) of every host of pages (__host); outcomes: (host, bad 0 or 1).
 
     bound is mean - z standard deviations of the host's posterior. Hosts without
-    outcomes are judged by their domain's evidence, as far as that goes.
+    outcomes are judged by their domain's evidence, as far as that goes. Null hosts and
+    outcomes count nothing; either table may be empty; other columns are ignored.
     """
     counted = outcomes.where("bad in (0, 1) and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = pages.select(F.col("__host").alias("host")).distinct().join(counted, "host", "left")
-    domain, suffix = registered(F.col("host"))
+    domain, suffix = registered(F.col("host"), suffixes)
     hosts = materialise(hosts.select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"), domain.alias("domain"), suffix.alias("suffix")), "urlrep-hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    total = suffixes.agg(*sums).first()
+    ends = domains.groupBy("suffix").agg(*sums)
+    total = ends.agg(*sums).first()
     base = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
 
     def shrunk(level: DataFrame) -> DataFrame:
@@ -100,15 +118,15 @@ def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFram
 
     rate, weight = (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), (F.col("a") + F.col("b")).alias("weight")
     every = float(total["n"] or 0) + 1.0
-    suffixes = shrunk(suffixes.withColumn("mean", F.lit(base)).withColumn("weight", F.lit(every))).select("suffix", rate, weight)
-    domains = shrunk(domains.join(suffixes, "suffix")).select("domain", rate, weight)
+    ends = shrunk(ends.withColumn("mean", F.lit(base)).withColumn("weight", F.lit(every))).select("suffix", rate, weight)
+    domains = shrunk(domains.join(ends, "suffix")).select("domain", rate, weight)
     got = shrunk(hosts.join(domains, "domain"))
     a, b = F.col("a"), F.col("b")
     spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return got.select("host", "n", "bad", rate, (a / (a + b) - z * spread).alias("bound"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, bad_rate: float = BAD_RATE, z: float = Z, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, bad_rate: float = BAD_RATE, z: float = Z, id_col: str = "page_id", url_col: str = "url", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
     outcomes: (page_id, bad), bad 1 for a bad page; a page_id with several counts
@@ -119,7 +137,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULE
     """
     df = split_url(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url")), "__url").drop("__url")
     known = df.select("page_id", F.col("__host").alias("host")).distinct().join(outcomes.select("page_id", "bad"), "page_id")
-    bad = reputations(df, known, z).where(F.col("bound") > bad_rate).select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
+    bad = reputations(df, known, z, suffixes).where(F.col("bound") > bad_rate).select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
     which, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     method = F.when(F.col("__bad"), "block").otherwise("allow")
     got = df.join(small(materialise(bad, "urlrep-bad")), "__host", "left")

@@ -217,3 +217,22 @@ def test_pages_of_boilerplate_alone_are_emptied_in_the_pipeline(spark):
     assert clash.columns == ["doc_id", "text", "source", "__host", "drop", "kept", "__n_lines", "__n_dropped"] and clash.where("__host = 'x' and kept = 2").count() == len(rows)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.boilerplate(spark, df, "").collect()}
     assert got == {**{i: f"own words {i}" for i in range(5)}, **{10 + i: "" for i in range(4)}, 20: None, 21: "home"}
+
+
+def test_public_suffixes_by_rules(spark):
+    rules = ("com", "uk", "co.uk", "*.ck", "!www.ck", "a.b.example", "*.deep.example")
+    want = {"x.com": ("x.com", "com"), "a.x.com": ("x.com", "com"), "y.co.uk": ("y.co.uk", "co.uk"), "z.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", ""), "q.any.ck": ("q.any.ck", "any.ck"), "p.q.any.ck": ("q.any.ck", "any.ck"), "any.ck": ("any.ck", ""), "www.ck": ("www.ck", "ck"), "m.www.ck": ("www.ck", "ck"), "s.a.b.example": ("s.a.b.example", "a.b.example"), "s.t.deep.example": ("s.t.deep.example", "t.deep.example"), "plain": ("plain", ""), "10.0.0.1": ("10.0.0.1", ""), "": ("", "")}
+    domain, suffix = urlrep.registered(F.col("h"), rules)
+    got = spark.createDataFrame([(h,) for h in want], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r["h"]: (r["d"], r["s"]) for r in got} == want
+
+
+def test_hosts_learn_from_their_registered_domain_as_rules_say(spark):
+    """Blog hosts of one platform: with it as a suffix each is judged by itself, without it all of them together."""
+    pages = [(i, f"http://u{i % 40}.blogs.example/{i}") for i in range(800)] + [(1000, "http://new.blogs.example/1")]
+    bad = [(i, 1) for i in range(800)]
+    judge = lambda rules: {r["page_id"]: r["verdict"] for r in urlrep.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([*bad], "page_id long, bad int"), rules=(), suffixes=rules).collect()}[1000]
+    assert judge(()) == "block"
+    mixed = [(i, int(i % 2)) for i in range(800)]
+    bad[:] = mixed
+    assert judge(("blogs.example",)) == "allow"
