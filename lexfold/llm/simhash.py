@@ -40,8 +40,8 @@ FREE = list(itertools.combinations(range(8), 2))
 # the long fingerprint: positions, positions of a joint value, the least number that similar texts share, the weights' tail
 POSITIONS, JOINT, MIN_SHARED, TAIL = 64, 4, 36, 2
 WORDS, PERCENT = 5, 80
-#: Lists up to which every pair is looked at; longer ones go by centres and closer keys.
-ALL_PAIRS = 16
+#: Lists up to which every pair is looked at; longer ones go by centres and closer keys: how many, and how often before lists go by centres alone.
+ALL_PAIRS, CLOSER, LEVELS = 16, 8, 16
 
 
 # fingerprints
@@ -248,37 +248,61 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(alike("a", "b")).select("x", "y")
 
 
+def _closer(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of lists (key, node, first, active) in the lists of one positional byte more, CLOSER positions of each: those in which members of the list agree least.
+
+    What a list's members have in common rules many positions alike for all of them; the
+    others tell apart what is their own.
+    """
+    byte = "shiftrightunsigned(blocks[cast(j div 4 as int)], cast(8 * (j % 4) as int)) & 255"
+    members = materialise(lists.join(sets.select("node", "blocks"), "node").select(*lists.columns, "blocks"), "simhash-members", lists.count())
+    spread = members.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1))).alias("j")).select("key", "j", F.expr(byte).alias("value"))
+    alike = spread.groupBy("key", "j", "value").agg(F.count("*").alias("n")).groupBy("key", "j").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("alike"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("alike", F.xxhash64("key", "j")))
+    chosen = alike.withColumn("rank", rank).where(F.col("rank") <= CLOSER).groupBy("key").agg(F.collect_list("j").alias("chosen"))
+    chosen = small(materialise(chosen, "simhash-chosen", lists.count() // ALL_PAIRS))
+    more = members.join(chosen, "key").select("key", "node", "first", "active", "blocks", F.explode("chosen").alias("j"))
+    return more.select(F.xxhash64("key", "j", F.expr(byte)).alias("key"), "node", "first", "active")
+
+
 def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     """(x, y): links of nodes (node, first, blocks) that meet in a list, share MIN_SHARED positional bytes and are similar; written.
 
     A list is that of one joint value of JOINT positions. All pairs of its members are
-    looked at while it is short. The members of a longer one are held against its
-    centre, the one with the least first: those linked to it leave the list, and the
-    others go on to lists of one joint value more, where other centres meet them. So a
-    large group of copies costs a row a member and list, and unlike texts with much
-    in common part again. sets_of gives (node, blocks, s) of some nodes (node).
+    looked at while it is short. Of a longer one all are held against its centre, the one
+    with the least first: the centre is done, and those linked to it are passive from then
+    on, met by the others but not by each other. So a large group of copies costs a row a
+    member and list. If active members are left, all go on to CLOSER lists of the same key
+    and one of CLOSER pairs of positions, chosen by the key: similar members share each
+    in 1 of 2 cases and nearly always one of them, others more rarely, so lists of unlike
+    texts with much in common part. Whoever is passive and linked again is done. Null
+    blocks meet nobody. sets_of gives (node, blocks, s) of some nodes (node).
     """
-    posted = nodes.select("node", "first", F.posexplode("blocks").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "at", "node", "first")
-    posted, found, sets = materialise(posted, "simhash-postings", nodes.count() * POSITIONS // JOINT), None, None
+    posted = nodes.select("node", "first", F.posexplode("blocks").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node", "first", F.lit(True).alias("active"))
+    posted, found, sets, level = materialise(posted, "simhash-postings", nodes.count() * POSITIONS // JOINT), None, None, 0
     while n := posted.count():
-        sized = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "node")).alias("c")).where("n > 1")
+        sized = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("active"), F.struct("first", "node"))).alias("c")).where("n > 1 and c is not null")
         sized = materialise(sized.select("key", "n", F.col("c.node").alias("c")), "simhash-sizes", n // 2)
         lists = materialise(joined(posted, sized, "key"), "simhash-lists", n)
         n = lists.count()
         sets = sets_of(lists.select("node").distinct()) if sets is None else sets
-        short = lists.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.collect_list("node").alias("all"))
-        pairs = short.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y > F.col("x"))).alias("y"))
+        short = lists.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.collect_list(F.struct("node", "active")).alias("all"))
+        pairs = short.select("all", F.explode("all").alias("p")).select(F.col("p.node").alias("x"), F.explode(F.filter("all", lambda q: (q["node"] > F.col("p.node")) & (q["active"] | F.col("p.active")))["node"]).alias("y"))
         long = lists.where((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("c"))).withColumn("x", F.least("c", "node")).withColumn("y", F.greatest("c", "node"))
         pairs = pairs.union(long.select("x", "y")).distinct()
         if found is not None:
             pairs = pairs.join(found, ["x", "y"], "left_anti")
         got = materialise(similar(pairs, sets, percent), "simhash-links", n * ALL_PAIRS // 2)
         found = got if found is None else found.union(got)
-        left = long.join(found, ["x", "y"], "left_anti")
-        # joint values in order: each set of them is one list
-        more = left.join(sets.select("node", "blocks"), "node").select("key", "node", "first", "at", F.posexplode(F.expr(f"slice(blocks, at + 2, {POSITIONS // JOINT})")).alias("on", "value"))
-        more = more.withColumn("at", F.col("at") + 1 + F.col("on"))
-        posted = materialise(more.select(F.xxhash64("key", "at", "value").alias("key"), "at", "node", "first"), "simhash-postings", n * POSITIONS // JOINT // 2)
+        # active and not linked: active; either active or not linked: passive; else done
+        met = long.join(found.select("x", "y", F.lit(True).alias("linked")), ["x", "y"], "left").select("key", "node", "first", "active", F.col("linked").isNull().alias("apart")).where("active or apart")
+        left = materialise(met.select("key", "node", "first", (F.col("active") & F.col("apart")).alias("active")), "simhash-left", n)
+        alive = materialise(left.where("active").select("key").distinct(), "simhash-alive", n // ALL_PAIRS)
+        left = left.join(small(alive), "key", "left_semi")
+        level += 1
+        if level <= LEVELS:
+            left = _closer(left, sets)
+        posted = materialise(left, "simhash-postings", n * CLOSER // 2)
     return found if found is not None else nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).limit(0)
 
 

@@ -236,3 +236,16 @@ def test_hosts_learn_from_their_registered_domain_as_rules_say(spark):
     mixed = [(i, int(i % 2)) for i in range(800)]
     bad[:] = mixed
     assert judge(("blogs.example",)) == "allow"
+
+
+def test_near_copies_on_one_template_are_found(spark):
+    """Lists of many texts that are unlike but for a template: the pairs among them are still linked, nothing else is."""
+    rng, n = random.Random(3), 250
+    template, rows = [f"t{rng.randrange(10**6)}" for _ in range(200)], []
+    for k in range(n):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(65)]
+        again = [*own[:44], *(f"v{rng.randrange(10**7)}" for _ in range(21))]  # similarity 0.825
+        rows += [(2 * k, " ".join(own + template)), (2 * k + 1, " ".join(again + template))]
+    assert brute.jaccard(rows[0][1], rows[1][1]) >= 0.8 > 0.7 > brute.jaccard(rows[0][1], rows[2][1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[2 * k] == 2 * k for k in range(n)) and sum(got[2 * k + 1] != 2 * k for k in range(n)) <= 1
