@@ -58,6 +58,7 @@ def test_queries_have_the_contract_columns(spark):
         "op4_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op5_langid": "doc_id held_out lang_pred score", "op6_linededup": "doc_id n_lines n_dropped text_sha256",
         "op7_urlfilter": "page_id host path rule verdict", "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op9_toolchat": "conv_id turn part kind call_id depth linked valid json",
         "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_iban n_ssn n_secret scores",
+        "op11_prefixtrie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12_idfiles": "doc_id start n_tokens ids_crc32", "op13_divergence": "lang source part item value rank",
     }
     assert {n for n in e.queries() if n.startswith("op") and n[2].isdigit()} == set(want)
     for name, columns in want.items():
