@@ -19,6 +19,8 @@ from ..storage import stored
 
 #: Hex digits of a hash by which a group is cut: 4,096 parts.
 DIGITS = 3
+#: Numbers of an order that a chunk of a group holds.
+CHUNK = 4096
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -97,6 +99,27 @@ def scanned(rows: DataFrame, by: str, order: list[str], **scans: Scan) -> DataFr
     """
     df = rows.withColumns({f"__v_{name}": scan.value for name, scan in scans.items()})
     df = stored(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "scan").withColumn("__by", F.struct(by))
+    return _carried(df, order, scans, [c for c in rows.columns if c not in scans])
+
+
+def cut(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with __by and __part: the group, and chunks of CHUNK numbers of the order's first column, which is a whole number."""
+    return rows.withColumns({"__by": F.struct(by), "__part": F.floor(F.col(order[0]) / CHUNK)})
+
+
+def chunked(rows: DataFrame, by: str, order: list[str], of: DataFrame | None = None, **scans: Scan) -> DataFrame:
+    """The same, chunk by chunk, over rows that were cut: scans that follow each other over the same rows share one shuffle.
+
+    The sums and last values that are carried to a chunk are read from rows anew, narrow,
+    so rows should be stored or cheap to make. of: a table with a row a group, whose
+    columns are carried along.
+    """
+    df = rows.withColumns({f"__v_{name}": scan.value for name, scan in scans.items()})
+    return _carried(df, order, scans, [c for c in rows.columns if c not in scans], of)
+
+
+def _carried(df: DataFrame, order: list[str], scans: dict[str, Scan], keep: list[str], of: DataFrame | None = None) -> DataFrame:
+    """keep and the scans' columns, from rows with their values, groups (__by) and parts (__part)."""
     at = F.struct(*order)
     per, carried = [], []
     before, group = Window.partitionBy("__by").orderBy("__part").rowsBetween(*_BEFORE), Window.partitionBy("__by")
@@ -112,6 +135,11 @@ def scanned(rows: DataFrame, by: str, order: list[str], **scans: Scan) -> DataFr
             per.append(F.max_by(F.struct(v.alias("v")), at).alias(c))
             carried.append(F.last(c).over(before)["v"].alias(c))
     carry = df.groupBy("__by", "__part").agg(*per).select("__by", "__part", *carried)
+    more = []
+    if of is not None:
+        key = of.columns[0]
+        carry = carry.join(of.select(F.struct(key).alias("__by"), *of.columns[1:]), "__by", "left")
+        more = of.columns[1:]
     own = {name: Scan(scan.kind, F.col(f"__v_{name}"), scan.before).over(["__by", "__part"], order) for name, scan in scans.items() if scan.kind != "whole"}
     first = F.row_number().over(Window.partitionBy("__by", "__part").orderBy(*order)) == 1
     df = df.withColumns(own | {"__first": first}).join(carry, ["__by", "__part"])
@@ -119,7 +147,7 @@ def scanned(rows: DataFrame, by: str, order: list[str], **scans: Scan) -> DataFr
     for name, scan in scans.items():
         here, c = F.col(name) if name in own else None, F.col(f"__c_{name}")
         out.append({"sum": lambda h, c: h + c, "last": lambda h, c: F.coalesce(h, c), "lag": lambda h, c: F.when(F.col("__first"), c).otherwise(h), "whole": lambda h, c: c}[scan.kind](here, c).alias(name))
-    return df.select(*[c for c in rows.columns if c not in scans], *out)
+    return df.select(*keep, *more, *out)
 
 
 def running(rows: DataFrame, by: str, order: list[str], **sums: Column) -> DataFrame:

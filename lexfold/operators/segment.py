@@ -2,7 +2,7 @@
 
 What a sequential pass would remember is a lag, a running sum or a last value. Every
 step is keyed by source_file, so one shuffle serves windows over documents; with long,
-documents are scanned range by range instead, and no task holds a whole one.
+documents are scanned chunk by chunk instead, and no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DECIMAL_LABEL, PARTY_REFS, ROMAN, SUBPART_LABEL, inline_label, party_refs, strip, subpart_label, token_count
-from .order import lag, last, medians, scanned, total, whole, windowed
+from ..storage import stored
+from .order import chunked, cut, lag, last, medians, total, whole, windowed
 
 # Line patterns of the data model, without lookaround.
 HEADER = r"^(ARTICLE\s+\w+|SECTION\s+\d+|SCHEDULE\s+\w+|EXHIBIT\s+\w+|ANNEX\s+\w+|WHEREAS|NOW[,\s]+THEREFORE|IN WITNESS WHEREOF|RECITALS?|DEFINITIONS?|[A-Z][A-Z\s,;]{4,}[A-Z])$"
@@ -125,18 +126,19 @@ def flagged(lines: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def with_blocks(lines: DataFrame, rules: Rules = Rules(), long: bool = False) -> DataFrame:
     """Flagged lines with block_no: a block breaks at a page, a wide gap, a header, after one, and at a sealed line."""
-    walk, df = scanned if long else windowed, flagged(lines, rules)
-    height = F.when(F.col("height") > 2, F.col("height"))
+    df, order = flagged(lines, rules), ["line_no"]
+    height, before = F.when(F.col("height") > 2, F.col("height")), {"__bottom": lag(F.col("bottom")), "__page": lag(F.col("page")), "__header": lag(F.col("is_header")), "__n": total(F.lit(1))}
     if long:
-        df = df.join(medians(df, "source_file", height).withColumnRenamed("median", "__median"), "source_file", "left")
+        df = stored(df, "flagged")
+        df = chunked(cut(df, "source_file", order), "source_file", order, medians(df, "source_file", height).withColumnRenamed("median", "__median"), **before)
     else:
-        df = df.withColumn("__median", F.percentile(height, 0.5).over(Window.partitionBy("source_file")))
-    df = walk(df, "source_file", ["line_no"], __bottom=lag(F.col("bottom")), __page=lag(F.col("page")), __header=lag(F.col("is_header")), __n=total(F.lit(1)))
+        df = windowed(df.withColumn("__median", F.percentile(height, 0.5).over(Window.partitionBy("source_file"))), "source_file", order, **before)
     wide = F.coalesce(F.col("top") - F.col("__bottom") > rules.gap * F.coalesce("__median", F.lit(rules.height)), F.lit(False))
     turned = F.coalesce(F.col("page") != F.col("__page"), F.lit(False))
     breaks = (F.col("__n") == 1) | turned | wide | F.col("is_header") | F.coalesce("__header", F.lit(False)) | F.col("sealed")
     df = df.withColumn("__break", breaks.cast("int")).drop("__median", "__bottom", "__page", "__header", "__n")
-    return walk(df, "source_file", ["line_no"], block_no=total(F.col("__break"))).withColumn("block_no", F.col("block_no").cast("int")).drop("__break")
+    walk = chunked if long else windowed
+    return walk(df, "source_file", order, block_no=total(F.col("__break"))).withColumn("block_no", F.col("block_no").cast("int")).drop("__break", "__by", "__part")
 
 
 def _joined(order: str, text: str = "text") -> Column:
@@ -157,12 +159,14 @@ def merged(blocks: DataFrame, rules: Rules = Rules(), long: bool = False) -> Dat
     A block starts anew after or at a header or sealed block, after the end of a
     sentence, and where it is numbered.
     """
-    walk, t = scanned if long else windowed, F.col("text")
+    walk, t, order = chunked if long else windowed, F.col("text"), ["block_no"]
     sealed = (F.col("is_subpart") | F.col("is_decimal")) if rules.sealed else F.lit(False)
     own = F.col("is_header") | sealed | t.rlike("(?U)" + NUMBERED) | is_top_level(t, rules)
     closed = F.col("is_header") | sealed | ends_sentence(t)
-    df = walk(blocks.withColumn("__own", own), "source_file", ["block_no"], __closed=lag(closed))
-    df = walk(df, "source_file", ["block_no"], __group=total((F.col("__own") | F.coalesce("__closed", F.lit(True))).cast("int")))
+    df = blocks.withColumns({"__own": own, "__ends": closed})
+    df = cut(stored(df, "blocks"), "source_file", order) if long else df
+    df = walk(df, "source_file", order, __closed=lag(F.col("__ends")))
+    df = walk(df, "source_file", order, __group=total((F.col("__own") | F.coalesce("__closed", F.lit(True))).cast("int")))
     first = lambda c: F.min_by(c, "block_no").alias(c)
     return df.groupBy("source_file", "__group").agg(
         _joined("block_no").alias("text"), F.min("block_no").alias("block_no"), first("page"), first("top"), F.max_by("bottom", "block_no").alias("bottom"), first("is_header"), first("is_subpart"), first("is_decimal"), F.every("bold").alias("bold")
@@ -187,11 +191,13 @@ def enriched(blocks: DataFrame, rules: Rules = Rules(), long: bool = False) -> D
     A clause's position counts kept clauses against all blocks that are no header,
     dropped ones too. A child's parent is the last clause before it that is none.
     """
-    walk, order, body = scanned if long else windowed, ["block_no", "part_no"], strip(F.col("text"))
-    df = walk(blocks, "source_file", order, section_header=last(F.when(F.col("is_header"), body)), __total=whole((~F.col("is_header")).cast("long")))
-    df = df.withColumn("section_header", F.coalesce("section_header", F.lit(rules.preamble)))
-    df = df.where(~F.col("is_header") & ~is_boilerplate(F.col("text"), rules)).withColumn("text", body).withColumn("token_count", token_count(F.col("text"))).where(F.col("token_count") >= rules.min_tokens)
-    df = walk(df.withColumn("__child", F.col("is_subpart") | F.col("is_decimal")), "source_file", order, clause_id=total(F.lit(1))).withColumn("clause_id", F.col("clause_id").cast("int"))
+    walk, order = chunked if long else windowed, ["block_no", "part_no"]
+    df = blocks.withColumn("__clause", ~F.col("is_header") & ~is_boilerplate(F.col("text"), rules)).withColumn("text", strip(F.col("text"))).withColumn("token_count", token_count(F.col("text")))
+    df = df.withColumn("__clause", F.coalesce(F.col("__clause") & (F.col("token_count") >= rules.min_tokens), F.lit(False))).withColumn("__child", F.col("is_subpart") | F.col("is_decimal"))
+    df = df.withColumn("__header", F.when(F.col("is_header"), F.col("text"))).withColumn("text", F.when(F.col("__clause"), F.col("text")))
+    df = cut(stored(df, "clauses"), "source_file", order) if long else df
+    df = walk(df, "source_file", order, section_header=last(F.col("__header")), __total=whole((~F.col("is_header")).cast("long")), clause_id=total(F.col("__clause").cast("int")))
+    df = df.where("__clause").withColumn("section_header", F.coalesce("section_header", F.lit(rules.preamble))).withColumn("clause_id", F.col("clause_id").cast("int"))
     share = F.col("clause_id") / F.greatest(F.col("__total"), F.lit(1))
     alone = F.when(~F.col("__child"), F.struct("clause_id", "section_header"))
     df = walk(df, "source_file", order, __parent=last(alone, before=True))

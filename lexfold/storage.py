@@ -33,5 +33,5 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written once and read again."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
