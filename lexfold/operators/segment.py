@@ -24,6 +24,7 @@ DECIMAL = r"^\s*\d+\.\d+\.?\d*[\s\S]"
 SECTION_DECIMAL = r"^\s*(?:sub)?section\s+\d+\.\d+"
 SUBPART = rf"^\s*(?:\((?:{ROMAN}|[a-z]|\d{{1,2}})\)|(?:{ROMAN}|[a-z])\.)\s*\S"
 NUMBERED = r"^\s*(\d+\.\d*\.?\s+|[A-Z]\.\s+|\(\w+\)\s+)"
+EIGHT_TOKENS = r"(?U)^\s*\S+(?:\s+\S+){7}"
 SUBPART_BREAK = rf"(?<=[.;])\s*(\((?:{ROMAN}|[a-z]|\d{{1,2}})\)\s*|\d+\.\d+\.?\d*\s+|(?:sub)?section\s+\d+\.\d+[\. \d]*\.?\s*)"
 # Lines that are no clause. The flag tells whether case matters.
 BOILERPLATE = (
@@ -82,7 +83,7 @@ class Rules:
 def is_header(text: Column, bold: Column, rules: Rules = Rules()) -> Column:
     """A heading by its words, or a short bold line in capitals."""
     t = strip(text)
-    loud = bold & (F.length(t) < 65) & (F.upper(t) == t) & F.rlike(t, F.lit("(?U)[A-Z]")) & token_count(t).between(1, 7)
+    loud = bold & (F.length(t) < 65) & (F.upper(t) == t) & F.rlike(t, F.lit("(?U)[A-Z]")) & ~F.rlike(t, F.lit(EIGHT_TOKENS))
     return F.coalesce(t.rlike("(?U)" + rules.header) | loud, F.lit(False))
 
 

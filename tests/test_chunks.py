@@ -39,3 +39,10 @@ def test_chunked_scans_equal_windows(spark, monkeypatch):
     got = order.chunked(order.cut(df, "source_file", ["line_no"]), "source_file", ["line_no"], **scans).drop("__by", "__part")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, order.windowed(df, "source_file", ["line_no"], **scans).collect()), key=repr)
     assert got.columns == [*df.columns, *scans]
+
+
+def test_bold_headings_by_a_pattern(spark):
+    rows = [(t, b) for t in ("A B C D E F 7", " A  B C D E F 7 ", "A B C D E F G 8", "A", "1 2", "Ab C", "", "A B C D E F G H") for b in (True, False)]
+    df = spark.createDataFrame(rows, "text string, bold boolean").withColumn("is", S.is_header(S.F.col("text"), S.F.col("bold"), S.Rules(header="^$a")))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["text"] for r in df.where("is").collect()} == {t for t, b in rows if b and t.strip() and t.strip().upper() == t.strip() and any("A" <= c <= "Z" for c in t) and len(t.split()) <= 7}
