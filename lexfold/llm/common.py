@@ -8,27 +8,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_path
+from ..storage import BATCH_ROWS, BATCHES, bounded, shared_path  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Arrow batches, and those in which Parquet is read, are kept small so that a batch of long texts stays bounded.
-BATCH_ROWS = 512
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
-
 #: Characters that separate words in the byte-oriented contracts: space and \t to \r.
 ASCII_SPACES = "\t\n\x0b\x0c\r "
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def bounded(spark: SparkSession) -> SparkSession:
-    """Bound the batches of rows that a task holds."""
-    for name, usual in BATCHES.items():
-        if int(spark.conf.get(name, usual)) > BATCH_ROWS:
-            spark.conf.set(name, str(BATCH_ROWS))
-    return spark
-
-
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and bound their batches.
 

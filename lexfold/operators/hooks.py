@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import served, stand_in
 from ..functions.text import CONTEXT_LENGTH, CONTEXT_PAIRS, RATE_LIMIT
 from ..schemas import ANNOTATION
+from ..storage import bounded
 from .limiter import STOPPED, Limiter, paced
 
 #: Makes a function from texts to outputs.
@@ -28,13 +29,14 @@ def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw
     Where a batch fails its texts are tried one by one, so one bad text costs none of
     the others. A text that is too long is not tried again. Unless patient, a task
     stops calling the model once a text has met the rate limit on its last try.
+    Python gets the prompts alone, few at a time.
     """
-    more = f", `{output}` string" + (f", `{error}` string" if error else "")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + more
+    bounded(rows.sparkSession)
     limited, lengthy = re.compile(RATE_LIMIT).search, re.compile(CONTEXT_LENGTH).search
     too_long = lambda said: lengthy(said) or any(a in said and b in said for a, b in CONTEXT_PAIRS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("output string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, stopped = factory(), None
 
         def one(text: str) -> tuple[str | None, str | None]:
@@ -56,7 +58,7 @@ def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw
             return None, said
 
         for b in batches:
-            texts = b[prompt].tolist()
+            texts = b.tolist()
             try:
                 if stopped:
                     raise RuntimeError(stopped)
@@ -65,10 +67,12 @@ def generated(rows: DataFrame, prompt: str, factory: Factory, output: str = "raw
                     raise RuntimeError("the model answered another number of texts")
             except Exception:
                 got = [one(t) for t in texts]
-            put = {output: [x for x, _ in got]} | ({error: [e for _, e in got]} if error else {})
-            yield b.assign(**put)
+            yield pd.DataFrame({"output": pd.Series([x for x, _ in got], dtype=object), "error": pd.Series([e for _, e in got], dtype=object)})
 
-    return rows.mapInPandas(run, schema)
+    # a model may answer otherwise when asked again
+    got = rows.withColumn("__got", run.asNondeterministic()(F.col(prompt)))
+    put = {output: F.col("__got")["output"]} | ({error: F.col("__got")["error"]} if error else {})
+    return got.withColumns(put).drop("__got")
 
 
 def classified(clauses: DataFrame, role: str, factory: Factory | None = None, text_col: str = "text") -> DataFrame:
@@ -135,6 +139,7 @@ def hashing_embedder(dim: int = 64) -> Callable[[], Callable[[list[str]], list[l
 
 def embedded(rows: DataFrame, text_col: str, factory=None, prefix: str = "", unit: bool = True) -> DataFrame:
     """rows with embedding, of unit length unless the model's own is asked for; prefix is for queries alone. A vector of zeros stays one."""
+    bounded(rows.sparkSession)
     make = factory or hashing_embedder()
 
     def sized(vectors: list) -> list:
