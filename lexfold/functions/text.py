@@ -126,25 +126,25 @@ def unquoted(c: Column) -> Column:
 
 
 def last_object(c: Column) -> Column:
-    """The last balanced {...} of a text, by a scan from its end; null without one, or where a { comes before any }.
+    """The last balanced {...} of a text, by a scan of its braces from the end; null without one, or where a { comes before any }.
 
     Braces within strings count like others.
     """
-    n = F.length(c)
-    state = F.struct(F.lit(0).alias("open"), F.lit(0).alias("end"), F.lit(0).alias("start"), F.lit(False).alias("done"))
+    # pieces that start with a brace each, but for the first; upto: where what is left ends
+    pieces = F.split(c, "(?=[{}])")
+    state = F.struct(F.length(c).alias("upto"), F.lit(0).alias("open"), F.lit(0).alias("end"), F.lit(0).alias("start"))
 
-    def step(a: Column, i: Column) -> Column:
-        ch, at = F.substring(c, n - i, F.lit(1)), n - i
-        closing, opening = (ch == "}") & ~a["done"], (ch == "{") & ~a["done"]
-        depth = a["open"] + F.when(closing, 1).when(opening, -1).otherwise(0)
+    def step(a: Column, piece: Column) -> Column:
+        at, going = a["upto"] - F.length(piece) + 1, a["start"] == 0
+        closing, opening = F.startswith(piece, F.lit("}")) & going, F.startswith(piece, F.lit("{")) & going
         return F.struct(
-            depth.alias("open"),
+            (at - 1).alias("upto"),
+            (a["open"] + F.when(closing, 1).when(opening, -1).otherwise(0)).alias("open"),
             F.when(closing & (a["open"] == 0), at).otherwise(a["end"]).alias("end"),
-            F.when(opening & (depth == 0), at).otherwise(a["start"]).alias("start"),
-            (a["done"] | (opening & (depth == 0))).alias("done"),
+            F.when(opening & (a["open"] == 1), at).otherwise(a["start"]).alias("start"),
         )
 
-    got = F.aggregate(F.sequence(F.lit(0), n - 1), state, step)
+    got = F.aggregate(F.reverse(pieces), state, step)
     return F.when(F.contains(c, F.lit("{")) & F.contains(c, F.lit("}")), F.when((got["start"] > 0) & (got["end"] > 0), F.substring(c, got["start"], got["end"] - got["start"] + 1)))
 
 

@@ -18,3 +18,13 @@ def test_a_model_gets_few_prompts_at_a_time(spark):
         assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # other columns stay in the JVM
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_last_object_steps_from_brace_to_brace(spark):
+    """A step a brace, not a step a character, each of which would look for its place from the text's start."""
+    from lexfold.functions.text import last_object
+
+    texts = {"x" * 300_000 + ' {"é": {"b": 1}} y' + "z" * 300_000: '{"é": {"b": 1}}', "{a}} {": "{a}", "} {": None, "{": None, "}{}": "{}", "": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", last_object(F.col("t")).alias("o"))
+    assert {r["t"]: r["o"] for r in df.collect()} == texts
+    assert "sequence(" not in df._jdf.queryExecution().analyzed().toString()
