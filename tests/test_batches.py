@@ -28,3 +28,17 @@ def test_last_object_steps_from_brace_to_brace(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", last_object(F.col("t")).alias("o"))
     assert {r["t"]: r["o"] for r in df.collect()} == texts
     assert "sequence(" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_annotations_get_few_prompts_at_a_time(spark):
+    def sizes():
+        return lambda prompts: ['{"parties": {"Licensor": {"risk": "%d"}}}' % len(prompts)] * len(prompts)
+
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        df = spark.range(0, 2000, 1, 1).select(F.col("id").alias("clause_index"), F.lit("t").alias("clause_text"))
+        got = hooks.annotated(df, sizes).select(F.col("parties")["Licensor"]["risk"].cast("int").alias("n")).collect()
+        assert len(got) == 2000 and max(r["n"] for r in got) <= 512
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
