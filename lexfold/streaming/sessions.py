@@ -47,14 +47,20 @@ class Sessions(StatefulProcessor):
         self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.at.exists()
         number, turns, last, due = self._at()
+        was = due
         for b in rows:
             if len(b):
                 self.waiting.appendList([(int(m), None if pd.isna(t) else int(t), r, c) for m, t, r, c in zip(b["ms"], b["turn"], b["role"], b["content"], strict=True)])
                 first = int(b["ms"].min())
                 due = first if due == NEVER else min(due, first)
-        self.at.update((number, turns, last, due))
-        self._timer(due)
+        if due != was:  # else the timer and all that is kept stay what they are; each call of the store costs
+            self.at.update((number, turns, last, due))
+            if known:
+                self._timer(due)
+            else:
+                self.handle.registerTimer(due)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
