@@ -1,25 +1,21 @@
-"""SimHash near-duplicates by a byte-position inverted index with count filtering.
-
-A fingerprint is a row of positional bytes. The index posts joint values of
-several positions, since the list of a single positional byte would hold 1/256 of
-the corpus; pairs that share fewer positional bytes than any wanted pair must are
-never made or are dropped by their count; what is left is verified.
-
-Two kinds of fingerprint are indexed:
-
-- ``near_duplicates``: 64 bits, a plain majority over word shingles; texts link at
-  ``MAX_BITS`` differing bits, hence share at least six of eight positional bytes.
-- ``keep_first``: ``POSITIONS`` bytes, in each of which shingles have weights of
-  their own with a heavy tail (sign-stable projections; Li, Samorodnitsky and
-  Hopcroft 2013). Agreement then follows the shingles' Jaccard similarity instead
-  of the angle between texts: at 0.8 some 47 of 64 positions agree, between
-  unrelated texts 1 in 200. Texts link at a Jaccard similarity of 0.8.
+"""Near-duplicates: by SimHash fingerprints, and exactly by the similarity of shingle sets.
+
+- ``near_duplicates``: 64 bits, a plain majority over word shingles, in a byte-position
+  inverted index with count filtering. Texts link at ``MAX_BITS`` differing bits, hence
+  share at least six of eight positional bytes; lists are of joint values, since that of
+  a single byte would hold 1/256 of the corpus.
+- ``keep_first``: texts link at a Jaccard similarity of 0.8 of their shingles, and no
+  link is left out. Shingles are put in one order, rare ones first; two similar sets
+  share one among the first fifth of each (prefix filter, Chaudhuri, Ganti and Kaushik
+  2006; bounds by place, Xiao et al. 2008; by parity bitmaps, Sandes et al. 2020), so
+  these are an index in which all similar pairs meet. The order decides what is looked
+  at, not what is found.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -37,11 +33,13 @@ BLOCK_PAIRS = list(itertools.combinations(range(4), 2))
 #: Each two positions that two differing bits can lie in; the six others are a list's key.
 FREE = list(itertools.combinations(range(8), 2))
 
-# the long fingerprint: positions, positions of a joint value, the least number that similar texts share, the weights' tail
-POSITIONS, JOINT, MIN_SHARED, TAIL = 64, 4, 36, 2
 WORDS, PERCENT = 5, 80
-#: Lists up to which every pair is looked at; longer ones go by centres and closer keys: how many, and how often before lists go by centres alone.
-ALL_PAIRS, CLOSER, LEVELS = 16, 8, 16
+#: Shingles are counted by so many leading bits of their hash, and written in so many parts.
+COUNT_BITS, COUNT_PARTS = 20, 64
+#: Parity bitmap: longs a set of shingles.
+LONGS = 8
+#: Lists longer than that are held against so many centres first; a task then meets so many members of a list with as many others.
+LONG, CENTRES, CHUNK = 16, 4, 256
 
 
 # fingerprints
@@ -71,29 +69,21 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-@functools.cache
-def _projections() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each position of the long fingerprint: how its weights are drawn from a shingle's hash, and the eight of its bits that are signs."""
-    rng = np.random.default_rng(SEED)
-    mask, factor = rng.integers(0, 1 << 63, POSITIONS, np.uint64), rng.integers(0, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-    return mask, factor, np.stack([rng.permutation(64)[:8] for _ in range(POSITIONS)])
-
-
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """XXH64 of a text's distinct word shingles, sorted."""
     return np.unique(_hashes(_shingles(text, words)))
 
 
-def long_fingerprint(own: np.ndarray) -> np.ndarray:
-    """The POSITIONS bytes of a set of shingles."""
-    mask, factor, signs = _projections()
-    total = np.zeros((POSITIONS, 64), np.float32)
-    for i in range(0, len(own), 2048):
-        h = own[i : i + 2048]
-        u = ((h[:, None] ^ mask) * factor >> np.uint64(40)).astype(np.float32) + np.float32(0.5)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        total += ((np.float32(1 << 24) / u) ** TAIL).T @ (2 * bits - 1)
-    return np.packbits(np.take_along_axis(total, signs, 1) > 0, axis=1).reshape(-1)
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit a place, set if an odd number of a set's shingles fall there: two sets differ in as many shingles at least as in bits."""
+    odd = np.bincount((own & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix(own: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of a set by rank, so many that any set of the similarity shares one with it, in order."""
+    order = np.lexsort((own, ranks[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+    return own[order[: len(own) + (-len(own) * percent // 100) + 1]]
 
 
 def node(own: np.ndarray) -> int:
@@ -216,21 +206,45 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 # links by similarity
 
 
-def _tally(a: Column, b: Column) -> Column:
-    """How many positional bytes two long fingerprints, as arrays of joint values, share."""
+def ranked(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How common shingles of docs (text) are: a class of 0 to 255 for each value of their hash's leading bits."""
+    size = (1 << COUNT_BITS) // COUNT_PARTS
 
-    def zeros(p: Column, q: Column) -> Column:
-        d = p.bitwiseXOR(q)
-        return sum(((F.shiftrightunsigned(d, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(1, JOINT)), (d.bitwiseAND(F.lit(0xFF)) == 0).cast("int"))
+    def counted(batches):
+        n, held, rows = np.zeros(1 << COUNT_BITS, np.int32), [], 0
 
-    return F.aggregate(F.zip_with(a, b, zeros), F.lit(0), lambda total, x: total + x)
+        def add() -> None:
+            nonlocal n, held, rows
+            if held:
+                n += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(n)).astype(np.int32)
+            held, rows = [], 0
 
+        for b in batches:
+            for t in b["text"]:
+                held.append((shingle_set(t, words) >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
+                rows += len(held[-1])
+                if rows > 1 << 20:
+                    add()
+        add()
+        if n.any():
+            yield pd.DataFrame({"part": range(COUNT_PARTS), "n": [zlib.compress(n[i * size : (i + 1) * size].tobytes(), 1) for i in range(COUNT_PARTS)]})
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (x, y) whose sets of shingles have a Jaccard similarity of percent at least.
+    parts = docs.select("text").mapInPandas(counted, "part int, n binary").rdd.map(lambda r: (r[0], np.frombuffer(zlib.decompress(bytes(r[1])), np.int32).astype(np.int64)))
+    classes = parts.reduceByKey(lambda a, b: a + b, COUNT_PARTS).mapValues(lambda n: np.minimum(255, 8 * np.log2(n + 1)).astype(np.uint8).tobytes())
+    ranks = np.zeros(1 << COUNT_BITS, np.uint8)
+    for part, got in classes.collect():  # 1 MB, whatever the corpus
+        ranks[part * size : (part + 1) * size] = np.frombuffer(got, np.uint8)
+    return ranks
 
-    sets: (node, blocks, s). Pairs that share too few positional bytes are dropped before the sets are met.
-    """
+
+def _few_bits(x: str, y: str, percent: int) -> Column:
+    """Whether the bitmaps of two rows, by the aliases x and y, let their sets have the similarity."""
+    bits = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, LONGS)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+    return bits * (100 + percent) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (100 - percent)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) whose sets of shingles (node, s) have a Jaccard similarity of percent at least."""
     ship(pairs.sparkSession)
 
     @F.pandas_udf("boolean")
@@ -242,68 +256,68 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             out.append(shared * (100 + percent) >= (len(p) + len(q)) * percent)
         return pd.Series(out, dtype=bool)
 
-    one = lambda node, column, name: sets.select(F.col("node").alias(node), F.col(column).alias(name))
-    tallied = pairs.join(one("x", "blocks", "a"), "x").join(one("y", "blocks", "b"), "y").where(_tally(F.col("a"), F.col("b")) >= MIN_SHARED).select("x", "y")
-    both = tallied.join(one("x", "s", "a"), "x").join(one("y", "s", "b"), "y")
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("b")), "y")
     return both.where(alike("a", "b")).select("x", "y")
 
 
-def _closer(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of lists (key, node, first, active) in the lists of one positional byte more, CLOSER positions of each: those in which members of the list agree least.
+def _verified(pairs: DataFrame, bitmaps: DataFrame, sets_of, percent: int) -> DataFrame:
+    met = pairs.distinct().join(bitmaps.alias("p"), F.col("x") == F.col("p.node")).join(bitmaps.alias("q"), F.col("y") == F.col("q.node"))
+    pairs = materialise(met.where(_few_bits("p", "q", percent)).select("x", "y"), "simhash-pairs")
+    sets = sets_of(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct())
+    return materialise(similar(pairs, sets, percent), "simhash-links", pairs.count())
+
+
+def _central(lists: DataFrame) -> DataFrame:
+    """Pairs (x, y) of lists' (key, node) members with CENTRES of them, the same ones where lists are alike."""
+    least = [F.min(F.when(F.pmod("node", F.lit(CENTRES)) == i, F.col("node"))) for i in range(CENTRES)]
+    centres = materialise(lists.groupBy("key").agg(F.count("*").alias("n"), F.array_compact(F.array(*least)).alias("c")), "simhash-centres", lists.count() // LONG)
+    return joined(lists, centres, "key").select("node", F.explode("c").alias("c")).where("node <> c").select(F.least("node", "c").alias("x"), F.greatest("node", "c").alias("y"))
+
 
-    What a list's members have in common rules many positions alike for all of them; the
-    others tell apart what is their own.
+def _apart(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) that meet in lists of members (key, node, root, size, reach), are not yet of one root and may be similar.
+
+    Of two such members one at least is not of its list's most frequent root. These meet
+    all others, CHUNK by CHUNK, so that no task holds a list.
     """
-    byte = "shiftrightunsigned(blocks[cast(j div 4 as int)], cast(8 * (j % 4) as int)) & 255"
-    members = materialise(lists.join(sets.select("node", "blocks"), "node").select(*lists.columns, "blocks"), "simhash-members", lists.count())
-    spread = members.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1))).alias("j")).select("key", "j", F.expr(byte).alias("value"))
-    alike = spread.groupBy("key", "j", "value").agg(F.count("*").alias("n")).groupBy("key", "j").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("alike"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("alike", F.xxhash64("key", "j")))
-    chosen = alike.withColumn("rank", rank).where(F.col("rank") <= CLOSER).groupBy("key").agg(F.collect_list("j").alias("chosen"))
-    chosen = small(materialise(chosen, "simhash-chosen", lists.count() // ALL_PAIRS))
-    more = members.join(chosen, "key").select("key", "node", "first", "active", "blocks", F.explode("chosen").alias("j"))
-    return more.select(F.xxhash64("key", "j", F.expr(byte)).alias("key"), "node", "first", "active")
-
-
-def similar_links(nodes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """(x, y): links of nodes (node, first, blocks) that meet in a list, share MIN_SHARED positional bytes and are similar; written.
-
-    A list is that of one joint value of JOINT positions. All pairs of its members are
-    looked at while it is short. Of a longer one all are held against its centre, the one
-    with the least first: the centre is done, and those linked to it are passive from then
-    on, met by the others but not by each other. So a large group of copies costs a row a
-    member and list. If active members are left, all go on to CLOSER lists of the same key
-    and one of CLOSER pairs of positions, chosen by the key: similar members share each
-    in 1 of 2 cases and nearly always one of them, others more rarely, so lists of unlike
-    texts with much in common part. Whoever is passive and linked again is done. Null
-    blocks meet nobody. sets_of gives (node, blocks, s) of some nodes (node).
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+    kinds = by_root.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).where("most.c < n")
+    chunks = lambda c: F.ceil(c / F.lit(CHUNK)).cast("int")
+    kinds = kinds.select("key", "n", F.col("most.root").alias("most"), chunks(F.col("n")).alias("all"), chunks(F.col("n") - F.col("most.c")).alias("few"))
+    left = materialise(joined(members, materialise(kinds, "simhash-kinds"), "key").drop("n"), "simhash-apart")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.where("root <> most").withColumn("j", dealt("few", 1)).withColumn("i", copies("all")).alias("p")
+    other = left.withColumn("i", dealt("all", 0)).withColumn("j", copies("few")).alias("q")
+    here = (F.col("p.key") == F.col("q.key")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
+    new = (F.col("p.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.most")) | (F.col("p.node") < F.col("q.node")))
+    near = (F.col("p.size") <= F.col("q.reach")) & (F.col("q.size") <= F.col("p.reach"))
+    met = one.join(other, here & new & near)
+    return met.select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y"))
+
+
+def similar_links(nodes: DataFrame, keys: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
+    """(x, y): links of nodes (node, size, b0..), with keys (node, keys), at the similarity, which join the same components as all links would; written.
+
+    keys is a set's ``prefix``, size the number of its shingles. A list is that of one key,
+    so any two similar nodes meet in the list of the first key that they share; what follows
+    that key in either set bounds what they have in common, and hence the other's size
+    (reach). Members of lists of more than LONG are held against some centres first: members
+    that these links join need not meet again, so a large group of near copies costs a few
+    rows a member. All other pairs of a list are met, but for those that sizes, places or
+    bitmaps show to be unlike. sets_of gives (node, s) of some nodes (node).
     """
-    posted = nodes.select("node", "first", F.posexplode("blocks").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "node", "first", F.lit(True).alias("active"))
-    posted, found, sets, level = materialise(posted, "simhash-postings", nodes.count() * POSITIONS // JOINT), None, None, 0
-    while n := posted.count():
-        sized = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("active"), F.struct("first", "node"))).alias("c")).where("n > 1 and c is not null")
-        sized = materialise(sized.select("key", "n", F.col("c.node").alias("c")), "simhash-sizes", n // 2)
-        lists = materialise(joined(posted, sized, "key"), "simhash-lists", n)
-        n = lists.count()
-        sets = sets_of(lists.select("node").distinct()) if sets is None else sets
-        short = lists.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.collect_list(F.struct("node", "active")).alias("all"))
-        pairs = short.select("all", F.explode("all").alias("p")).select(F.col("p.node").alias("x"), F.explode(F.filter("all", lambda q: (q["node"] > F.col("p.node")) & (q["active"] | F.col("p.active")))["node"]).alias("y"))
-        long = lists.where((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("c"))).withColumn("x", F.least("c", "node")).withColumn("y", F.greatest("c", "node"))
-        pairs = pairs.union(long.select("x", "y")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["x", "y"], "left_anti")
-        got = materialise(similar(pairs, sets, percent), "simhash-links", n * ALL_PAIRS // 2)
-        found = got if found is None else found.union(got)
-        # active and not linked: active; either active or not linked: passive; else done
-        met = long.join(found.select("x", "y", F.lit(True).alias("linked")), ["x", "y"], "left").select("key", "node", "first", "active", F.col("linked").isNull().alias("apart")).where("active or apart")
-        left = materialise(met.select("key", "node", "first", (F.col("active") & F.col("apart")).alias("active")), "simhash-left", n)
-        alive = materialise(left.where("active").select("key").distinct(), "simhash-alive", n // ALL_PAIRS)
-        left = left.join(small(alive), "key", "left_semi")
-        level += 1
-        if level <= LEVELS:
-            left = _closer(left, sets)
-        posted = materialise(left, "simhash-postings", n * CLOSER // 2)
-    return found if found is not None else nodes.select(F.col("node").alias("x"), F.col("node").alias("y")).limit(0)
+    bitmaps = nodes.select("node", "size", *(f"b{i}" for i in range(LONGS)))
+    posted = keys.select("node", F.posexplode("keys").alias("at", "key"))
+    sized = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    lists = materialise(joined(posted, sized, "key"), "simhash-lists")
+    links = _verified(_central(lists.where(F.col("n") > LONG).select("key", "node")), bitmaps, sets_of, percent)
+    roots = components(links)
+    roots = materialise(roots.union(roots.select("root", "root")).distinct(), "simhash-roots", 2 * links.count())
+    reach = F.floor((F.col("size") - F.col("at")) * (100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("size")
+    members = lists.drop("n").join(nodes.select("node", "size"), "node").withColumn("reach", reach.cast("int")).drop("at")
+    members = materialise(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-members")
+    return materialise(links.union(_verified(_apart(members), bitmaps, sets_of, percent)), "simhash-links", lists.count())
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -314,31 +328,38 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("node long, blocks array<int>")
+    named = docs.select("doc_id", "text").where("doc_id is not null")
+    ranks = ranked(named, words)
+
+    @F.pandas_udf("node long, size int, bits array<long>, keys array<long>")
     def printed(texts: pd.Series) -> pd.DataFrame:
         own = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"node": [node(s) for s in own], "blocks": [long_fingerprint(s).view("<i4") if len(s) else [] for s in own]})
+        return pd.DataFrame({"node": [node(s) for s in own], "size": [len(s) for s in own], "bits": [parities(s) for s in own], "keys": [prefix(s, ranks, percent).view(np.int64) for s in own]})
 
     @F.pandas_udf("node long, s binary")
     def listed(texts: pd.Series) -> pd.DataFrame:
         own = [shingle_set(t, words) for t in texts]
         return pd.DataFrame({"node": [node(s) for s in own], "s": [s.tobytes() for s in own]})
 
-    named = docs.select("doc_id", "text").where("doc_id is not null")
-    by_doc = materialise(named.select("doc_id", printed("text").alias("m")).select("doc_id", "m.node", "m.blocks"), "simhash-docs")
-    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.any_value("blocks").alias("blocks")), "simhash-nodes", by_doc.count())
+    by_doc = materialise(named.select("doc_id", printed("text").alias("m")).select("doc_id", "m.*"), "simhash-docs")
+    bits = [F.any_value(F.col("bits")[i]).alias(f"b{i}") for i in range(LONGS)]
+    nodes = materialise(by_doc.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), *bits), "simhash-nodes")
+    # of equal sets one posts its keys; ids of the others are few, or joined by shuffle
+    several = small(materialise(nodes.where("n > 1").select("node", "first"), "simhash-several"))
+    copies = small(materialise(by_doc.select("doc_id", "node").join(several, "node").where("doc_id <> first").select("doc_id", "node").distinct(), "simhash-copies"))
+    keys = by_doc.join(copies, ["doc_id", "node"], "left_anti").select("node", "keys")
 
     def sets_of(some: DataFrame) -> DataFrame:
-        some = materialise(some.join(nodes.select("node", F.col("first").alias("doc_id"), "blocks"), "node"), "simhash-some", nodes.count() // 4)
+        some = materialise(some.join(nodes.select("node", F.col("first").alias("doc_id")), "node"), "simhash-some", nodes.count() // 4)
         texts = named.join(small(some.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", listed("text").alias("m")).select("doc_id", "m.node", "m.s")
         # sets are held against each other only where an id has rows alike
         again = small(twice)
         once = texts.join(again, "doc_id", "left_anti").union(texts.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "node"]))
-        return materialise(some.join(once, ["doc_id", "node"]).select("node", "blocks", "s"), "simhash-sets")
+        return materialise(some.join(once, ["doc_id", "node"]).select("node", "s"), "simhash-sets")
 
     twice = materialise(by_doc.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct(), "simhash-repeated", by_doc.count() // 2)
-    found = similar_links(nodes, sets_of, percent)
-    return materialise(joined(by_doc.select("doc_id", "node"), _named(nodes.drop("blocks"), found), "node").select("doc_id", "component_id"), "simhash-groups", by_doc.count())
+    found = similar_links(nodes, keys, sets_of, percent)
+    return materialise(joined(by_doc.select("doc_id", "node"), _named(nodes.select("node", "first", "n"), found), "node").select("doc_id", "component_id"), "simhash-groups", by_doc.count())
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -249,3 +249,20 @@ def test_near_copies_on_one_template_are_found(spark):
     assert brute.jaccard(rows[0][1], rows[1][1]) >= 0.8 > 0.7 > brute.jaccard(rows[0][1], rows[2][1])
     got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert all(got[2 * k] == 2 * k for k in range(n)) and sum(got[2 * k + 1] != 2 * k for k in range(n)) <= 1
+
+
+def test_no_pair_of_the_least_similarity_is_left_out(spark):
+    """Pairs of 80 shingles in common of 100, and of 79: all of the first are linked and none of the others, alone and among 60 near copies."""
+    rng, rows, want = random.Random(7), [], {}
+    text = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    for k in range(400):
+        words = text(94)
+        cut = 84 if k % 4 else 83
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:cut] + text(94 - cut)))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (0 if k % 4 else 1)}
+    base = text(94)
+    for i in range(60):  # 10 of them, with 19 shingles of their own, are like none
+        rows.append((1000 + i, " ".join(base[: 94 - (i % 8 if i < 50 else 19)] + text(i % 8 if i < 50 else 19))))
+        want[1000 + i] = 1000 if i < 50 else 1000 + i
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and brute.jaccard(rows[2][1], rows[3][1]) == 0.8 > brute.jaccard(rows[0][1], rows[1][1]) and want == brute.similar(rows[790:]) | {i: want[i] for i, _ in rows[:790]}
