@@ -66,9 +66,10 @@ def found(log: Log, state: State, batch: DataFrame, key: str) -> DataFrame:
         return named.select("key").limit(0)
     hit = {r["bucket"] for r in named.select("bucket").distinct().collect()}
     filters = frame(spark, log, state, FILTERS, _inside(hit)).groupBy("bucket", "page").agg(F.bitmap_or_agg("bits").alias("bits"))
-    may = _may_hold(named.join(filters, ["bucket", "page"])).select("key", "bucket")
+    # joined by shuffle: what is broadcast passes the driver, with every batch anew
+    may = _may_hold(named.join(filters.hint("merge"), ["bucket", "page"])).select("key", "bucket")
     hit = {r["bucket"] for r in may.select("bucket").distinct().collect()}
-    return may.select("key").join(frame(spark, log, state, KEYS, _inside(hit)).select("key"), "key", "left_semi")
+    return may.select("key").join(frame(spark, log, state, KEYS, _inside(hit)).select("key").hint("merge"), "key", "left_semi")
 
 
 def merged(spark: SparkSession, log: Log) -> int:

@@ -206,6 +206,15 @@ def test_index_reads_only_buckets_that_may_hold_a_key(spark, tmp_path):
     assert done.found(log, snapshots.State(), batch, "k").count() == 0
 
 
+def test_index_is_not_sent_through_the_driver(spark, tmp_path):
+    """Filters and keys are joined by shuffle; broadcast, each batch would send them through the driver."""
+    log = Log(str(tmp_path / "t"))
+    adds, kinds = done.run(log, spark.range(0, 500).select(F.col("id").alias("k")), "k")
+    log.commit(adds, schemas=kinds)
+    got = done.found(log, log.state(), spark.createDataFrame([(3,), (600,)], "k long"), "k")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and [r["key"] for r in got.collect()] == ["3"]
+
+
 def test_runs_are_merged(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(done, "FAN", 3)
     log = Log(str(tmp_path / "t"))
