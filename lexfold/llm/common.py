@@ -110,10 +110,12 @@ HOT = 1000
 def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str = "n") -> DataFrame:
     """left joined to right by key, right's count telling the rows of left that a key has: hot keys' rows stay where they are.
 
-    right is a stored table with a row a key. Fewer than HOT of its keys can be hot, so these are broadcast; the
-    others are joined by shuffle, where no key brings more than one in HOT rows.
+    right is a stored table with a row a key. Fewer than HOT of its keys can be hot, so these are named in a filter and
+    broadcast; the others are joined by shuffle, where no key brings more than one in HOT rows.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
-    hot = F.broadcast(right.where(F.col(count) * HOT > total))
-    rest = left.join(F.broadcast(right.where(F.col(count) * HOT > total).select(key)), key, "left_anti")
-    return left.join(hot, key).unionByName(rest.join(right.where(F.col(count) * HOT <= total), key, how))
+    hot = [r[0] for r in right.where(F.col(count) * HOT > total).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))

@@ -268,10 +268,13 @@ def _verified(pairs: DataFrame, bitmaps: DataFrame, sets_of, percent: int) -> Da
 
 
 def _central(lists: DataFrame) -> DataFrame:
-    """Pairs (x, y) of lists' (key, node) members with CENTRES of them, the same ones where lists are alike."""
-    least = [F.min(F.when(F.pmod("node", F.lit(CENTRES)) == i, F.col("node"))) for i in range(CENTRES)]
+    """Pairs (x, y) of lists' (key, node, at) members with CENTRES of them, those with the fewest rarer shingles; the same ones where lists are alike.
+
+    What no other text of a group has is rare and comes before the key, so these are nearest to what the group is copied from.
+    """
+    least = [F.min(F.when(F.pmod("node", F.lit(CENTRES)) == i, F.struct("at", "node")))["node"] for i in range(CENTRES)]
     centres = materialise(lists.groupBy("key").agg(F.count("*").alias("n"), F.array_compact(F.array(*least)).alias("c")), "simhash-centres", lists.count() // LONG)
-    return joined(lists, centres, "key").select("node", F.explode("c").alias("c")).where("node <> c").select(F.least("node", "c").alias("x"), F.greatest("node", "c").alias("y"))
+    return joined(lists.select("key", "node"), centres, "key").select("node", F.explode("c").alias("c")).where("node <> c").select(F.least("node", "c").alias("x"), F.greatest("node", "c").alias("y"))
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -311,7 +314,7 @@ def similar_links(nodes: DataFrame, keys: DataFrame, sets_of, percent: int = PER
     posted = keys.select("node", F.posexplode("keys").alias("at", "key"))
     sized = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     lists = materialise(joined(posted, sized, "key"), "simhash-lists")
-    links = _verified(_central(lists.where(F.col("n") > LONG).select("key", "node")), bitmaps, sets_of, percent)
+    links = _verified(_central(lists.where(F.col("n") > LONG).select("key", "node", "at")), bitmaps, sets_of, percent)
     roots = components(links)
     roots = materialise(roots.union(roots.select("root", "root")).distinct(), "simhash-roots", 2 * links.count())
     reach = F.floor((F.col("size") - F.col("at")) * (100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("size")

@@ -6,7 +6,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexfold.llm import decontam, grams, langid, linededup, packing, pii, simhash, toolchat, toxicity, urlrep
+from lexfold.llm import common, decontam, grams, langid, linededup, packing, pii, simhash, toolchat, toxicity, urlrep
 
 
 # 3 decontamination
@@ -38,6 +38,32 @@ def test_passages_at_every_place_and_texts_of_one_word(spark):
 # near duplicates in the pipeline
 
 
+def test_near_copies_of_one_text_meet_in_few_pairs(spark, monkeypatch):
+    """Copies of one text with 0 to 6 words changed: links as by brute force; besides centres no more pairs meet than there are copies."""
+    rng, rows, met, n = random.Random(9), [], [], 320
+    base = [f"t{rng.randrange(10**6)}" for _ in range(150)]
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(5, 145), i % 7):
+            w[at] = f"new{rng.randrange(10**8)}"
+        rows.append((i, " ".join(w)))
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: met.append(pairs.distinct().count()) or verified(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.groups(df).collect()} == brute.similar(rows)
+    assert len(met) == 2 and met[1] <= n
+
+
+def test_rows_of_hot_keys_are_joined_once(spark):
+    """A key of nine in ten rows, others, one without a partner and null: as by a plain join, and the others pass no anti join."""
+    left = spark.range(3000).selectExpr("CASE WHEN id % 10 > 0 THEN 7 WHEN id % 100 > 0 THEN id + 100000 WHEN id % 200 > 0 THEN null ELSE -1 END AS k", "id")
+    right = common.materialise(left.where("k >= 0").groupBy("k").agg(F.count("*").alias("n")), "test-counts")
+    for how in ("inner", "left"):
+        got = common.joined(left, right, "k", how)
+        assert sorted(got.collect(), key=lambda r: r["id"]) == sorted(left.join(right, "k", how).collect(), key=lambda r: r["id"])
+        assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_copies_are_one_document(spark):
     """Copies with words changed, a few far beyond two bits; and more of them than a list may hold."""
     import corpus_pipeline
