@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from . import done, sink
 from .sessions import SESSION, ordered_sessions, started  # noqa: F401
 from .sink import once  # noqa: F401
 
+#: A batch's keys while it is run, which no version of the table names.
+ASKED = "asked"
+
 
 def clause_stream(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 1) -> DataFrame:
     """A folder of JSONL tasks as a stream, so many files a trigger: the pace of a rate-limited model."""
@@ -41,29 +45,65 @@ def annotate_stream(tasks: DataFrame, annotate: Callable[[DataFrame], DataFrame]
         over = done.found(log, state, rows, key).withColumnRenamed("key", "__done")
         return rows.join(over, F.col(key).cast("string") == F.col("__done"), "left_anti")
 
+    @contextmanager
+    def left_of(batch: DataFrame, state: snapshots.State) -> Iterator[tuple[DataFrame, bool]]:
+        """The batch's tasks that have no result, a row a key, and whether there are any. Its keys are read first, so that texts are read once, and shuffled where some are left out alone."""
+        spark, paths = batch.sparkSession, []
+
+        def kept(df: DataFrame) -> DataFrame:
+            paths.append(snapshots.written(df, log, ASKED).path)
+            return spark.read.schema(df.schema).parquet(f"{log.path}/{paths[-1]}")
+
+        try:
+            named = F.col(key).isNotNull()
+            asked = kept(batch.groupBy(F.col(key).alias("own")).agg(F.count("*").alias("n")).select(F.col("own").cast("string").alias("key"), "own", "n"))
+            keys, rows, nameless = asked.agg(F.count("own"), F.coalesce(F.sum(F.when(F.col("own").isNotNull(), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.lit(0))).first()
+            over, have = None, 0
+            if keys and (state.of(done.RECENT) or state.of(done.KEYS)):
+                over = kept(done.among(log, state, asked.select("key", "own").where("own is not null"), keys).select(F.col("own").alias("__done")))
+                have = over.count()
+            tasks = batch.where(named) if nameless else batch
+            if have == keys:
+                tasks = tasks.limit(0)
+            else:
+                if rows > keys:
+                    tasks = tasks.dropDuplicates([key])
+                if have:  # by shuffle, see done
+                    tasks = tasks.join(over.hint("merge"), F.col(key) == F.col("__done"), "left_anti")
+            yield tasks.unionByName(batch.where(~named)) if nameless else tasks, bool(nameless or have < keys)
+        finally:
+            for p in paths:
+                log.fs.delete_dir(f"{log.root}/{p}")
+
     def run(batch: DataFrame, number: int) -> None:
         spark, state = batch.sparkSession, log.state()
         if state.has(who, number):
             return
-        named = F.col(key).isNotNull()
-        tasks = without(batch.where(named).dropDuplicates([key]), state).unionByName(batch.where(~named))
-        got = annotate(tasks)
-        add, stop = snapshots.written(got, log), False
-        if unfinished:
-            made = spark.read.schema(got.schema).parquet(f"{log.path}/{add.path}")
+        add, stop = None, False
+        with left_of(batch, state) as (tasks, some):
+            got = annotate(tasks)
+            if some:
+                add = snapshots.written(got, log)
+        kind = got.schema
+        if add and unfinished:
+            made = spark.read.schema(kind).parquet(f"{log.path}/{add.path}")
             left = F.coalesce(F.expr(unfinished), F.lit(False))
             stop = not made.where(left).isEmpty()
             if stop:
                 add = snapshots.written(made.where(~left), log)
         while True:
-            rows = spark.read.schema(got.schema).parquet(f"{log.path}/{add.path}")
-            adds, schemas = done.run(log, rows, key)
+            adds, schemas = [], {snapshots.PART: snapshots.schema_text(got)}
+            if add:
+                rows = spark.read.schema(kind).parquet(f"{log.path}/{add.path}")
+                keys, kinds = done.recent(log, rows, key)
+                adds, schemas = [add, *keys], schemas | kinds
             try:
-                log.commit([add, *adds], schemas=schemas | {snapshots.PART: snapshots.schema_text(got)}, who=None if stop else who, number=None if stop else number, base=state, blind=False)
+                log.commit(adds, schemas=schemas, who=None if stop else who, number=None if stop else number, base=state, blind=False)
                 break
             except snapshots.Conflict:
                 state = log.state()
-                add = snapshots.written(without(rows, state), log)
+                if add:
+                    add = snapshots.written(without(rows, state), log)
         done.merged(spark, log)
         if stop:
             raise RateLimited(f"batch {number} is not finished: the model refuses more calls")
